@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import format_dedup, fusion
+from quillmere.llm import encoding, format_dedup, fusion
 from quillmere.session import load
 
 # --- 1: best representative of each duplicate group -----------------------------------------------------------------
@@ -47,6 +47,39 @@ c AS (SELECT o.*, field_name, max(matched_at_utc) OVER w AS last_at, min(match_r
 SELECT post_id, field_name, min(source_record_id) AS source_record_id FROM c WHERE matched_at_utc = last_at AND match_rank = top_rank GROUP BY 1, 2
 """
 
+# --- 6: garbled text ------------------------------------------------------------------------------------------------
+
+
+def _posts(spark: SparkSession, base: str) -> DataFrame:
+    """Each post text of the timeline records."""
+    return load(spark, base, "timeline_records").select("source_record_id", F.explode("data").alias("d")).select(F.col("source_record_id").alias("record"), F.lit("post").alias("field"), F.col("d.post").alias("text"))
+
+
+def _titles(spark: SparkSession, base: str) -> DataFrame:
+    return load(spark, base, "timeline_records").select(F.col("source_record_id").alias("record"), F.lit("title").alias("field"), F.col("title").alias("text"))
+
+
+def _text_fields(spark: SparkSession, base: str) -> DataFrame:
+    places = load(spark, base, "normalized_records").select(F.col("source_record_id").alias("record"), F.lit("place_name").alias("field"), F.col("place_name").alias("text"))
+    return _posts(spark, base).unionByName(_titles(spark, base)).unionByName(places)
+
+
+def _restored(spark: SparkSession, base: str) -> DataFrame:
+    fields = _text_fields(spark, base).where(encoding.beyond_ascii(F.col("text")))
+    return encoding.restore_fields(fields, encoding.train_on(fields))
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    """The garbled fields with the hash of their restored text, or an empty one where characters are lost."""
+    digest = F.when(F.col("restored").isNull(), F.lit("")).otherwise(F.sha2("restored", 256))
+    return _restored(spark, base).select(F.col("record").alias("source_record_id"), F.col("field").alias("field_name"), digest.alias("restored_sha256"))
+
+
+def p6_restored(spark: SparkSession, base: str) -> DataFrame:
+    """The garbled fields with the chain of wrong decodings found in them and their restored text (null where lost)."""
+    return _restored(spark, base).select(F.col("record").alias("source_record_id"), F.col("field").alias("field_name"), "chain", "restored")
+
+
 # --- 7: duplicates hidden by formatting differences -----------------------------------------------------------------
 
 
@@ -80,6 +113,8 @@ P7_COPIES_SQL = _P7_CANON + "SELECT min(source_record_id) AS keep_id, count(*) A
 QUERIES = {
     "p1_found": p1_found,
     "p1_representative": p1_representative,
+    "p6_found": p6_found,
+    "p6_restored": p6_restored,
     "p7_found": p7_found,
     "p7_copies": p7_copies,
 }
