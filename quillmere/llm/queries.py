@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import encoding, format_dedup, fusion
+from quillmere.llm import encoding, format_dedup, fusion, pii
 from quillmere.session import load
 
 # --- 1: best representative of each duplicate group -----------------------------------------------------------------
@@ -47,7 +47,7 @@ c AS (SELECT o.*, field_name, max(matched_at_utc) OVER w AS last_at, min(match_r
 SELECT post_id, field_name, min(source_record_id) AS source_record_id FROM c WHERE matched_at_utc = last_at AND match_rank = top_rank GROUP BY 1, 2
 """
 
-# --- 6: garbled text ------------------------------------------------------------------------------------------------
+# --- 4 and 6: text fields -------------------------------------------------------------------------------------------
 
 
 def _posts(spark: SparkSession, base: str) -> DataFrame:
@@ -59,6 +59,22 @@ def _titles(spark: SparkSession, base: str) -> DataFrame:
     return load(spark, base, "timeline_records").select(F.col("source_record_id").alias("record"), F.lit("title").alias("field"), F.col("title").alias("text"))
 
 
+def _masked(spark: SparkSession, base: str) -> DataFrame:
+    fields = _posts(spark, base).unionByName(_titles(spark, base))
+    names = pii.learn_names(fields)
+    return pii.find(fields, pii.learn(fields, names), names)
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    """The types of personal data in each post and title."""
+    return _masked(spark, base).select(F.col("record").alias("source_record_id"), F.col("field").alias("field_name"), F.explode("kinds").alias("entity_type"))
+
+
+def p4_masked(spark: SparkSession, base: str) -> DataFrame:
+    """Posts and titles with personal data, typed placeholders in its place."""
+    return _masked(spark, base).select(F.col("record").alias("source_record_id"), F.col("field").alias("field_name"), "masked")
+
+
 def _text_fields(spark: SparkSession, base: str) -> DataFrame:
     places = load(spark, base, "normalized_records").select(F.col("source_record_id").alias("record"), F.lit("place_name").alias("field"), F.col("place_name").alias("text"))
     return _posts(spark, base).unionByName(_titles(spark, base)).unionByName(places)
@@ -113,6 +129,8 @@ P7_COPIES_SQL = _P7_CANON + "SELECT min(source_record_id) AS keep_id, count(*) A
 QUERIES = {
     "p1_found": p1_found,
     "p1_representative": p1_representative,
+    "p4_found": p4_found,
+    "p4_masked": p4_masked,
     "p6_found": p6_found,
     "p6_restored": p6_restored,
     "p7_found": p7_found,
