@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import encoding, format_dedup, fusion, pii
+from quillmere.llm import encoding, format_dedup, fusion, incremental_dedup, pii
 from quillmere.session import load
 
 # --- 1: best representative of each duplicate group -----------------------------------------------------------------
@@ -96,6 +96,44 @@ def p6_restored(spark: SparkSession, base: str) -> DataFrame:
     return _restored(spark, base).select(F.col("record").alias("source_record_id"), F.col("field").alias("field_name"), "chain", "restored")
 
 
+# --- 5: new batches against all history -----------------------------------------------------------------------------
+
+
+def _batches(spark: SparkSession, base: str) -> DataFrame:
+    """The parsed records with their run, whether it is pending, and what tells posts apart."""
+    files = load(spark, base, "source_files").select("source_file_id", "import_run_id").dropDuplicates(["source_file_id"])
+    runs = load(spark, base, "import_runs").select("import_run_id", "run_no", "status").dropDuplicates(["import_run_id"])
+    usable = fusion.usable_id(F.col("facebook_post_id"))
+    records = load(spark, base, "source_records").where("parse_status = 'parsed'").join(files, "source_file_id").join(runs, "import_run_id")
+    records = records.select("source_record_id", F.col("run_no").alias("run"), "status", "raw_sha256", "semantic_fingerprint", usable.alias("post_key"), F.col("created_timestamp").alias("ts"))
+    contents = load(spark, base, "normalized_records").select(
+        "source_record_id", F.col("normalized_post_text").alias("text"), F.col("normalized_media_references").alias("media"), F.col("normalized_external_urls").alias("links")
+    )
+    return records.join(contents.dropDuplicates(["source_record_id"]), "source_record_id", "left").withColumnRenamed("source_record_id", "record")
+
+
+def _first_deliveries(spark: SparkSession, base: str) -> DataFrame:
+    """Each pending record with the record of its class's first run: record, run, first_record, first_run."""
+    records = _batches(spark, base)
+    classed = incremental_dedup.repeats(records.drop("status"), ["raw_sha256", "semantic_fingerprint", "post_key"])
+    (run, record), (first_run, first_record) = incremental_dedup.split_order(F.col("order")), incremental_dedup.split_order(F.col("label"))
+    runs = load(spark, base, "import_runs").where("status = 'running'").select(F.col("run_no").alias("run")).distinct()
+    spread = classed.select(record.alias("record"), run.alias("run"), first_record.alias("first_record"), first_run.alias("first_run"))
+    return spread.join(runs, "run", "left_semi")
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """Every pending record of a post that an earlier run delivered, with the post's record of its first run."""
+    found = _first_deliveries(spark, base).where("first_run < run")
+    return found.select(F.least("record", "first_record").alias("source_record_id_a"), F.greatest("record", "first_record").alias("source_record_id_b"))
+
+
+def p5_split(spark: SparkSession, base: str) -> DataFrame:
+    """Every pending record, whether it is new or repeats an earlier run, and the record it repeats."""
+    repeated = F.col("first_run") < F.col("run")
+    return _first_deliveries(spark, base).select(F.col("record").alias("source_record_id"), "run", F.when(repeated, "repeat").otherwise("new").alias("kind"), F.when(repeated, F.col("first_record")).alias("repeats"))
+
+
 # --- 7: duplicates hidden by formatting differences -----------------------------------------------------------------
 
 
@@ -131,6 +169,8 @@ QUERIES = {
     "p1_representative": p1_representative,
     "p4_found": p4_found,
     "p4_masked": p4_masked,
+    "p5_found": p5_found,
+    "p5_split": p5_split,
     "p6_found": p6_found,
     "p6_restored": p6_restored,
     "p7_found": p7_found,
