@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import encoding, format_dedup, fusion, incremental_dedup, pii
+from quillmere.llm import contamination, encoding, format_dedup, fusion, incremental_dedup, pii
 from quillmere.session import load
 
 # --- 1: best representative of each duplicate group -----------------------------------------------------------------
@@ -164,6 +164,24 @@ k AS (SELECT source_record_id, t || chr(2) || array_to_string(m, chr(1)) || chr(
 P7_FOUND_SQL = _P7_CANON + "SELECT * FROM (SELECT min(source_record_id) OVER (PARTITION BY k) AS keep_id, source_record_id FROM k) WHERE keep_id <> source_record_id"
 P7_COPIES_SQL = _P7_CANON + "SELECT min(source_record_id) AS keep_id, count(*) AS copies, false AS collided FROM k GROUP BY k"
 
+# --- 9: evaluation texts leaking into training text -----------------------------------------------------------------
+
+
+def _leaks(spark: SparkSession, base: str) -> DataFrame:
+    documents = load(spark, base, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return contamination.leaks(documents, load(spark, base, "eval_items").select(F.col("item_id").alias("item"), "text"))
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    """The speeches that hold a passage of an evaluation item."""
+    return _leaks(spark, base).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p9_items(spark: SparkSession, base: str) -> DataFrame:
+    """The evaluation items that leaked, with the number of speeches and the most words found in one."""
+    return _leaks(spark, base).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("speeches"), F.max("words").alias("most_words"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_representative": p1_representative,
@@ -175,6 +193,8 @@ QUERIES = {
     "p6_restored": p6_restored,
     "p7_found": p7_found,
     "p7_copies": p7_copies,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
 }
 ORACLE = {
     "p1_found": P1_FOUND_SQL,
