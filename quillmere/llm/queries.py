@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import contamination, encoding, format_dedup, fusion, incremental_dedup, pii
+from quillmere.llm import contamination, encoding, format_dedup, fusion, incremental_dedup, pii, reading_level
 from quillmere.session import load
 
 # --- 1: best representative of each duplicate group -----------------------------------------------------------------
@@ -182,6 +182,25 @@ def p9_items(spark: SparkSession, base: str) -> DataFrame:
     return _leaks(spark, base).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("speeches"), F.max("words").alias("most_words"))
 
 
+# --- 10: reading level ----------------------------------------------------------------------------------------------
+
+
+def _levels(spark: SparkSession, base: str) -> DataFrame:
+    documents = load(spark, base, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return reading_level.levels(documents, load(spark, base, "reading_labels").withColumnRenamed("doc_id", "doc"))
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """The reading band of every English speech of at least 60 words."""
+    return _levels(spark, base).select(F.col("doc").alias("doc_id"), "band")
+
+
+def p10_profile(spark: SparkSession, base: str) -> DataFrame:
+    """Speeches and words per source and reading band."""
+    levels = _levels(spark, base).select(F.col("doc").alias("doc_id"), "band")
+    return load(spark, base, "documents").select("doc_id", "source", "n_chars").join(levels, "doc_id").groupBy("source", "band").agg(F.count("*").alias("speeches"), F.sum("n_chars").alias("chars"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_representative": p1_representative,
@@ -195,6 +214,8 @@ QUERIES = {
     "p7_copies": p7_copies,
     "p9_found": p9_found,
     "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_profile": p10_profile,
 }
 ORACLE = {
     "p1_found": P1_FOUND_SQL,
