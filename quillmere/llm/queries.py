@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import contamination, encoding, format_dedup, fusion, incremental_dedup, pii, reading_level
+from quillmere.llm import contamination, encoding, format_dedup, fusion, incremental_dedup, packing, pii, reading_level
 from quillmere.session import load
 
 # --- 1: best representative of each duplicate group -----------------------------------------------------------------
@@ -164,6 +164,23 @@ k AS (SELECT source_record_id, t || chr(2) || array_to_string(m, chr(1)) || chr(
 P7_FOUND_SQL = _P7_CANON + "SELECT * FROM (SELECT min(source_record_id) OVER (PARTITION BY k) AS keep_id, source_record_id FROM k) WHERE keep_id <> source_record_id"
 P7_COPIES_SQL = _P7_CANON + "SELECT min(source_record_id) AS keep_id, count(*) AS copies, false AS collided FROM k GROUP BY k"
 
+# --- 8: containers of fixed capacity ---------------------------------------------------------------------------------
+
+CAPACITY = 2048
+
+
+def p8_packed(spark: SparkSession, base: str) -> DataFrame:
+    """Every speech, or piece of one longer than a container, with its tokens, container and position."""
+    documents = load(spark, base, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return packing.pack(packing.token_counts(documents), CAPACITY).withColumnRenamed("doc", "doc_id")
+
+
+def p8_fill(spark: SparkSession, base: str) -> DataFrame:
+    """Containers, tokens and the share of room used."""
+    packed = p8_packed(spark, base).groupBy("container").agg(F.sum("length").alias("used"))
+    return packed.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count("*") * CAPACITY), 4).alias("share_used"))
+
+
 # --- 9: evaluation texts leaking into training text -----------------------------------------------------------------
 
 
@@ -212,6 +229,8 @@ QUERIES = {
     "p6_restored": p6_restored,
     "p7_found": p7_found,
     "p7_copies": p7_copies,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_items": p9_items,
     "p10_found": p10_found,
