@@ -15,7 +15,6 @@ take no room and go to container 0. Null items have length 0.
 from __future__ import annotations
 
 import base64
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,6 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-@functools.lru_cache(maxsize=2)
 def _encoding(path: str):
     import tiktoken
 
