@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,16 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Cut lineage through a written table in the shared checkpoint folder: compact, and read by column.
+
+    Partitions and order of the rows are not kept; :func:`cut` keeps them.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def skew_safe_lookup(
     facts: DataFrame,
     groups: DataFrame,
