@@ -41,7 +41,7 @@ def link(url, name=None):
 def base_records():
     return [
         text(T0, "plain words"),
-        text(T0 + DAY, "with a link", attachments=[link("https://Example.com/a#x", "A site")]),
+        text(T0 + DAY, "with a link", attachments=[link("https://example.com/a", "A site")]),
         text(T0 + 2 * DAY, "with a photo", attachments=[media("photos/a.jpg")]),
     ]
 
