@@ -44,3 +44,10 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys without nulls that occur more than once: keys, n."""
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     return df.where(known).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Rows per check that break it: name, n. As in SQL, a check that is null holds. One pass, whatever the number of checks."""
+    counted = df.agg(*[F.count_if(~F.coalesce(c, F.lit(True))).alias(name) for name, c in checks.items()])
+    pairs = F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("n")) for name in checks])
+    return counted.select(F.inline(pairs))

@@ -523,3 +523,62 @@ def media_dimension(spark, base):
     return details.groupBy(F.lower("d.normalized_reference").alias("reference")).agg(
         F.max_by(F.coalesce("d.media_type", F.lit("")), "source_record_id").alias("media_type"), F.count_distinct("source_record_id").alias("records")
     )
+
+
+@_query(
+    """SELECT unnest(['kind', 'parse_status', 'time_range', 'hash_length', 'fingerprint_of_parsed']) AS name,
+    unnest([count_if(source_kind NOT IN ('timeline', 'archive', 'trash', 'reel', 'video_metadata', 'photo_metadata', 'album_metadata', 'checkin_metadata', 'sharing_link_metadata')),
+      count_if(parse_status NOT IN ('parsed', 'partial', 'unsupported', 'failed')), count_if(NOT created_timestamp BETWEEN 0 AND 9007199254740991), count_if(length(raw_sha256) <> 64),
+      count_if(parse_status = 'parsed' AND semantic_fingerprint IS NULL)]) AS n FROM source_records"""
+)
+def check_constraints(spark, base):
+    from quillmere.operators.ordering import KIND_ORDER
+
+    checks = {
+        "kind": F.col("source_kind").isin(*KIND_ORDER),
+        "parse_status": F.col("parse_status").isin("parsed", "partial", "unsupported", "failed"),
+        "time_range": F.col("created_timestamp").between(0, 2**53 - 1),
+        "hash_length": F.length("raw_sha256") == 64,
+        "fingerprint_of_parsed": ~((F.col("parse_status") == "parsed") & F.col("semantic_fingerprint").isNull()),
+    }
+    return U.violations(load(spark, base, "source_records"), checks)
+
+
+@_query(
+    """SELECT DISTINCT o.post_id, o.source_record_id, CASE r.source_kind WHEN 'trash' THEN 'trash' ELSE 'archived' END AS state, true AS confirmed
+    FROM post_observations o JOIN source_records r USING (source_record_id) WHERE r.source_kind IN ('archive', 'trash')"""
+)
+def state_evidence(spark, base):
+    stated = load(spark, base, "source_records").where("source_kind IN ('archive', 'trash')").select("source_record_id", "source_kind").distinct()
+    observed = load(spark, base, "post_observations").select("post_id", "source_record_id").distinct()
+    state = F.when(F.col("source_kind") == "trash", "trash").otherwise("archived")
+    return observed.join(stated, "source_record_id").select("post_id", "source_record_id", state.alias("state"), F.lit(True).alias("confirmed"))
+
+
+@_query("SELECT sha256(place_name) AS place_key, min(source_record_id) AS first_record, count(DISTINCT source_record_id) AS records FROM normalized_records WHERE place_name IS NOT NULL GROUP BY place_name")
+def place_dimension(spark, base):
+    named = load(spark, base, "normalized_records").where("place_name IS NOT NULL").select("source_record_id", "place_name")
+    return named.groupBy(F.sha2("place_name", 256).alias("place_key")).agg(F.min("source_record_id").alias("first_record"), F.count_distinct("source_record_id").alias("records"))
+
+
+@_query(
+    """SELECT import_run_id, max(CASE parse_status WHEN 'failed' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END) AS severity, count(*) AS files
+    FROM (SELECT DISTINCT * FROM source_files) GROUP BY 1"""
+)
+def run_status(spark, base):
+    severity = F.when(F.col("parse_status") == "failed", 2).when(F.col("parse_status") == "partial", 1).otherwise(0)
+    return load(spark, base, "source_files").distinct().groupBy("import_run_id").agg(F.max(severity).alias("severity"), F.count("*").alias("files"))
+
+
+@_query(
+    """SELECT run_no, o.match_rule, count(*) AS n FROM (SELECT DISTINCT source_record_id, match_rule FROM post_observations) o
+    JOIN (SELECT DISTINCT source_record_id, source_file_id FROM source_records) r USING (source_record_id) JOIN (SELECT DISTINCT source_file_id, import_run_id FROM source_files) f USING (source_file_id)
+    JOIN import_runs USING (import_run_id) GROUP BY 1, 2"""
+)
+def rules_per_run(spark, base):
+    observed = load(spark, base, "post_observations").select("source_record_id", "match_rule").distinct()
+    records = load(spark, base, "source_records").select("source_record_id", "source_file_id").distinct()
+    files = load(spark, base, "source_files").select("source_file_id", "import_run_id").distinct()
+    runs = load(spark, base, "import_runs").select("import_run_id", "run_no")
+    joined = observed.join(records, "source_record_id").join(files, "source_file_id").join(runs, "import_run_id")
+    return joined.groupBy("run_no", "match_rule").agg(F.count("*").alias("n"))
