@@ -18,12 +18,14 @@ DISREGARDED = r"[\s\p{Z}\p{P}\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5
 _UNIT, _RECORD = "\u0001", "\u0002"
 
 
-def canonical_text(text: Column) -> Column:
-    """Text without case, white space, invisible characters and punctuation; null counts as empty.
+def caseless(text: Column) -> Column:
+    """Text without letter case; upper before lower case, and the sharp s as its capitals are written."""
+    return F.replace(F.lower(F.upper(text)), F.lit("ß"), F.lit("ss"))
 
-    Upper before lower case, so that letters with a two-letter capital agree with it.
-    """
-    return F.lower(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), DISREGARDED, "")))
+
+def canonical_text(text: Column) -> Column:
+    """Text without case, white space, invisible characters and punctuation; null counts as empty."""
+    return caseless(F.regexp_replace(F.coalesce(text, F.lit("")), DISREGARDED, ""))
 
 
 def canonical_list(values: Column) -> Column:

@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import itertools
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +70,7 @@ def claims(observations: DataFrame, records: DataFrame, fields: dict[str, tuple[
     )
     several = seen.groupBy("group").agg(F.min("record").alias("_a"), F.max("record").alias("_b")).where("_a <> _b").select("group")
     values = records.select("record", *[F.struct(value.alias("value"), key.alias("key")).alias(f"f_{name}") for name, (value, key) in fields.items()]).where(
-        F.greatest(*[F.col(f"f_{name}.value").isNotNull() for name in fields])
+        reduce(operator.or_, [F.col(f"f_{name}.value").isNotNull() for name in fields])
     )
     values = values.groupBy("record").agg(*[F.min(f"f_{name}").alias(f"f_{name}") for name in fields])
     each = F.filter(F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"f_{name}.value").alias("value"), F.col(f"f_{name}.key").alias("key")) for name in fields]), lambda x: x.value.isNotNull())
