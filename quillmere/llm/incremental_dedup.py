@@ -1,19 +1,17 @@
 """Deduplicating new batches against all history.
 
-An inverted index of rare-token prefixes, partitioned by token. Every distinct content (canonical text, media files,
-links, time of creation) is one document; its tokens are the word triples of the canonical text, and its prefix are the
-rarest ``n - ceil(t n) + 1`` of them, so that two documents of Jaccard similarity ``t`` or more share a prefix token.
-Posting lists are keyed by (token, signature of media and links, block of time), because contents with other files or
-links, or created further apart, are other posts. A batch probes the lists with its own prefixes, filters by length and
-time, verifies the overlap on whole token sets, and appends its postings. History is neither tokenized nor compared
-again.
+An inverted index of rare-token prefixes, partitioned by token. Every distinct content (canonical words, media files,
+links, time of creation) is one document; its tokens are the word triples, and its prefix are the rarest
+``n - ceil(t n) + 1`` of them, so that two documents of Jaccard similarity ``t`` or more share a prefix token. Posting
+lists are keyed by (token, signature of media and links, block of time), because contents with other files or links, or
+created further apart, are other posts. A batch probes the lists with its own prefixes, filters by length and time,
+verifies the overlap on whole token sets, and appends its postings. History is neither tokenized nor compared again.
 
 Token rarity comes from a table of ``DF_BUCKETS`` counters over all documents (hashing only coarsens the order of
 tokens, every order is a valid one), a fixed size, which is broadcast.
 
-Records that share an exact key or whose documents are linked form one class; classes are the connected components over
-records and keys, found by spreading the smallest label with pointer jumping. Keys of one record are no links and are
-dropped first; keys of any size spread their label through a salted lookup.
+Records that share an exact key or whose documents are linked form one class: the connected components over records and
+keys.
 """
 
 from __future__ import annotations
@@ -26,12 +24,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.format_dedup import canonical_list, canonical_text, canonical_urls
-from quillmere.session import cut, skew_safe_lookup
+from quillmere.llm.format_dedup import canonical_list, canonical_urls, caseless
+from quillmere.operators.components import components
+from quillmere.session import keep
 
 DF_BUCKETS = 1 << 18
 SIMILARITY = 0.45
 APART_SECONDS = 6 * 3600
+#: Length of a block of time, in multiples of the longest distance: the longer, the fewer postings are listed twice.
+BLOCK = 10
 _ID_BITS = 44
 
 
@@ -41,32 +42,28 @@ def file_names(references: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Words in canonical form: lower case, without punctuation, symbols and invisible characters."""
-    spaced = F.regexp_replace(F.lower(F.upper(F.coalesce(text, F.lit("")))), r"[\s\p{Z}]+", " ")
-    return F.filter(F.split(F.regexp_replace(spaced, r"[^\p{L}\p{N} ]+", ""), " "), lambda w: w != "")
+    """Words in canonical form: lower case, without punctuation, symbols and invisible characters; none for null."""
+    letters = F.regexp_replace(caseless(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s\p{Z}]+", "")
+    return F.filter(F.split(letters, r"[\s\p{Z}]+"), lambda w: w != "")
 
 
-def word_triples(tokens: Column) -> Column:
-    """Distinct 32-bit hashes of three neighbouring words, the ends of the text counting as words; none for an empty text."""
-    padded = F.concat(F.array(F.lit("^")), tokens, F.array(F.lit("$")))
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.hash(F.element_at(padded, i), F.element_at(padded, i + 1), F.element_at(padded, i + 2)))
-    return F.when(F.size(tokens) > 0, F.array_distinct(triples)).otherwise(F.array().cast("array<int>"))
+def contents(records: DataFrame) -> DataFrame:
+    """Document of every record: record, doc, sig, ts, h (hashes of the words).
 
+    ``records``: record, text, media, links, ts; records with none of the three contents are left out. Records of equal
+    words, files, links and time have one document; a null time equals a null time only.
+    """
+    canon = records.select("record", "ts", F.concat_ws("\u0002", file_names(F.col("media")), canonical_urls(F.col("links"))).alias("s"), words(F.col("text")).alias("w"))
+    canon = canon.where((F.size("w") > 0) | (F.translate("s", "\u0001\u0002?", "") != ""))
+    hashed = canon.select("record", "ts", F.xxhash64("s").alias("sig"), F.xxhash64(F.array_join("w", "")).alias("t"), F.transform("w", lambda x: F.hash(x)).alias("h"))
+    return hashed.select("record", F.xxhash64("sig", "t", "ts").alias("doc"), "sig", "ts", "h")
 
-def documents(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct contents and membership.
 
-    ``records``: record, text, media, links, ts. The first result has doc, sig, ts, tokens (those with no text, media
-    or links are left out); the second record, doc. Records of a null ``ts`` agree with each other only.
-    """
-    canon = records.select(
-        "record", F.col("ts").alias("ts"), F.concat_ws("\u0002", file_names(F.col("media")), canonical_urls(F.col("links"))).alias("s"), canonical_text(F.col("text")).alias("t"), words(F.col("text")).alias("w")
-    )
-    canon = canon.where(F.translate(F.concat("s", "t"), "\u0001\u0002", "") != "")
-    keyed = canon.withColumn("sig", F.xxhash64("s")).withColumn("doc", F.xxhash64("s", "t", "ts"))
-    members = keyed.select("record", "doc")
-    docs = keyed.select("doc", "sig", "ts", F.when(F.size("w") > 0, F.array_join("w", " ")).otherwise(F.lit("")).alias("w")).dropDuplicates(["doc"])
-    return docs.select("doc", "sig", "ts", word_triples(F.filter(F.split("w", " "), lambda x: x != "")).alias("tokens")), members
+def documents(held: DataFrame) -> DataFrame:
+    """Distinct documents: doc, sig, ts, tokens (distinct hashes of three neighbouring words, ends of the text included)."""
+    distinct = held.select("doc", "sig", "ts", F.concat(F.array(F.lit(1)), "h", F.array(F.lit(2))).alias("p")).dropDuplicates(["doc"])
+    triples = F.transform(F.sequence(F.lit(0), F.size("p") - 3), lambda i: F.hash(F.get("p", i), F.get("p", i + 1), F.get("p", i + 2)))
+    return distinct.select("doc", "sig", "ts", F.when(F.size("p") > 2, F.array_distinct(triples)).otherwise(F.array().cast("array<int>")).alias("tokens"))
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -78,9 +75,12 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY, apart: int = APART_SECONDS) -> DataFrame:
-    """Postings of the rare prefixes: key, doc, ts, n. A document without words posts its signature alone."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(counts)
+    """Postings of the rare prefixes: key, doc, ts, n, token. A document without words posts its signature alone.
+
+    A document near the end of its block of time is listed in the next block as well, so that two documents at most
+    ``apart`` seconds apart meet in one of them.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(counts)
 
     @F.pandas_udf("array<int>")
     def prefix(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -89,28 +89,31 @@ def postings(docs: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY
             out = []
             for tokens in batch:
                 t = np.asarray(tokens, dtype=np.int64)
-                keep = len(t) - math.ceil(similarity * len(t)) + 1
-                out.append(t[np.lexsort((t, df[t % DF_BUCKETS]))][:keep].astype(np.int32) if len(t) else t.astype(np.int32))
+                size = len(t) - math.ceil(similarity * len(t)) + 1
+                out.append(t[np.lexsort((t, df[t % DF_BUCKETS]))][:size].astype(np.int32) if len(t) else t.astype(np.int32))
             yield pd.Series(out)
 
-    block = F.floor(F.coalesce("ts", F.lit(-(2**40))) / F.lit(apart))
-    rows = docs.select("doc", "sig", "ts", F.size("tokens").alias("n"), F.when(F.size("tokens") > 0, prefix("tokens")).otherwise(F.array(F.lit(0))).alias("p"))
-    return rows.select("doc", "ts", "n", F.explode("p").alias("token"), "sig", block.alias("block")).select(F.xxhash64("token", "sig", "block").alias("key"), "doc", "ts", "n", "token", "sig", "block")
+    length = F.lit(apart * BLOCK)
+    time = F.coalesce("ts", F.lit(-(2**40)))
+    block, late = F.floor(time / length), F.pmod(time, length) >= length - apart
+    blocks = F.when(late, F.array(block, block + 1)).otherwise(F.array(block))
+    rows = docs.select("doc", "sig", "ts", F.size("tokens").alias("n"), F.when(F.size("tokens") > 0, prefix("tokens")).otherwise(F.array(F.lit(0))).alias("p"), blocks.alias("blocks"))
+    listed = rows.select("doc", "sig", "ts", "n", F.explode("blocks").alias("block"), "p").select("doc", "sig", "ts", "n", "block", F.explode("p").alias("token"))
+    return listed.select(F.xxhash64("token", "sig", "block").alias("key"), "doc", "ts", "n", "token")
 
 
 def probe(batch: DataFrame, index: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, apart: int = APART_SECONDS) -> DataFrame:
-    """Verified links between documents of a batch and of the index (which may contain the batch): a, b.
+    """Verified links between documents of a batch and of the index (which may be or hold the batch): a, b.
 
-    ``batch`` and ``index`` are postings, ``docs`` holds the token sets of both. Lists of one document are dropped
-    before the join. Each unordered pair comes out once.
+    ``batch`` and ``index`` are postings, ``docs`` holds the token sets of both. Each unordered pair comes out once. If
+    batch and index are the same postings, they are shuffled once.
     """
-    near = batch.select(F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("at"), "token", "sig", F.col("doc").alias("a"), F.col("ts").alias("ts_a"), F.col("n").alias("n_a"))
-    near = near.select(F.xxhash64("token", "sig", "at").alias("key"), "a", "ts_a", "n_a")
-    listed = index.select("key", F.col("doc").alias("b"), F.col("ts").alias("ts_b"), F.col("n").alias("n_b"))
-    pairs = near.join(listed, "key").where(
-        (F.col("a") != F.col("b")) & (F.abs(F.col("ts_a") - F.col("ts_b")) <= apart) & (F.least("n_a", "n_b") >= F.ceil(F.greatest("n_a", "n_b") * similarity))
+    columns = ["key", "doc", "ts", "n"]
+    left, right = batch.select(*columns).alias("l"), index.select(*columns).alias("r")
+    pairs = left.join(right, "key").where(
+        (F.col("l.doc") != F.col("r.doc")) & (F.abs(F.col("l.ts") - F.col("r.ts")) <= apart) & (F.least("l.n", "r.n") >= F.ceil(F.greatest("l.n", "r.n") * similarity))
     )
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct()
     sets = docs.select("doc", "tokens")
     both = pairs.join(sets.withColumnsRenamed({"doc": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"doc": "b", "tokens": "tb"}), "b")
     common = F.size(F.array_intersect("ta", "tb"))
@@ -122,52 +125,31 @@ def append(index_folder: str, new: DataFrame) -> None:
     new.withColumn("part", F.pmod("token", F.lit(64))).write.mode("append").partitionBy("part").parquet(index_folder)
 
 
-def classes(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Class of every record: record, label, the smallest ``order`` of its class.
-
-    ``nodes``: record, order (unique longs). ``edges``: record, key; a key joins its records.
-    """
-    sizes = edges.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    linked = cut(skew_safe_lookup(edges, sizes, ["key"], "size", "record").select("key", "record", "size"))
-    linked_nodes = cut(nodes.join(linked.select("record").distinct(), "record", "left_semi"))
-    labels = linked_nodes.select("record", "order", F.col("order").alias("label"))
-    for _ in range(max_rounds):
-        spread = linked.join(labels.select("record", "label"), "record")
-        lowest = spread.groupBy("key").agg(F.min("label").alias("low"), F.max("size").alias("size"))
-        back = skew_safe_lookup(spread, lowest.withColumnRenamed("size", "size_"), ["key"], "size_", "record")
-        best = back.groupBy("record").agg(F.min("low").alias("low"))
-        stepped = labels.join(best, "record").select("record", "order", "label", F.least("label", "low").alias("next"))
-        # Pointer jumping: adopt the label of the record whose order is the label.
-        jump = stepped.select(F.col("order").alias("next"), F.col("next").alias("further"))
-        after = cut(stepped.join(jump, "next").select("record", "order", F.col("label").alias("old"), F.least("next", "further").alias("label")))
-        changed = after.where("label <> old").limit(1).count()
-        labels = after.select("record", "order", "label")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("classes did not settle")
-    return nodes.join(labels.select("record", "label"), "record", "left").select("record", "order", F.coalesce("label", "order").alias("label"))
-
-
-def repeats(records: DataFrame, exact_keys: list[str]) -> DataFrame:
+def repeats(records: DataFrame, texts: DataFrame, exact_keys: list[str]) -> DataFrame:
     """Class of every record: record, order, label.
 
-    ``records``: record, run (int), text, media, links, ts and the ``exact_keys`` columns, null where not usable. Rows
-    repeated under one record count once. The order of a record is its run, then its id, which must lie below 2^44.
+    ``records``: record, run (int) and the ``exact_keys`` columns, null where not usable; ``texts``: record, text, media,
+    links, ts. Rows repeated under one record count once; texts of other records are disregarded. The order of a record
+    is its run, then its id, which must lie below 2^44. Records of one value of the first exact key are one node of the
+    components, so that mere repeats cost nothing there.
     """
-    rows = cut(records.dropDuplicates(["record"]))
-    docs, members = documents(rows)
-    docs = cut(docs)
-    index = postings(docs, rarity(docs))
-    links = probe(index, index, docs)
-    pair_key = F.xxhash64(F.lit("near"), F.col("a"), F.col("b"))
-    near = cut(links.select(pair_key.alias("key"), F.explode(F.array("a", "b")).alias("doc")))
-    exact = [rows.where(F.col(k).isNotNull()).select("record", F.xxhash64(F.lit(k), F.col(k)).alias("key")) for k in exact_keys]
-    edges = members.select("record", F.col("doc").alias("key")).unionByName(near.join(members, "doc").select("record", "key"))
-    for e in exact:
-        edges = edges.unionByName(e)
     order = F.shiftleft(F.col("run").cast("long"), _ID_BITS) + F.col("record")
-    return classes(rows.select("record", order.alias("order")), edges)
+    hashes = [F.when(F.col(k).isNotNull(), F.xxhash64(F.lit(k), F.col(k))).alias(k) for k in exact_keys]
+    rows = records.select("record", order.alias("order"), *hashes)
+    rows = rows.groupBy("record").agg(F.min("order").alias("order"), *[F.min(k).alias(k) for k in exact_keys])
+    rows = keep(rows.withColumn("node", F.coalesce(exact_keys[0], F.xxhash64(F.lit("record"), F.col("record")))))
+    held = keep(contents(texts))
+    docs = keep(documents(held))
+    index = postings(docs, rarity(docs))
+    links = keep(probe(index, index, docs))
+    near = links.select(F.xxhash64(F.lit("near"), F.col("a"), F.col("b")).alias("key"), F.explode(F.array("a", "b")).alias("doc"))
+    members = keep(held.select("record", "doc").distinct().join(rows.select("record", "node"), "record").select("node", "doc").distinct())
+    edges = members.select(F.col("node").alias("record"), F.col("doc").alias("key")).unionByName(near.join(members, "doc").select(F.col("node").alias("record"), "key"))
+    for k in exact_keys[1:]:
+        edges = edges.unionByName(rows.select(F.col("node").alias("record"), F.col(k).alias("key")))
+    nodes = rows.groupBy(F.col("node").alias("record")).agg(F.min("order").alias("order"))
+    classed = components(nodes, edges).select(F.col("record").alias("node"), "label")
+    return rows.select("record", "order", "node").join(classed, "node").select("record", "order", "label")
 
 
 def split_order(order: Column) -> tuple[Column, Column]:

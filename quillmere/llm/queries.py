@@ -100,26 +100,28 @@ def p6_restored(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _batches(spark: SparkSession, base: str) -> DataFrame:
-    """The parsed records with their run, whether it is pending, and what tells posts apart."""
+    """The parsed records with their run and exact keys."""
     files = load(spark, base, "source_files").select("source_file_id", "import_run_id").dropDuplicates(["source_file_id"])
-    runs = load(spark, base, "import_runs").select("import_run_id", "run_no", "status").dropDuplicates(["import_run_id"])
-    usable = fusion.usable_id(F.col("facebook_post_id"))
-    records = load(spark, base, "source_records").where("parse_status = 'parsed'").join(files, "source_file_id").join(runs, "import_run_id")
-    records = records.select("source_record_id", F.col("run_no").alias("run"), "status", "raw_sha256", "semantic_fingerprint", usable.alias("post_key"), F.col("created_timestamp").alias("ts"))
-    contents = load(spark, base, "normalized_records").select(
-        "source_record_id", F.col("normalized_post_text").alias("text"), F.col("normalized_media_references").alias("media"), F.col("normalized_external_urls").alias("links")
+    runs = load(spark, base, "import_runs").select("import_run_id", "run_no").dropDuplicates(["import_run_id"])
+    records = load(spark, base, "source_records").where("parse_status = 'parsed'").select(
+        F.col("source_record_id").alias("record"), "source_file_id", "semantic_fingerprint", "raw_sha256", fusion.usable_id(F.col("facebook_post_id")).alias("post_key")
+    )
+    return records.join(files, "source_file_id").join(runs, "import_run_id").withColumnRenamed("run_no", "run")
+
+
+def _contents(spark: SparkSession, base: str) -> DataFrame:
+    return load(spark, base, "normalized_records").select(
+        F.col("source_record_id").alias("record"), F.col("created_timestamp").alias("ts"), F.col("normalized_post_text").alias("text"), F.col("normalized_media_references").alias("media"), F.col("normalized_external_urls").alias("links")
     )
-    return records.join(contents.dropDuplicates(["source_record_id"]), "source_record_id", "left").withColumnRenamed("source_record_id", "record")
 
 
 def _first_deliveries(spark: SparkSession, base: str) -> DataFrame:
     """Each pending record with the record of its class's first run: record, run, first_record, first_run."""
-    records = _batches(spark, base)
-    classed = incremental_dedup.repeats(records.drop("status"), ["raw_sha256", "semantic_fingerprint", "post_key"])
+    classed = incremental_dedup.repeats(_batches(spark, base), _contents(spark, base), ["semantic_fingerprint", "raw_sha256", "post_key"])
     (run, record), (first_run, first_record) = incremental_dedup.split_order(F.col("order")), incremental_dedup.split_order(F.col("label"))
     runs = load(spark, base, "import_runs").where("status = 'running'").select(F.col("run_no").alias("run")).distinct()
     spread = classed.select(record.alias("record"), run.alias("run"), first_record.alias("first_record"), first_run.alias("first_run"))
-    return spread.join(runs, "run", "left_semi")
+    return spread.join(F.broadcast(runs), "run", "left_semi")
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
@@ -152,7 +154,7 @@ def p7_copies(spark: SparkSession, base: str) -> DataFrame:
 _P7_CANON = r"""
 WITH c AS (
   SELECT DISTINCT source_record_id,
-    lower(upper(regexp_replace(coalesce(normalized_post_text, ''), '[\s\p{Z}\p{P}\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]+', '', 'g'))) AS t,
+    replace(lower(upper(regexp_replace(coalesce(normalized_post_text, ''), '[\s\p{Z}\p{P}\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]+', '', 'g'))), 'ß', 'ss') AS t,
     list_sort(list_transform(coalesce(normalized_media_references, []), lambda x: lower(upper(regexp_replace(coalesce(x, ''), '[\s\p{Z}\p{P}\p{Cc}\p{Cf}]+', '', 'g'))))) AS m,
     list_sort(list_transform(coalesce(normalized_external_urls, []), lambda x: lower(upper(regexp_replace(split_part(coalesce(x, ''), '?', 1), '[\s\p{Z}\p{P}\p{Cc}\p{Cf}]+', '', 'g')))
       || '?' || array_to_string(list_sort(list_transform(string_split_regex(CASE WHEN instr(x, '?') > 0 THEN substr(x, instr(x, '?') + 1) ELSE '' END, '[&;]'),
