@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.session import cut
+from quillmere.session import cut, keep
 
 RELABEL_AGREEING, RELABEL_OTHER, MOVE = 0.4, 2.5, 0.8
 
@@ -289,9 +289,9 @@ def neighbours(files: DataFrame) -> DataFrame:
             for part, group, name in zip(batch["part"], batch["group"], batch["file"]):
                 before.append(last[1] if last and last[0] == group else None)
                 last = (group, name)
-            yield batch.assign(before=pd.array(before, dtype="Int64"), number=[0] * len(batch))[["part", "group", "file", "before"]]
+            yield batch.assign(before=pd.array(before, dtype="Int64"))[["part", "group", "file", "before"]]
 
-    linked = cut(ordered.withColumn("part", F.spark_partition_id()).select("part", "group", "file").mapInPandas(link, "part int, group string, file long, before long"))
+    linked = keep(ordered.withColumn("part", F.spark_partition_id()).select("part", "group", "file").mapInPandas(link, "part int, group string, file long, before long"))
     ends = ordered.select(F.spark_partition_id().alias("part"), "group", "exported_at", "file").groupBy("part").agg(
         F.max_by(F.struct("group", "file"), F.struct("group", "exported_at", "file")).alias("last"), F.min_by(F.struct("group", "file"), F.struct("group", "exported_at", "file")).alias("first")
     )
@@ -311,7 +311,7 @@ def changes(files: DataFrame) -> DataFrame:
 
     ``files``: file, group, exported_at, key_field (the field that names a record), content.
     """
-    good = cut(readable_files(files))
+    good = keep(readable_files(files))
     pairs = neighbours(good).where("before IS NOT NULL")
     contents = good.select("file", "key_field", "content")
     both = pairs.join(contents, "file").join(contents.select(F.col("file").alias("before"), F.col("content").alias("content_before")), "before")

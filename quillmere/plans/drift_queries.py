@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.operators.schema_drift import changes, consistent_table
-from quillmere.session import cut, load
+from quillmere.session import keep, load
 
 
 def _files(spark: SparkSession, base: str) -> DataFrame:
@@ -23,7 +23,7 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
 def p3_records(spark: SparkSession, base: str) -> DataFrame:
     """All records of all readable files under one naming of fields."""
     files = _files(spark, base)
-    table = consistent_table(files, cut(changes(files)))
+    table = consistent_table(files, keep(changes(files)))
     return table.select(F.col("file").alias("export_file_id"), F.col("kind").alias("source_kind"), "record_key", F.to_json("fields").alias("fields"))
 
 
