@@ -5,7 +5,7 @@ context words) vote +1, 0 or -1 on each. Expectation-maximisation over the count
 for each type, the share of true spans and how every labeler votes on true and false ones; the resulting soft labels
 train a logistic classifier per type on votes and shape features. That classifier decides on spans.
 
-Corpus-wide work is one grouping by (type, features), which combines on the map side; the number of patterns is bounded
+The texts are read once; those with candidates are kept. Corpus-wide work is one grouping by (type, features), which combines on the map side; the number of patterns is bounded
 by the number of labelers and features, not by the corpus. The gazetteers are bounded by ``max_given`` and
 ``max_family`` entries, the most frequent ones; a name beyond them loses one vote, not its candidacy.
 """
@@ -107,9 +107,10 @@ def _trimmed(kind: str, text: str, start: int, end: int) -> tuple[int, int]:
     shorter = re.search(r"\s\d{1,3}$", text[start:end])
     if counted and shorter:
         end = start + shorter.start()
-    if text[start] == "(" and ")" not in text[start : end - 1]:
+    value = text[start:end]
+    if text[start] == "(" and (value.count("(") > value.count(")") or value.find(")") == len(value) - 1):
         start += 1
-    if text[end - 1] == ")" and "(" not in text[start:end]:
+    if text[end - 1] == ")" and text[start:end].count(")") > text[start:end].count("("):
         end -= 1
     return start, end
 
@@ -163,10 +164,23 @@ def _name_spans(text: str, names: Gazetteer) -> Iterator[Span]:
         i = j + 1
 
 
+#: What a text needs to have for a candidate of the type.
+_NEEDS = {
+    "EMAIL": re.compile(r"@|(?i:\bat\b.*\bdot\b|[\[({]\s*at\s*[\])}])", re.S),
+    "PHONE": re.compile(r"(?:\d\D{0,4}){7}"),
+    "ID_NUMBER": re.compile(r"(?:\d\D{0,4}){6}"),
+    "ADDRESS": re.compile(r"(?i)\d.*(?:\b(?:lane|st|street|row|road|rd|ave|avenue|crescent|terrace|drive|dr|close|walk|place|square|court|ct|way|hill|mews|gardens|boulevard|blvd|alley|ln)\b|stra(?:ss|ß)e|str\.|weg|allee|gasse|platz|ufer|rue|chemin|impasse|allée|quai|calle|via|rua|avenida|plaza)|(?:street|lane|row|road|avenue|crescent|terrace|drive|close|walk|place|square|court|way|hill|mews|gardens|boulevard|alley|st|rd|ave|dr|ln|ct|stra(?:ss|ß)e|str\.|weg|allee|gasse|platz|ufer|calle|via|rua|avenida|plaza).*\d", re.S),
+}
+_LETTERS = re.compile(r"[^\W\d_]+")
+_INITIAL = re.compile(r"(?<![^\W\d_])[^\W\d_]\.")
+
+
 def candidates(text: str, names: Gazetteer) -> list[Span]:
     """All candidate spans of a text with votes and shape features; spans of one type don't overlap."""
     found: list[Span] = []
     for kind, patterns in _COMPILED.items():
+        if not _NEEDS[kind].search(text):
+            continue
         taken: list[tuple[int, int]] = []
         for k, pattern in enumerate(patterns):
             for m in pattern.finditer(text):
@@ -223,7 +237,8 @@ def candidates(text: str, names: Gazetteer) -> list[Span]:
                     shape = (_sign(k == 0), _sign(value.islower()), _sign(digits > 3))
                 taken.append((start, end))
                 found.append(Span(start, end, kind, votes + shape))
-    found += _name_spans(text, names)
+    if _INITIAL.search(text) or not names.given.isdisjoint(_LETTERS.findall(text.lower())):
+        found += _name_spans(text, names)
     return found
 
 
@@ -303,11 +318,14 @@ class SpanModel:
         z = float((_design(np.array([span.features]), N_VOTES[span.kind]) @ b)[0])
         return 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
 
-    def spans(self, text: str, names: Gazetteer, cache: dict | None = None) -> list[Span]:
-        """The true spans, without overlaps: the surer and then the longer one stands."""
-        cache = {} if cache is None else cache
+    def spans(self, text: str, names: Gazetteer) -> list[Span]:
+        """The true spans of a text."""
+        return self.choose(candidates(text, names), {})
+
+    def choose(self, proposed: list[Span], cache: dict) -> list[Span]:
+        """The true ones of the proposed spans, without overlaps: the surer and then the longer one stands."""
         scored = []
-        for s in candidates(text, names):
+        for s in proposed:
             key = (s.kind, s.features)
             if key not in cache:
                 cache[key] = self.probability(s)
@@ -333,43 +351,56 @@ def learn_names(fields: DataFrame, max_given: int = 5_000, max_family: int = 100
     return Gazetteer(frozenset(given), frozenset(r.family for r in family.collect()) if family is not None else frozenset())
 
 
-def learn(fields: DataFrame, names: Gazetteer) -> SpanModel:
-    """Span model trained on the vote patterns of the whole corpus (record, field, text)."""
+def propose(fields: DataFrame, names: Gazetteer) -> DataFrame:
+    """Texts with candidate spans: record, field, text, spans (start, end, kind, features as text).
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+    The one pass over all texts; null and empty ones have no candidates.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["text"]:
-                for s in candidates(text, names):
-                    total[s.kind, s.features] += 1
-        yield pd.DataFrame([(k, " ".join(map(str, f)), n) for (k, f), n in total.items()], columns=["kind", "features", "n"])
+            rows = []
+            for record, name, text in zip(batch["record"], batch["field"], batch["text"]):
+                spans = candidates(text, names)
+                if spans:
+                    rows.append((record, name, text, [{"start": s.start, "end": s.end, "kind": s.kind, "features": " ".join(map(str, s.features))} for s in spans]))
+            if rows:
+                yield pd.DataFrame(rows, columns=["record", "field", "text", "spans"])
+
+    schema = "record long, field string, text string, spans array<struct<start:int,end:int,kind:string,features:string>>"
+    return fields.where("text <> ''").select("record", "field", "text").mapInPandas(scan, schema)
+
 
-    rows = fields.where("text IS NOT NULL").select("text").mapInPandas(count, "kind string, features string, n long").groupBy("kind", "features").agg(F.sum("n").alias("n")).collect()
+def learn(proposed: DataFrame) -> SpanModel:
+    """Span model trained on the vote patterns of the whole corpus."""
+    rows = proposed.select(F.inline("spans")).groupBy("kind", "features").count().collect()
     counts: dict[str, dict[tuple[int, ...], float]] = {}
     for r in rows:
-        counts.setdefault(r.kind, {})[tuple(map(int, r.features.split()))] = float(r.n)
+        counts.setdefault(r.kind, {})[tuple(map(int, r.features.split()))] = float(r["count"])
     return SpanModel.train(counts)
 
 
-def find(fields: DataFrame, model: SpanModel, names: Gazetteer) -> DataFrame:
+def find(proposed: DataFrame, model: SpanModel) -> DataFrame:
     """Texts in which something was found: record, field, kinds (distinct types), masked (text with ``[TYPE]`` in place of spans).
 
-    Null and empty texts hold nothing. Rows repeated under one record and field come out once. Whole texts are read.
+    Rows repeated under one record and field come out once (of different texts, one). Whole texts are read.
     """
 
-    @F.pandas_udf("kinds array<string>, masked string")
-    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
-        for texts in batches:
+        for batch in batches:
             out = []
-            for text in texts:
-                spans = model.spans(text, names, cache)
+            for record, name, text, proposals in zip(batch["record"], batch["field"], batch["text"], batch["spans"]):
+                spans = model.choose([Span(p["start"], p["end"], p["kind"], tuple(map(int, p["features"].split()))) for p in proposals], cache)
+                if not spans:
+                    continue
                 parts, at = [], 0
                 for s in spans:
                     parts += [text[at : s.start], f"[{s.kind}]"]
                     at = s.end
-                out.append((sorted({s.kind for s in spans}), "".join(parts) + text[at:]))
-            yield pd.DataFrame(out, columns=["kinds", "masked"])
+                out.append((record, name, sorted({s.kind for s in spans}), "".join(parts) + text[at:]))
+            if out:
+                yield pd.DataFrame(out, columns=["record", "field", "kinds", "masked"])
 
-    found = fields.where("text IS NOT NULL").select("record", "field", mask("text").alias("m")).where(F.size("m.kinds") > 0)
-    return found.select("record", "field", "m.kinds", "m.masked").groupBy("record", "field").agg(F.first("kinds").alias("kinds"), F.first("masked").alias("masked"))
+    found = proposed.mapInPandas(mask, "record long, field string, kinds array<string>, masked string")
+    return found.groupBy("record", "field").agg(F.min(F.struct("kinds", "masked")).alias("m")).select("record", "field", "m.kinds", "m.masked")

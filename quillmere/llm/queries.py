@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm import contamination, encoding, format_dedup, fusion, incremental_dedup, packing, pii, reading_level
-from quillmere.session import load
+from quillmere.session import keep, load
 
 # --- 1: best representative of each duplicate group -----------------------------------------------------------------
 
@@ -61,8 +61,8 @@ def _titles(spark: SparkSession, base: str) -> DataFrame:
 
 def _masked(spark: SparkSession, base: str) -> DataFrame:
     fields = _posts(spark, base).unionByName(_titles(spark, base))
-    names = pii.learn_names(fields)
-    return pii.find(fields, pii.learn(fields, names), names)
+    proposed = keep(pii.propose(fields, pii.learn_names(fields)))
+    return pii.find(proposed, pii.learn(proposed))
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:

@@ -88,19 +88,20 @@ def test_personal_data(spark):
     df = fields(spark, [t for t, _ in cases])
     names = pii.learn_names(df)
     assert {g.lower() for g in GIVEN} <= names.given
-    model = pii.learn(df, names)
+    model = pii.learn(pii.propose(df, names))
     held = personal(2, 300)
     right = sum({s.kind for s in model.spans(t, names)} == kinds for t, kinds in held)
     assert right / len(held) > 0.95, [(t, k, [(s.kind, t[s.start : s.end]) for s in model.spans(t, names)]) for t, k in held if {s.kind for s in model.spans(t, names)} != k][:5]
-    masked = {r.record: r.masked for r in pii.find(fields(spark, ["Photo by Felix Ashby.", None, "", "nothing", "x " * 40_000 + "Call me on +44 20 7946 0123 now."]), model, names).collect()}
+    texts = fields(spark, ["Photo by Felix Ashby.", None, "", "nothing", "x " * 40_000 + "Call me on +44 20 7946 0123 now."])
+    masked = {r.record: r.masked for r in pii.find(pii.propose(texts.unionByName(texts), names), model).collect()}
     assert masked[0] == "Photo by [NAME]." and set(masked) == {0, 4} and masked[4].endswith("Call me on [PHONE] now.")
 
 
 def test_personal_data_edges(spark):
     none = fields(spark, [])
     names = pii.learn_names(none)
-    model = pii.learn(none, names)
-    assert names == pii.Gazetteer(frozenset(), frozenset()) and pii.find(fields(spark, ["a@b.example"]), model, names).count() == 0
+    model = pii.learn(pii.propose(none, names))
+    assert names == pii.Gazetteer(frozenset(), frozenset()) and pii.find(pii.propose(fields(spark, ["a@b.example"]), names), model).count() == 0
     share, p_true, p_false = pii.estimate({(1, 1, 0): 80.0, (-1, 0, -1): 40.0, (1, 0, 0): 10.0}, 3)
     assert 0.5 < share < 0.9 and p_true[0][2] > 0.9 > 0.5 > p_false[0][2]
 
