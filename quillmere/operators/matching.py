@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.operators.windows import only_match
+from quillmere.session import keep
 
 RULES = ("M01", "M02", "M03", "M04", "M05", "M06", "M07", "M08", "M09")
 
@@ -66,8 +67,9 @@ def cascade(records: DataFrame, entities: DataFrame) -> DataFrame:
 
     ``records``: record, authoritative, id, url, fp, slot, ts, text, media, urls; ``entities``: the same with entity in
     place of record. Arrays must not be null. Records no rule matches are created (M08) or, if not authoritative,
-    skipped (M09).
+    skipped (M09). Both are read by every rule, so they are written once.
     """
+    records, entities = keep(records), keep(entities)
     hits = [
         by_key(records, entities, ["id"]),
         by_key(records, entities, ["url"]),
