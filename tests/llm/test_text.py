@@ -210,5 +210,11 @@ def test_reading_levels(spark):
 def test_ranks_and_coverage(spark):
     words = spark.createDataFrame([("a", 5), ("b", 3), ("a", 1), ("c", 3), ("d", 1)], "word string, n long")
     assert {r.word: r.rank for r in reading_level.word_ranks(words).collect()} == {"a": 1, "b": 2, "c": 2, "d": 4}
-    one = spark.createDataFrame([(1, "The cat sat. " * 30)], "doc long, text string").where(reading_level.is_english(F.col("text")) | F.lit(True))
-    assert reading_level._median(F.lit(None).cast("array<double>")) is not None and one.count() == 1
+    texts = {"The cat sat on the mat and it was ours.": True, "Der Hund und die Katze sind nicht da.": False, "": False, "mat cat": False}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", reading_level.is_english(F.flatten(reading_level.sentences(F.col("t")))).alias("e"))
+    assert {r.t: r.e for r in df.collect()} == texts
+    documents = spark.createDataFrame([(1, ["a", "a", "b", "d"]), (2, ["c"])], "doc long, words array<string>")
+    ranks = reading_level.word_ranks(words)
+    slow = {r.doc: tuple(r)[1:] for r in reading_level.coverage(documents, ranks, (0.5, 0.9)).collect()}
+    fast = {r.doc: tuple(r)[1:] for r in reading_level.coverage_by_table(documents, ranks, (0.5, 0.9)).collect()}
+    assert all(slow[d] == pytest.approx(fast[d]) for d in (1, 2)) and fast[1] == pytest.approx((0.0, 1.3862943611198906))
