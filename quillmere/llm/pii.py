@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmere.session import keep
+
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 _GAP = r"[   ​\t]"
 _STREET = r"(?:lane|street|row|road|avenue|crescent|terrace|drive|close|walk|place|square|court|way|hill|mews|gardens|boulevard|alley|st|rd|ave|dr|blvd|ln|ct)"
@@ -30,7 +32,7 @@ _CARRIER = r"(?:example|test|invalid|com|org|net|edu|gov|info|io|co|uk|de|fr|es|
 
 PATTERNS: dict[str, list[str]] = {
     "EMAIL": [
-        r"[a-z0-9][a-z0-9._%+\-]*@[a-z0-9][a-z0-9\-]*(?:\.[a-z0-9\-]+)*\.[a-z]{2,}",
+        r"(?<![a-z0-9._%+\-])[a-z0-9][a-z0-9._%+\-]*+@[a-z0-9][a-z0-9\-]*(?:\.[a-z0-9\-]+)*\.[a-z]{2,}",
         rf"[a-z0-9][a-z0-9._%+\-]*{_GAP}*[\[({{]{_GAP}*at{_GAP}*[\])}}]{_GAP}*[a-z0-9\-]+(?:{_GAP}*(?:[\[({{]{_GAP}*(?:dot|\.){_GAP}*[\])}}]|{_GAP}dot{_GAP}|\.){_GAP}*[a-z0-9\-]+)+",
         rf"[a-z0-9][a-z0-9._%+\-]*{_GAP}+at{_GAP}+[a-z0-9\-]+(?:{_GAP}+dot{_GAP}+[a-z0-9\-]+)+",
     ],
@@ -47,9 +49,9 @@ PATTERNS: dict[str, list[str]] = {
     ],
     "ADDRESS": [
         rf"(?:(?:flat|apt|apartment|unit){_GAP}+\d+[a-z]?,{_GAP}*)?(?<![\w.,])\d{{1,5}}[a-z]?{_GAP}+{_NOT_STREET}[\w'’\-]+{_GAP}+(?:{_NOT_STREET}[\w'’\-]+{_GAP}+)?{_STREET}\b(?:,?{_GAP}+(?:apt|flat|unit)\.?{_GAP}+\d+[a-z]?)?",
-        rf"[\w'’\-]+{_GAP}+{_STREET}\b\.?,?{_GAP}+(?:no\.?|nr\.?|number|№){_GAP}*\d{{1,5}}[a-z]?",
+        rf"(?<![\w'’\-])[\w'’\-]++{_GAP}+{_STREET}\b\.?,?{_GAP}+(?:no\.?|nr\.?|number|№){_GAP}*\d{{1,5}}[a-z]?",
         rf"(?<![\w.,])\d{{1,5}}(?:{_GAP}?(?:bis|ter))?,?{_GAP}+(?:rue|avenue|boulevard|chemin|impasse|allée|quai|place){_GAP}+(?:(?:de|du|des|la|le|les|l['’])[  ]*)*[\w'’\-]+",
-        rf"[\w\-]+(?:stra(?:ss|ß)e|str\.|weg|allee|gasse|platz|ufer){_GAP}+\d{{1,5}}[a-z]?\b(?:,{_GAP}*\d{{4,5}}{_GAP}+[\w\-]+)?",
+        rf"(?<![\w\-])[\w\-]+(?:stra(?:ss|ß)e|str\.|weg|allee|gasse|platz|ufer){_GAP}+\d{{1,5}}[a-z]?\b(?:,{_GAP}*\d{{4,5}}{_GAP}+[\w\-]+)?",
         rf"(?:calle|via|rua|avenida|plaza){_GAP}+(?:de(?:l|{_GAP}la)?{_GAP}+)?[\w'’\-]+,?{_GAP}+(?:n[.º°]?{_GAP}*)?\d{{1,5}}\b",
     ],
 }
@@ -164,13 +166,23 @@ def _name_spans(text: str, names: Gazetteer) -> Iterator[Span]:
         i = j + 1
 
 
-#: What a text needs to have for a candidate of the type.
-_NEEDS = {
-    "EMAIL": re.compile(r"@|(?i:\bat\b.*\bdot\b|[\[({]\s*at\s*[\])}])", re.S),
-    "PHONE": re.compile(r"(?:\d\D{0,4}){7}"),
-    "ID_NUMBER": re.compile(r"(?:\d\D{0,4}){6}"),
-    "ADDRESS": re.compile(r"(?i)\d.*(?:\b(?:lane|st|street|row|road|rd|ave|avenue|crescent|terrace|drive|dr|close|walk|place|square|court|ct|way|hill|mews|gardens|boulevard|blvd|alley|ln)\b|stra(?:ss|ß)e|str\.|weg|allee|gasse|platz|ufer|rue|chemin|impasse|allée|quai|calle|via|rua|avenida|plaza)|(?:street|lane|row|road|avenue|crescent|terrace|drive|close|walk|place|square|court|way|hill|mews|gardens|boulevard|alley|st|rd|ave|dr|ln|ct|stra(?:ss|ß)e|str\.|weg|allee|gasse|platz|ufer|calle|via|rua|avenida|plaza).*\d", re.S),
-}
+_STREET_WORD = re.compile(r"\b(?:lane|st|street|row|road|rd|ave|avenue|crescent|terrace|drive|dr|close|walk|place|square|court|ct|way|hill|mews|gardens|boulevard|blvd|alley|ln|rue|chemin|impasse|allée|quai|calle|via|rua|avenida|plaza)\b|stra(?:ss|ß)e\b|str\.|(?:weg|allee|gasse|platz|ufer)\b")
+_SEVEN, _SIX, _DIGIT = re.compile(r"(?:\d\D{0,4}){7}"), re.compile(r"(?:\d\D{0,4}){6}"), re.compile(r"\d")
+_AT = re.compile(r"[\[({]\s*at\s*[\])}]|\bdot\b")
+
+
+def _kinds_in(text: str) -> list[str]:
+    """Types of which the text can hold a candidate at all, by the characters and words that each needs."""
+    lower = text.lower()
+    kinds = ["EMAIL"] if "@" in text or _AT.search(lower) else []
+    if _DIGIT.search(text):
+        if _SIX.search(text):
+            kinds += ["PHONE", "ID_NUMBER"] if _SEVEN.search(text) else ["ID_NUMBER"]
+        if _STREET_WORD.search(lower):
+            kinds.append("ADDRESS")
+    return kinds
+
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 _INITIAL = re.compile(r"(?<![^\W\d_])[^\W\d_]\.")
 
@@ -178,9 +190,8 @@ _INITIAL = re.compile(r"(?<![^\W\d_])[^\W\d_]\.")
 def candidates(text: str, names: Gazetteer) -> list[Span]:
     """All candidate spans of a text with votes and shape features; spans of one type don't overlap."""
     found: list[Span] = []
-    for kind, patterns in _COMPILED.items():
-        if not _NEEDS[kind].search(text):
-            continue
+    for kind in _kinds_in(text):
+        patterns = _COMPILED[kind]
         taken: list[tuple[int, int]] = []
         for k, pattern in enumerate(patterns):
             for m in pattern.finditer(text):
@@ -343,7 +354,7 @@ def learn_names(fields: DataFrame, max_given: int = 5_000, max_family: int = 100
     mail = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\w.+])([a-z]{2,}\.[a-z]{3,})@"), 1)
     cue = F.regexp_extract_all("text", F.lit(r"(?:\b[Bb]y|\b[Ww]ith|Dr\.|thanks to|news of) (\p{Lu}\p{L}+ (?:\p{Lu}\. )?\p{Lu}\p{L}{2,})\b"), 1)
     pairs = fields.where("text IS NOT NULL").select(F.explode(F.concat(F.transform(mail, lambda m: F.translate(m, ".", " ")), F.transform(cue, F.lower))).alias("name"))
-    pairs = pairs.select(F.regexp_extract("name", r"^(\S+)", 1).alias("given"), F.regexp_extract("name", r"(\S+)$", 1).alias("family"))
+    pairs = keep(pairs.select(F.regexp_extract("name", r"^(\S+)", 1).alias("given"), F.regexp_extract("name", r"(\S+)$", 1).alias("family")))
     # A given name goes with several family names; what is said of things and places seldom does.
     given = pairs.groupBy("given").agg(F.approx_count_distinct("family").alias("n")).where(f"n >= 3 AND given NOT IN ({', '.join(repr(w) for w in sorted(_NOT_PERSON))})")
     given = [r.given for r in given.orderBy(F.desc("n"), "given").limit(max_given).collect()]
