@@ -74,10 +74,12 @@ def claims(observations: DataFrame, records: DataFrame, fields: dict[str, tuple[
     )
     values = values.groupBy("record").agg(*[F.min(f"f_{name}").alias(f"f_{name}") for name in fields])
     each = F.filter(F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"f_{name}.value").alias("value"), F.col(f"f_{name}.key").alias("key")) for name in fields]), lambda x: x.value.isNotNull())
-    said = seen.join(several, "group", "left_semi").join(values, "record").select("group", "source", "rank", "seen", "record", F.inline(each))
+    said = seen.join(values, "record").select("group", "source", "rank", "seen", "record", F.inline(each))
     latest = said.groupBy("group", "field", "source").agg(
         F.min("rank").alias("rank"), F.max(F.struct(F.col("seen"), (-F.col("record")).alias("order"), F.col("value"), F.col("key"))).alias("last")
     )
+    # Only now are there few rows per group, however many records it has.
+    latest = latest.join(several, "group", "left_semi")
     return latest.select("group", "field", "source", "rank", "last.seen", (-F.col("last.order")).alias("record"), "last.value", "last.key")
 
 
