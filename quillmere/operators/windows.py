@@ -4,11 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-
-def occurrence_slots(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "occurrence") -> DataFrame:
-    """Numbers the rows of each key from 1 in a total order. Rows with a null in the keys form a key of their own."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+from pyspark.sql import types as T
+
+from quillmere.session import cut
+
+
+def occurrence_slots(df: DataFrame, keys: list[str], order: list[str], name: str = "occurrence") -> DataFrame:
+    """Numbers the rows of each key from 1 in a total order. Rows with a null in the keys form a key of their own.
+
+    A key of any size is spread over range partitions: rows are numbered within (partition, key), and the rows of a key
+    in earlier partitions are added. A key goes on only from one partition to the next ones, so two keys and their
+    counts per partition tell the offsets.
+    """
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    ends = counts.groupBy("_part").agg(F.min(F.struct(*keys, "_n")).alias("first"), F.max(F.struct(*keys, "_n")).alias("last")).collect()
+    offsets, carried, seen = [], None, 0
+    for row in sorted(ends, key=lambda r: r["_part"]):
+        first, last = tuple(row.first[k] for k in keys), tuple(row.last[k] for k in keys)
+        if first == carried:
+            offsets.append((row["_part"], seen))
+        seen = row.last["_n"] + (seen if first == last == carried else 0)
+        carried = last
+    within = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    numbered = placed.withColumn(name, within)
+    if offsets:
+        # The offset is for the first key of the partition alone.
+        starts = {row["_part"]: tuple(row.first[k] for k in keys) for row in ends}
+        schema = T.StructType([T.StructField("_part", T.IntegerType()), *[T.StructField(f"_start_{i}", df.schema[k].dataType) for i, k in enumerate(keys)], T.StructField("_offset", T.LongType())])
+        table = df.sparkSession.createDataFrame([(part, *starts[part], offset) for part, offset in offsets], schema)
+        goes_on = F.col("_offset").isNotNull()
+        for i, k in enumerate(keys):
+            goes_on = goes_on & F.col(k).eqNullSafe(F.col(f"_start_{i}"))
+        numbered = numbered.join(F.broadcast(table), "_part", "left").withColumn(name, F.col(name) + F.when(goes_on, F.col("_offset")).otherwise(0))
+    return numbered.select(*df.columns, name)
 
 
 def free_slot(used: Column, preferred: Column) -> Column:

@@ -113,6 +113,20 @@ def test_slots_and_values(spark):
     assert [r[0] for r in slots.select(windows.free_slot(F.col("u"), F.lit(2))).collect()] == [3, 2, 1]
 
 
+def test_slots_of_hot_keys(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 3 == 0, F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("k"), F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("id") % 2).alias("j"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = windows.occurrence_slots(df.repartition(6), ["k", "j"], ["id"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    seen = {}
+    for r in sorted(got, key=lambda r: r.id):
+        seen[r.k, r.j] = seen.get((r.k, r.j), 0) + 1
+        assert r.occurrence == seen[r.k, r.j]
+    assert windows.occurrence_slots(df.limit(0), ["k"], ["id"]).count() == 0
+
+
 def test_upserts(spark):
     target = spark.createDataFrame([(1, "a"), (2, None)], "id int, k string")
     incoming = spark.createDataFrame([(3, "a"), (5, "b"), (4, "b"), (6, None)], "id int, k string")
