@@ -7,6 +7,7 @@ import os
 import resource
 import uuid
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -181,19 +182,23 @@ def _import(spark: SparkSession, collection: Collection, store: Store, profile:
 
 
 def _metrics(records: DataFrame, decided: DataFrame, errors: DataFrame) -> dict:
-    by_status = {r.match_status: r["count"] for r in decided.groupBy("match_status").count().collect()}
-    bad = records.where("error_code IS NOT NULL AND record_index IS NOT NULL").count()
-    rules = {r.rule: r["count"] for r in decided.where("match_status <> 'ambiguous' AND rule <> 'M09'").groupBy("rule").count().collect()}
-    bad_enrichment = records.where(F.col("error_code").isNotNull() & F.col("record_index").isNotNull() & F.col("kind").isin(*KIND_ORDER[4:])).count()
-    if unmatched := by_status.get("skipped", 0) + bad_enrichment:
+    grouped = decided.groupBy("match_status", "rule").agg(F.count("*").alias("n")).collect()
+    status = lambda s: sum(r.n for r in grouped if r.match_status == s)
+    rules: dict[str, int] = {}
+    for r in grouped:
+        if r.match_status != "ambiguous" and r.rule != "M09":
+            rules[r.rule] = rules.get(r.rule, 0) + r.n
+    placed, bad = F.col("record_index").isNotNull(), F.col("error_code").isNotNull()
+    read = records.agg(F.count_if(placed).alias("examined"), F.count_if(placed & bad).alias("bad"), F.count_if(placed & bad & F.col("kind").isin(*KIND_ORDER[4:])).alias("bad_enrichment")).first()
+    if unmatched := status("skipped") + read.bad_enrichment:
         rules["M09"] = unmatched
     return {
-        "examined": records.where("record_index IS NOT NULL").count(),
-        "matched": by_status.get("matched", 0),
-        "created": by_status.get("created", 0),
+        "examined": read.examined,
+        "matched": status("matched"),
+        "created": status("created"),
         "updated": decided.where("match_status = 'matched' AND changed").select("entity_id").distinct().count(),
-        "ambiguous": by_status.get("ambiguous", 0),
-        "skipped": by_status.get("skipped", 0) + bad,
+        "ambiguous": status("ambiguous"),
+        "skipped": status("skipped") + read.bad,
         "errors": errors.count(),
         "rules": dict(sorted(rules.items())),
     }
@@ -210,8 +215,8 @@ def integrity(store: Store) -> str:
         "observed_entity": orphans(store.read("observations", OBSERVATION), entities, "entity_id", "entity_id"),
         "evidence_entity": orphans(store.read("evidence", EVIDENCE), entities, "entity_id", "entity_id"),
     }
-    broken = [name for name, df in checks.items() if df.limit(1).count()]
-    return ",".join(broken) or "ok"
+    found = reduce(DataFrame.unionByName, [df.limit(1).select(F.lit(name).alias("name")) for name, df in checks.items()])
+    return ",".join(sorted(r.name for r in found.collect())) or "ok"
 
 
 def bridges(store: Store) -> dict[str, DataFrame]:

@@ -212,3 +212,22 @@ def test_order_of_records_does_not_matter(spark, tmp_path):
 
 def test_command_line_needs_a_mode(tmp_path):
     assert main(["--export-path", str(tmp_path)]) == 1 and main([]) == 1
+
+
+def test_command_line_and_stream(spark, tmp_path):
+    from quillmere.streaming.watch import watch
+
+    good = export(tmp_path / "a", {TIMELINE.format(1): base_records()})
+    partly = export(tmp_path / "b", {TIMELINE.format(1): [None, text(T0 + 99, "x")]})
+    report = tmp_path / "report.json"
+    assert main(["--export-path", good, "--validate-only", "--report-path", str(report)]) == 0 and json.loads(report.read_text())["status"] == "completed"
+    assert main(["--export-path", partly, "--validate-only"]) == 2 and main(["--export-path", str(tmp_path / "none"), "--validate-only"]) == 1
+    (tmp_path / "arrivals").mkdir()
+    (tmp_path / "arrivals" / "1.txt").write_text(f"{good}\n\n{good}\n")
+    watch(spark, str(tmp_path / "arrivals"), str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination()
+    (tmp_path / "arrivals" / "2.txt").write_text(partly)
+    watch(spark, str(tmp_path / "arrivals"), str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination()
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.read("runs", "run_id string").count() == 2 and store.read("entities", ENTITY).count() == 4
+    assert main(["--export-path", good, "--store-path", str(tmp_path / "s")]) == 0
+    assert json.loads((tmp_path / "s" / "last-import-report.json").read_text())["match_rule_counts"] == {"M03": 3}
