@@ -348,7 +348,7 @@ def read_records(spark: SparkSession, collection: Collection) -> DataFrame:
                 if rows:
                     yield _frame(rows, columns)
 
-    return files.join(F.broadcast(meta), "path").select("content", "kind", "relative_path", "root_number").mapInPandas(parse, RECORDS)
+    return files.join(meta, "path").select("content", "kind", "relative_path", "root_number").mapInPandas(parse, RECORDS)
 
 
 def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
