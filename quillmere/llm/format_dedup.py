@@ -38,8 +38,8 @@ def canonical_url(url: Column) -> Column:
     url = F.coalesce(url, F.lit(""))
     base, query, fragment = (F.regexp_extract(url, r"(?s)^([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", k) for k in (1, 2, 3))
     params = F.array_join(F.array_sort(F.filter(F.transform(F.split(query, "[&;]"), canonical_text), lambda p: p != "")), "&")
-    plain = canonical_text(url)
-    return F.when(F.instr(url, "?") == 0, plain).otherwise(F.concat_ws("?", canonical_text(base), params, canonical_text(fragment)))
+    # A question mark with nothing behind it is mere punctuation.
+    return F.when((F.instr(url, "?") == 0) | (params == ""), canonical_text(url)).otherwise(F.concat_ws("?", canonical_text(base), params, canonical_text(fragment)))
 
 
 def canonical_urls(urls: Column) -> Column:

@@ -18,7 +18,6 @@ the halved votes of all older claims sum to less than its own.
 
 from __future__ import annotations
 
-import itertools
 import math
 import operator
 from functools import reduce
@@ -211,8 +210,3 @@ def undisputed(fused: DataFrame) -> DataFrame:
     newest = F.array_max(F.transform("claims", lambda c: c.seen))
     strongest = F.array_min(F.transform("claims", lambda c: c["rank"]))
     return fused.where((F.col("best.seen") == newest) & (F.col("best.rank") == strongest)).select("group", "field", F.col("best.record").alias("record"))
-
-
-def pair_keys(sources: list[str]) -> list[str]:
-    """All pairs of sources in the spelling that dependences use."""
-    return ["|".join(p) for p in itertools.combinations(sorted(sources), 2)]

@@ -13,7 +13,6 @@ by the number of labelers and features, not by the corpus. The gazetteers are bo
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 

@@ -102,12 +102,13 @@ def test_forms(spark):
         (4, "half finished café", ["m/b.jpg"], [url]),
         (6, None, None, None), (7, "", [], []), (8, " ​…", None, [None]), (9, None, ["m/b.jpg"], None), (10, "", ["m-b.jpg"], []), (None, "x", None, None),
         (11, "Straße", None, None), (12, "STRASSE", None, None), (13, "a" * 200_000, None, None), (14, "A" * 200_000, None, None), (15, "$5", None, None), (16, "5", None, None),
+        (17, None, None, ["http://b.example/?"]), (18, None, None, ["http://b.example"]), (19, None, None, ["http://b.example/?x=1#f"]), (20, None, None, ["HTTP://b.example?x=1#F"]),
     ]
     keys = forms(spark, data + data[:3])
     got = sorted((r.keep, r.record) for r in format_dedup.duplicates(keys, hot_rows=1).collect())
-    assert got == [(3, 5), (9, 10), (11, 12), (13, 14)] and got == sorted((r.keep, r.record) for r in format_dedup.duplicates(keys).collect())
+    assert got == [(3, 5), (9, 10), (11, 12), (13, 14), (17, 18), (19, 20)] and got == sorted((r.keep, r.record) for r in format_dedup.duplicates(keys).collect())
     copies = {r.keep: (r.copies, r.collided) for r in format_dedup.collapse(keys).collect()}
-    assert copies == {3: (2, False), 4: (1, False), 9: (2, False), 11: (2, False), 13: (2, False), 15: (1, False), 16: (1, False)}
+    assert copies == {3: (2, False), 4: (1, False), 9: (2, False), 11: (2, False), 13: (2, False), 15: (1, False), 16: (1, False), 17: (2, False), 19: (2, False)}
     assert forms(spark, []).count() == 0 and format_dedup.duplicates(forms(spark, [])).count() == 0
 
 
