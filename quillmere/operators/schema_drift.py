@@ -352,28 +352,43 @@ def compile_projection(renames: list[tuple[str, str, str, int]]) -> dict[tuple[s
     return {node: best[find(node)][1] for node in weight}
 
 
-def consistent_table(files: DataFrame, changed: DataFrame, least_times: int = 2) -> DataFrame:
+def canonical_fields(values: dict[str, str], names: dict[str, str]) -> dict[str, str]:
+    """The values of a record under canonical paths (``names``: path -> canonical path, others stay).
+
+    No value is lost: where several paths of a record lead to one canonical path, that path itself comes first, then the
+    first in order, and the others stay under their own paths, which no path leads to.
+    """
+    out: dict[str, str] = {}
+    for path in sorted(values, key=lambda p: (names.get(p, p) != p, p)):
+        name = names.get(path, path)
+        out[path if name in out else name] = values[path]
+    return out
+
+
+def consistent_table(files: DataFrame, changed: DataFrame) -> DataFrame:
     """Every record of every readable file under canonical paths: file, kind, record_key, fields (path -> text).
 
-    ``files`` as for :func:`changes`, with ``kind``. Renames seen fewer than ``least_times`` times over all files are
-    taken for chance and not compiled. Lists of scalars are joined as JSON.
+    ``files`` as for :func:`changes`, with ``kind``. Every reported rename is compiled, however seldom it occurs.
+    Lists of scalars are joined as JSON.
     """
     kinds = files.select("file", "kind").dropDuplicates(["file"]).withColumnRenamed("kind", "file_kind")
-    seen = changed.where("kind = 'renamed' AND path NOT LIKE '$.%'").join(kinds, "file").groupBy("file_kind", "old_path", "path").count().where(F.col("count") >= least_times)
+    seen = changed.where("kind = 'renamed' AND path NOT LIKE '$.%'").join(kinds, "file").groupBy("file_kind", "old_path", "path").count()
     mapping = compile_projection([(r.file_kind, r.old_path, r.path, r["count"]) for r in seen.collect()])
-    table = files.sparkSession.sparkContext.broadcast(mapping)
+    by_kind: dict[str, dict[str, str]] = {}
+    for (of_kind, path), name in mapping.items():
+        by_kind.setdefault(of_kind, {})[path] = name
+    table = files.sparkSession.sparkContext.broadcast(by_kind)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for name, kind, key, content in zip(batch["file"], batch["kind"], batch["key_field"], batch["content"]):
                 for record_key, values in read_file(content, key).records:
-                    out: dict[str, str] = {}
-                    for path in sorted(values):
+                    texts: dict[str, str] = {}
+                    for path in values:
                         plain = [v for _, v in values[path]]
-                        text = plain[0] if len(plain) == 1 and isinstance(plain[0], str) else json.dumps(plain[0] if len(plain) == 1 else plain, ensure_ascii=False)
-                        out.setdefault(table.value.get((kind, path), path), text)
-                    rows.append((name, kind, record_key, list(out.items())))
+                        texts[path] = plain[0] if len(plain) == 1 and isinstance(plain[0], str) else json.dumps(plain[0] if len(plain) == 1 else plain, ensure_ascii=False)
+                    rows.append((name, kind, record_key, list(canonical_fields(texts, table.value.get(kind, {})).items())))
             yield pd.DataFrame(rows, columns=["file", "kind", "record_key", "fields"])
 
     good = readable_files(files).select("file", "kind", "key_field", "content")

@@ -279,6 +279,17 @@ def test_consistent_table(spark):
     assert table.count() == 15 and {tuple(sorted(r.fields)) for r in table.collect()} == {("fbid", "new")}
 
 
+def test_consistent_table_compiles_renames_seen_once(spark):
+    versions = [[{"fbid": str(k), "old": f"v{k}"} for k in range(3)], [{"fbid": str(k), "new": f"v{k}"} for k in range(3)]]
+    both = [{"fbid": "8", "new": "n", "old": "o"}]
+    files = drift(spark, versions).unionByName(drift(spark, [both], "h").withColumn("file", F.col("file") + 10))
+    rows = schema_drift.consistent_table(files, schema_drift.changes(files)).collect()
+    assert {tuple(sorted(r.fields)) for r in rows if r.file < 10} == {("fbid", "new")}
+    # Where both paths stand in one record, neither value is lost.
+    assert [r.fields for r in rows if r.file == 10] == [{"fbid": "8", "new": "n", "old": "o"}]
+    assert schema_drift.canonical_fields({"a": "1", "b": "2", "c": "3"}, {"a": "c", "b": "c", "c": "c"}) == {"c": "3", "a": "1", "b": "2"}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.sets(st.sampled_from("a b c a.b a.c b.a c.d.e c.d.f".split()), max_size=6), st.sets(st.sampled_from("a b c a.b a.c b.a c.d.e c.d.f".split()), max_size=6))
 def test_edit_distance_is_a_distance(x, y):
