@@ -3,13 +3,14 @@
 The cascade is sequential: a matched entity leaves the reach of later records of its kind, and updates change what later
 records see. Records and entities that share no time, id, address or fingerprint, directly or through others, never see
 each other, so blocks of connected ones are resolved in parallel, each in processing order. A block of more than
-``MAX_BLOCK`` rows is refused before it is gathered: the one-pass cascade of :mod:`quillmere.operators.matching` handles
-tables with such blocks.
+``MAX_BLOCK`` rows isn't gathered: its rows are sorted by Spark and streamed through one task, which holds the block's
+entities only. Both ways take the same decisions; candidates are looked up by key, so a time that many share costs no scan.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillmere.functions.canonical import IDENTITY_VERSION, digest
 from quillmere.operators.components import components
-from quillmere.operators.ordering import KIND_ORDER
+from quillmere.operators.ordering import KIND_ORDER, kind_rank
 from quillmere.session import cut
 
 MAX_BLOCK = 200_000
@@ -66,47 +67,101 @@ class Entity:
 
 @dataclass
 class Block:
-    """Entities of one block and the counts of the run's records."""
+    """Entities of one block in order, and where to find them.
+
+    Ids, addresses and slots are known of all entities; times, media, links and texts of the free ones, those that no
+    record of the kind at hand has taken. An entity changes only when it is taken, so it is listed anew with the next kind.
+    """
 
     profile: str
     now: str
-    entities: list[Entity]
-    time_counts: Counter = field(default_factory=Counter)
-    text_counts: Counter = field(default_factory=Counter)
-    taken: set = field(default_factory=set)
-
-    def match(self, r: dict, occurrence: int) -> tuple[str, int, Entity | None]:
-        """Rule, rank and entity; no entity for records that no rule matches."""
+    entities: list[Entity] = field(default_factory=list)
+    ids: dict = field(default_factory=dict)
+    slots: dict = field(default_factory=dict)
+    free: dict = field(default_factory=dict)
+    listed: dict = field(default_factory=dict)
+    taken: dict = field(default_factory=dict)
+    places: dict = field(default_factory=dict)
+    kind: str | None = None
+    occurrences: Counter = field(default_factory=Counter)
+    decided: int = 0
+
+    def add(self, e: Entity) -> None:
+        self.places[id(e)] = len(self.entities)
+        self.entities.append(e)
+        self.own(e)
+        self.slots.setdefault(e.fingerprint, {}).setdefault(e.slot, set()).add(self.places[id(e)])
+        self.release(e)
+
+    def own(self, e: Entity) -> None:
+        """The first entity in order owns an id and an address."""
+        at = self.places[id(e)]
+        for key in (("external_id", e.external_id), ("normalized_url", e.normalized_url)):
+            if key[1] is not None:
+                self.ids[key] = min(at, self.ids.get(key, at))
+
+    def release(self, e: Entity) -> None:
+        keys = {("slot", e.fingerprint, e.slot), ("time", e.ts)} | {("media", e.ts, m) for m in e.media_keys()} | {("link", e.ts, u) for u in e.urls()}
+        if e.text is not None:
+            keys.add(("text", e.ts, normal(e.text)))
+        at = self.places[id(e)]
+        self.listed[at] = keys
+        for key in keys:
+            self.free.setdefault(key, set()).add(at)
+
+    def take(self, e: Entity) -> None:
+        at = self.places[id(e)]
+        self.taken[at] = e
+        for key in self.listed.pop(at, ()):
+            self.free[key].discard(at)
+            if not self.free[key]:
+                del self.free[key]
+
+    def only(self, keys: list[tuple]) -> Entity | None:
+        """The only free entity listed under any of the keys."""
+        found: set[int] = set()
+        for key in keys:
+            listed = self.free.get(key, ())
+            if len(listed) > 1:
+                return None
+            found.update(listed)
+            if len(found) > 1:
+                return None
+        return self.entities[found.pop()] if found else None
+
+    def match(self, r: dict, occurrence: int, time_alone: bool, text_alone: bool) -> tuple[str, int, Entity | None]:
+        """Rule, rank and entity; no entity for records that no rule matches.
+
+        ``time_alone``, ``text_alone``: no other record of the run has the time, or the time and text.
+        """
         enriching = r["kind"] in ENRICHMENT
         for rule, attribute, value in (("M01", "external_id", r["external_id"]), ("M02", "normalized_url", r["normalized_direct_post_url"])):
-            hit = next((e for e in self.entities if value is not None and getattr(e, attribute) == value), None)
-            if hit:
-                return rule, int(rule[2]), hit
-        free = [e for e in self.entities if e.entity_id not in self.taken]
-        hit = next((e for e in free if (e.fingerprint, e.slot) == (r["fingerprint"], occurrence)), None)
-        if hit:
-            return "M03", 3, hit
-        near = [e for e in free if e.ts == r["created_timestamp"]]
-        keys, urls, text = set(r["media_keys"]), set(r["external_urls"]), r["normalized_post_text"]
-        alone = self.text_counts[r["created_timestamp"], text] == 1
+            at = self.ids.get((attribute, value)) if value is not None else None
+            if at is not None:
+                return rule, int(rule[2]), self.entities[at]
+        same = self.free.get(("slot", r["fingerprint"], occurrence))
+        if same:
+            return "M03", 3, self.entities[min(same)]
+        ts, text = r["created_timestamp"], r["normalized_post_text"]
+        keys, urls = set(r["media_keys"]), set(r["external_urls"])
         tests = (
-            ("M04", bool(keys), lambda e: bool(keys & e.media_keys())),
-            ("M05", bool(urls), lambda e: bool(urls & e.urls())),
-            ("M06", bool(text) and (enriching or alone), lambda e: e.text is not None and normal(e.text) == text),
+            ("M04", [("media", ts, k) for k in keys]),
+            ("M05", [("link", ts, u) for u in urls]),
+            ("M06", [("text", ts, text)] if text and (enriching or text_alone) else []),
         )
-        for rule, applies, test in tests:
-            hits = [e for e in near if test(e)] if applies else []
-            if len(hits) == 1:
-                return rule, int(rule[2]), hits[0]
-        if len(near) == 1 and (enriching or self.time_counts[r["created_timestamp"]] == 1):
-            e = near[0]
+        for rule, wanted in tests:
+            hit = self.only(wanted)
+            if hit:
+                return rule, int(rule[2]), hit
+        e = self.only([("time", ts)])
+        if e and (enriching or time_alone):
             against = (keys and e.media_keys() and not keys & e.media_keys()) or (urls and e.urls() and not urls & e.urls())
             if not against:
                 return "M07", 7, e
         return ("M09", 9, None) if enriching else ("M08", 8, None)
 
     def create(self, r: dict, occurrence: int) -> Entity:
-        used = {e.slot for e in self.entities if e.fingerprint == r["fingerprint"]}
+        used = self.slots.get(r["fingerprint"], {})
         slot = occurrence
         if slot in used:
             slot = next(s for s in range(1, len(used) + 2) if s not in used)
@@ -117,8 +172,8 @@ class Block:
             r["post_text"], r["source_name"], r["source_url"], stated or "active", "confirmed" if stated else "derived", r["fingerprint"], slot, IDENTITY_VERSION,
             first_collected=self.now, last_collected=self.now,
         )
-        self.entities.append(made)
         self.attach(made, r)
+        self.add(made)
         return made
 
     def update(self, e: Entity, r: dict) -> bool | None:
@@ -126,13 +181,20 @@ class Block:
         enriching, keeps = r["kind"] in ENRICHMENT, e.type == "reel" and r["kind"] != "reel"
         keeps_identity = keeps or enriching
         identity = (e.text, e.fingerprint, e.identity_version) if keeps_identity else (r["post_text"], r["fingerprint"], IDENTITY_VERSION)
-        if identity[1] != e.fingerprint and any(x is not e and (x.fingerprint, x.slot) == (identity[1], e.slot) for x in self.entities):
-            return None
+        if identity[1] != e.fingerprint:
+            if self.slots.get(identity[1], {}).get(e.slot):
+                return None
+            at, old = self.places[id(e)], self.slots[e.fingerprint]
+            old[e.slot].discard(at)
+            if not old[e.slot]:
+                del old[e.slot]
+            self.slots.setdefault(identity[1], {}).setdefault(e.slot, set()).add(at)
         before = self.compared(e)
         e.text, e.fingerprint, e.identity_version = identity
         e.external_id = r["external_id"] if e.external_id is None else e.external_id
         e.direct_url = r["direct_post_url"] if e.direct_url is None else e.direct_url
         e.normalized_url = r["normalized_direct_post_url"] if e.normalized_url is None else e.normalized_url
+        self.own(e)
         if not keeps and not enriching and r["post_type"] != "unknown":
             e.type = r["post_type"]
         e.source_name = e.source_name if r["source_name"] is None else r["source_name"]
@@ -169,6 +231,27 @@ class Block:
             e.places.append(place)
         return len(e.media) + len(e.links) + len(e.places) > size
 
+    def decide(self, r: dict, time_alone: bool, text_alone: bool) -> dict:
+        """Decision on the next record in processing order."""
+        if r["kind"] != self.kind:
+            self.kind, self.occurrences = r["kind"], Counter()
+            for e in self.taken.values():
+                self.release(e)
+            self.taken.clear()
+        self.occurrences[r["fingerprint"]] += 1
+        occurrence = self.occurrences[r["fingerprint"]]
+        rule, rank, entity = self.match(r, occurrence, time_alone, text_alone)
+        changed, status = False, "skipped"
+        if rule == "M08":
+            entity, changed, status = self.create(r, occurrence), True, "created"
+            self.take(entity)
+        elif entity is not None:
+            self.take(entity)
+            merged = self.update(entity, r)
+            changed, status = bool(merged), "ambiguous" if merged is None else "matched"
+        self.decided += 1
+        return {"record_id": r["record_id"], "kind": r["kind"], "entity_id": entity.entity_id if entity else None, "rule": rule, "rank": rank, "match_status": status, "changed": changed, "sequence": self.decided - 1}
+
 
 def normal(text: str) -> str:
     """Normal form of an entity's text."""
@@ -181,28 +264,12 @@ def resolve(records: list[dict], entities: list[Entity], profile: str, now: str)
     """Decisions on the records of one block in processing order, and its entities afterwards."""
     order = {k: i for i, k in enumerate(KIND_ORDER)}
     records = sorted(records, key=lambda r: (order[r["kind"]], r["fingerprint"], r["raw_sha256"], r["relative_path"], r["record_index"], r["record_id"]))
-    block = Block(profile, now, list(entities))
-    for r in records:
-        block.time_counts[r["created_timestamp"]] += 1
-        if r["normalized_post_text"]:
-            block.text_counts[r["created_timestamp"], r["normalized_post_text"]] += 1
-    decisions, kind, occurrences = [], None, Counter()
-    for r in records:
-        if r["kind"] != kind:
-            kind, occurrences = r["kind"], Counter()
-            block.taken.clear()
-        occurrences[r["fingerprint"]] += 1
-        occurrence = occurrences[r["fingerprint"]]
-        rule, rank, entity = block.match(r, occurrence)
-        changed, status = False, "skipped"
-        if rule == "M08":
-            entity, changed, status = block.create(r, occurrence), True, "created"
-        elif entity is not None:
-            merged = block.update(entity, r)
-            changed, status = bool(merged), "ambiguous" if merged is None else "matched"
-        if entity is not None:
-            block.taken.add(entity.entity_id)
-        decisions.append({"record_id": r["record_id"], "kind": kind, "entity_id": entity.entity_id if entity else None, "rule": rule, "rank": rank, "match_status": status, "changed": changed, "sequence": len(decisions)})
+    block = Block(profile, now)
+    for e in entities:
+        block.add(e)
+    times = Counter(r["created_timestamp"] for r in records)
+    texts = Counter((r["created_timestamp"], r["normalized_post_text"]) for r in records)
+    decisions = [block.decide(r, times[r["created_timestamp"]] == 1, texts[r["created_timestamp"], r["normalized_post_text"]] == 1) for r in records]
     return decisions, block.entities
 
 
@@ -224,9 +291,8 @@ def resolve_blocks(records: DataFrame, entities: DataFrame, profile: str, now: s
         part = both.where(value.isNotNull()).select("record", F.xxhash64(F.lit(name), value).alias("key"))
         edges = part if edges is None else edges.unionByName(part)
     blocks = cut(components(both.select("record", F.xxhash64("record").alias("order")), edges).select("record", F.col("label").alias("block")))
-    largest = blocks.groupBy("block").count().agg(F.max("count")).first()[0] or 0
-    if largest > max_block:
-        raise ValueError(f"a block holds {largest} rows, more than {max_block}; use the one-pass cascade")
+    # At most rows / max_block of them.
+    large = [r.block for r in blocks.groupBy("block").count().where(F.col("count") > max_block).collect()]
     placed_records = records.withColumn("record", F.concat(F.lit("r"), "record_id")).join(blocks, "record").drop("record")
     of_entities = blocks.select("record", F.col("block").alias("at"))
     placed_entities = entities.withColumn("record", F.concat(F.lit("e"), "entity_id")).join(of_entities, "record").drop("record")
@@ -236,18 +302,54 @@ def resolve_blocks(records: DataFrame, entities: DataFrame, profile: str, now: s
     names = [f.name for f in entity_type.fields]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = [{k: _plain(v) for k, v in r.items()} for r in left.to_dict("records")]
-        for r in rows:
-            for c in ("media_keys", "external_urls", "media_references", "links"):
-                r[c] = r[c] or []
-        held = []
-        for e in right.to_dict("records"):
-            e = {k: _plain(e[k]) for k in names}
-            held.append(Entity(**e | {c: list(e[c] or []) for c in ("media", "links", "places")}))
-        decisions, after = resolve(rows, held, profile, now)
+        decisions, after = resolve([as_record(r) for r in left.to_dict("records")], [as_entity(e) for e in right.to_dict("records")], profile, now)
         return pd.DataFrame({"decisions": [decisions], "entities": [[{n: getattr(e, n) for n in names} for e in after]]})
 
-    done = cut(placed_records.groupBy("block").cogroup(placed_entities.groupBy("at")).applyInPandas(run, result))
+    def as_record(row: dict) -> dict:
+        r = {k: _plain(v) for k, v in row.items()}
+        return r | {c: r[c] or [] for c in ("media_keys", "external_urls", "media_references", "links")}
+
+    def as_entity(row: dict, prefix: str = "") -> Entity:
+        e = {k: _plain(row[prefix + k]) for k in names}
+        return Entity(**e | {c: list(e[c] or []) for c in ("media", "links", "places")})
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, block = None, None
+
+        def ended() -> Iterator[pd.DataFrame]:
+            after = block.entities if block else []
+            for i in range(0, len(after), 1000):
+                yield pd.DataFrame({"decisions": [[]], "entities": [[{n: getattr(e, n) for n in names} for e in after[i : i + 1000]]]})
+
+        for batch in batches:
+            decisions = []
+            for row in batch.to_dict("records"):
+                if row["block"] != at:
+                    yield from ended()
+                    at, block = row["block"], Block(profile, now)
+                if row["_rank"] < 0:
+                    block.add(as_entity(row, "_e_"))
+                else:
+                    decisions.append(block.decide(as_record(row), row["_times"] == 1, row["_texts"] == 1))
+            yield pd.DataFrame({"decisions": [decisions], "entities": [[]]})
+        yield from ended()
+
+    if not large:
+        done = cut(placed_records.groupBy("block").cogroup(placed_entities.groupBy("at")).applyInPandas(run, result))
+    else:
+        hot = F.broadcast(records.sparkSession.createDataFrame([(b,) for b in large], "block long"))
+        hot_at = hot.withColumnRenamed("block", "at")
+        gathered = placed_records.join(hot, "block", "left_anti").groupBy("block").cogroup(placed_entities.join(hot_at, "at", "left_anti").groupBy("at")).applyInPandas(run, result)
+        # A time's records share their block, so the run's counts are the block's.
+        times = records.groupBy(F.col("created_timestamp").alias("_ts")).agg(F.count("*").alias("_times"))
+        texts = records.groupBy(F.col("created_timestamp").alias("_ts"), F.col("normalized_post_text").alias("_text")).agg(F.count("*").alias("_texts"))
+        rows = placed_records.join(hot, "block", "left_semi").withColumn("_rank", kind_rank(F.col("kind")))
+        rows = rows.join(times, F.col("created_timestamp").eqNullSafe(F.col("_ts")), "left").drop("_ts")
+        rows = rows.join(texts, F.col("created_timestamp").eqNullSafe(F.col("_ts")) & F.col("normalized_post_text").eqNullSafe(F.col("_text")), "left").drop("_ts", "_text")
+        first = placed_entities.join(hot_at, "at", "left_semi").select(F.col("at").alias("block"), F.lit(-1).alias("_rank"), *[F.col(n).alias(f"_e_{n}") for n in names])
+        order = ["block", "_rank", "_e_entity_id", "fingerprint", "raw_sha256", "relative_path", "record_index", "record_id"]
+        rows = rows.unionByName(first, allowMissingColumns=True).repartition("block").sortWithinPartitions(*order)
+        done = cut(gathered.unionByName(rows.mapInPandas(stream, result)))
     return done.select(F.inline("decisions")), done.select(F.inline("entities"))
 
 

@@ -200,6 +200,21 @@ def test_lock(tmp_path):
         assert e.value.status == status
 
 
+def test_large_blocks_are_streamed_with_the_same_results(spark, tmp_path):
+    shared = [text(T0, f"note {k % 7}", attachments=[media(f"photos/{k}.jpg")]) for k in range(12)] + [text(T0, "plain"), text(T0, "plain")]
+    first = export(tmp_path / "a", {TIMELINE.format(1): shared + base_records()[1:]})
+    second = export(tmp_path / "b", {TIMELINE.format(1): shared[3:] + [text(T0, "more")], POSTS + "/archive.json": [text(T0, "note 1", attachments=[media("photos/1.jpg")])]})
+    seen = []
+    for name, most in (("gathered", 200_000), ("streamed", 3)):
+        store, reports = str(tmp_path / name), []
+        for root in (first, second):
+            reports.append(import_collection(spark, [root], store, max_block=most))
+        entities = Store(spark, store).read("entities", ENTITY).drop("entity_id", "first_collected", "last_collected").toJSON().collect()
+        kept = ("status", "records_examined", "records_matched", "posts_added", "posts_updated", "records_ambiguous", "records_skipped", "canonical_posts", "match_rule_counts", "integrity")
+        seen.append(([{k: r[k] for k in kept} for r in reports], sorted(entities)))
+    assert seen[0] == seen[1] and seen[0][0][0]["records_examined"] == 16
+
+
 def test_order_of_records_does_not_matter(spark, tmp_path):
     rows = base_records() + [text(T0, "plain words"), text(T0, "more"), text(T0 + DAY, "x", fbid="123")]
     found = []
