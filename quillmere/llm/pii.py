@@ -31,7 +31,7 @@ _CARRIER = r"(?:example|test|invalid|com|org|net|edu|gov|info|io|co|uk|de|fr|es|
 
 PATTERNS: dict[str, list[str]] = {
     "EMAIL": [
-        r"(?<![a-z0-9._%+\-])[a-z0-9][a-z0-9._%+\-]*+@[a-z0-9][a-z0-9\-]*(?:\.[a-z0-9\-]+)*\.[a-z]{2,}",
+        r"(?:(?<![a-z0-9])|(?<=[a-z])(?=[0-9]))[a-z0-9][a-z0-9._%+\-]*+@[a-z0-9][a-z0-9\-]*(?:\.[a-z0-9\-]+)*\.[a-z]{2,}",
         rf"[a-z0-9][a-z0-9._%+\-]*{_GAP}*[\[({{]{_GAP}*at{_GAP}*[\])}}]{_GAP}*[a-z0-9\-]+(?:{_GAP}*(?:[\[({{]{_GAP}*(?:dot|\.){_GAP}*[\])}}]|{_GAP}dot{_GAP}|\.){_GAP}*[a-z0-9\-]+)+",
         rf"[a-z0-9][a-z0-9._%+\-]*{_GAP}+at{_GAP}+[a-z0-9\-]+(?:{_GAP}+dot{_GAP}+[a-z0-9\-]+)+",
     ],
@@ -167,7 +167,7 @@ def _name_spans(text: str, names: Gazetteer) -> Iterator[Span]:
 
 _STREET_WORD = re.compile(r"\b(?:lane|st|street|row|road|rd|ave|avenue|crescent|terrace|drive|dr|close|walk|place|square|court|ct|way|hill|mews|gardens|boulevard|blvd|alley|ln|rue|chemin|impasse|allée|quai|calle|via|rua|avenida|plaza)\b|stra(?:ss|ß)e\b|str\.|(?:weg|allee|gasse|platz|ufer)\b")
 _SEVEN, _SIX, _DIGIT = re.compile(r"(?:\d\D{0,4}){7}"), re.compile(r"(?:\d\D{0,4}){6}"), re.compile(r"\d")
-_AT = re.compile(r"[\[({]\s*at\s*[\])}]|\bdot\b")
+_AT = re.compile(rf"[\[({{]{_GAP}*at{_GAP}*[\])}}]|\bdot\b")
 
 
 def _kinds_in(text: str) -> list[str]:

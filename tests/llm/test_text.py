@@ -106,6 +106,18 @@ def test_personal_data_edges(spark):
     assert 0.5 < share < 0.9 and p_true[0][2] > 0.9 > 0.5 > p_false[0][2]
 
 
+def test_spellings_of_addresses_that_are_proposed():
+    names = pii.Gazetteer(frozenset(), frozenset())
+
+    def mails(text):
+        return [text[s.start : s.end] for s in pii.candidates(text, names) if s.kind == "EMAIL"]
+
+    assert mails("-jane@example.com") == mails("_jane@example.com") == mails("..jane@example.com") == ["jane@example.com"]
+    assert mails("_jane@example.com_") == ["jane@example.com"] and mails("a@b.com5c@d.org") == ["a@b.com", "5c@d.org"]
+    for gap in "\u00a0", "\u2009", "\u200b", "\t", " ", "":
+        assert mails(f"jane[{gap}at{gap}]host.org") == [f"jane[{gap}at{gap}]host.org"]
+
+
 # --- packing ---------------------------------------------------------------------------------------------------------
 
 
