@@ -6,8 +6,8 @@ for each type, the share of true spans and how every labeler votes on true and f
 train a logistic classifier per type on votes and shape features. That classifier decides on spans.
 
 The texts are read once; those with candidates are kept. Corpus-wide work is one grouping by (type, features), which combines on the map side; the number of patterns is bounded
-by the number of labelers and features, not by the corpus. The gazetteers are bounded by ``max_given`` and
-``max_family`` entries, the most frequent ones; a name beyond them loses one vote, not its candidacy.
+by the number of labelers and features, not by the corpus. The gazetteers hold every name learned: up to ``HELD_NAMES``
+of them go to the tasks whole, more stay a table, of which each text gets the names among its own words by a join.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.session import keep
+from quillmere.session import keep, skew_safe_lookup
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 _GAP = r"[   ​\t]"
@@ -84,6 +84,17 @@ class Gazetteer:
     family: frozenset[str]
 
 
+#: Names that are gathered; beyond, they stay a table.
+HELD_NAMES = 200_000
+
+
+@dataclass(frozen=True)
+class NameTable:
+    """Names as a table: name, is_given (a name that is both has two rows)."""
+
+    names: DataFrame
+
+
 @dataclass(frozen=True)
 class Span:
     start: int
@@ -348,37 +359,66 @@ class SpanModel:
         return sorted(kept, key=lambda s: s.start)
 
 
-def learn_names(fields: DataFrame, max_given: int = 5_000, max_family: int = 100_000) -> Gazetteer:
-    """Names in the places where the corpus names people: ``given.family@`` and "by|with|Dr. Given Family"."""
+def learn_names(fields: DataFrame, held: int = HELD_NAMES) -> Gazetteer | NameTable:
+    """Names in the places where the corpus names people: ``given.family@`` and "by|with|Dr. Given Family".
+
+    All of them count; where they are more than ``held``, they come as a table.
+    """
     mail = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\w.+])([a-z]{2,}\.[a-z]{3,})@"), 1)
     cue = F.regexp_extract_all("text", F.lit(r"(?:\b[Bb]y|\b[Ww]ith|Dr\.|thanks to|news of) (\p{Lu}\p{L}+ (?:\p{Lu}\. )?\p{Lu}\p{L}{2,})\b"), 1)
     pairs = fields.where("text IS NOT NULL").select(F.explode(F.concat(F.transform(mail, lambda m: F.translate(m, ".", " ")), F.transform(cue, F.lower))).alias("name"))
     pairs = keep(pairs.select(F.regexp_extract("name", r"^(\S+)", 1).alias("given"), F.regexp_extract("name", r"(\S+)$", 1).alias("family")))
     # A given name goes with several family names; what is said of things and places seldom does.
     given = pairs.groupBy("given").agg(F.approx_count_distinct("family").alias("n")).where(f"n >= 3 AND given NOT IN ({', '.join(repr(w) for w in sorted(_NOT_PERSON))})")
-    given = [r.given for r in given.orderBy(F.desc("n"), "given").limit(max_given).collect()]
-    family = pairs.where(F.col("given").isin(given)).groupBy("family").count().orderBy(F.desc("count"), "family").limit(max_family) if given else None
-    return Gazetteer(frozenset(given), frozenset(r.family for r in family.collect()) if family is not None else frozenset())
+    given = keep(given.select("given"))
+    family = pairs.join(given, "given", "left_semi").select("family").distinct()
+    table = keep(given.select(F.col("given").alias("name"), F.lit(True).alias("is_given")).unionByName(family.select(F.col("family").alias("name"), F.lit(False).alias("is_given"))))
+    rows = table.limit(held + 1).collect()
+    if len(rows) > held:
+        return NameTable(table)
+    return Gazetteer(frozenset(r.name for r in rows if r.is_given), frozenset(r.name for r in rows if not r.is_given))
+
+
+def _own_names(texts: DataFrame, table: NameTable) -> DataFrame:
+    """Texts with those names of the table that are words of theirs: the columns of texts, given, family (arrays or null)."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch["key"], batch["text"]):
+                rows += [(key, w) for w in {w.lower() for w in _LETTERS.findall(text)} | set(_LETTERS.findall(text.lower())) if len(w) > 1]
+            yield pd.DataFrame(rows, columns=["key", "name"])
+
+    keyed = texts.withColumn("key", F.sha2("text", 256))
+    words = keep(keyed.select("key", "text").dropDuplicates(["key"]).mapInPandas(split, "key string, name string"))
+    sizes = words.join(table.names.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.count("*").alias("size"))
+    kinds = table.names.groupBy("name").agg(F.bool_or("is_given").alias("is_given"), F.bool_or(~F.col("is_given")).alias("is_family"))
+    known = skew_safe_lookup(words, kinds.join(sizes, "name"), ["name"], "size", "key")
+    own = known.groupBy("key").agg(F.collect_list(F.when(F.col("is_given"), F.col("name"))).alias("given"), F.collect_list(F.when(F.col("is_family"), F.col("name"))).alias("family"))
+    return keyed.join(own, "key", "left").drop("key")
 
 
-def propose(fields: DataFrame, names: Gazetteer) -> DataFrame:
+def propose(fields: DataFrame, names: Gazetteer | NameTable) -> DataFrame:
     """Texts with candidate spans: record, field, text, spans (start, end, kind, features as text).
 
-    The one pass over all texts; null and empty ones have no candidates.
+    The one pass over all texts (one more, and a join, where names are a table); null and empty ones have no candidates.
     """
+    held = names if isinstance(names, Gazetteer) else None
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for record, name, text in zip(batch["record"], batch["field"], batch["text"]):
-                spans = candidates(text, names)
+            own = [held] * len(batch) if held is not None else [Gazetteer(frozenset(() if g is None else g), frozenset(() if f is None else f)) for g, f in zip(batch["given"], batch["family"])]
+            for record, name, text, known in zip(batch["record"], batch["field"], batch["text"], own):
+                spans = candidates(text, known)
                 if spans:
                     rows.append((record, name, text, [{"start": s.start, "end": s.end, "kind": s.kind, "features": " ".join(map(str, s.features))} for s in spans]))
             if rows:
                 yield pd.DataFrame(rows, columns=["record", "field", "text", "spans"])
 
     schema = "record long, field string, text string, spans array<struct<start:int,end:int,kind:string,features:string>>"
-    return fields.where("text <> ''").select("record", "field", "text").mapInPandas(scan, schema)
+    texts = fields.where("text <> ''").select("record", "field", "text")
+    return (texts if held is not None else _own_names(texts, names)).mapInPandas(scan, schema)
 
 
 def learn(proposed: DataFrame) -> SpanModel:

@@ -106,6 +106,19 @@ def test_personal_data_edges(spark):
     assert 0.5 < share < 0.9 and p_true[0][2] > 0.9 > 0.5 > p_false[0][2]
 
 
+def test_no_name_is_beyond_the_gazetteer(spark):
+    letters = "abcdefghijklmnopqrstuvw"
+    given = [f"q{a}{b}{c}" for a in letters for b in letters for c in letters[:10]]
+    texts = [" ".join(f"{g}.{f}@mail.example" for f in ("ashby", "inkby", "dunshaw")) for g in given]
+    df = fields(spark, texts + [f"lunch with {given[-1].title()} Ashby and more", "Photo by Greta O. Inkby.", "", None, "Ring +44 20 7946 0123."] * 2)
+    names = pii.learn_names(df)
+    assert len(given) > 5_000 and names.given == set(given) and names.family == {"ashby", "inkby", "dunshaw"}
+    table = pii.learn_names(df, held=100)
+    assert isinstance(table, pii.NameTable)
+    held, joined = (sorted(map(str, pii.propose(df, n).collect())) for n in (names, table))
+    assert held == joined and any("lunch" in r and "NAME" in r for r in held)
+
+
 def test_spellings_of_addresses_that_are_proposed():
     names = pii.Gazetteer(frozenset(), frozenset())
 
