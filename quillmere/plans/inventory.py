@@ -54,8 +54,8 @@ def file_validation(records: DataFrame) -> DataFrame:
 
 def capped_errors(records: DataFrame, cap: int = ERROR_CAP) -> DataFrame:
     """The first ``cap`` errors of each file, by place in the file."""
-    order = Window.partitionBy("root_number", "relative_path").orderBy(F.col("record_index").asc_nulls_first())
-    return records.where("error_code IS NOT NULL").select("root_number", "relative_path", "record_index", F.col("error_code").alias("code")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).drop("n")
+    order = Window.partitionBy("root_number", "relative_path").orderBy(F.col("record_index").asc_nulls_first(), "error_code")
+    return records.where("error_code IS NOT NULL").select("root_number", "relative_path", "record_index", "error_code").withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).select("root_number", "relative_path", "record_index", F.col("error_code").alias("code"))
 
 
 def validate_collection(spark: SparkSession, roots: list[str]) -> dict:

@@ -11,6 +11,7 @@ from quillmere.functions import canonical as C
 from quillmere.operators import matching as M
 from quillmere.operators import upsert as U
 from quillmere.operators import windows as W
+from quillmere.plans.inventory import capped_errors as capped
 from quillmere.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -277,6 +278,17 @@ def capped_errors(spark, base):
     return totals.select("source_file_id", "total", (F.col("total") > 100).alias("truncated"), F.least(F.col("total"), F.lit(100).cast("long")).alias("retained"))
 
 
+@_query(
+    """SELECT source_file_id, record_index, parse_status FROM (SELECT source_file_id, record_index, parse_status,
+    row_number() OVER (PARTITION BY source_file_id ORDER BY record_index NULLS FIRST, parse_status) AS n
+    FROM (SELECT DISTINCT * FROM source_records) WHERE parse_status <> 'parsed') WHERE n <= 100"""
+)
+def retained_errors(spark, base):
+    bad = _records(spark, base).where("parse_status <> 'parsed'")
+    errors = bad.select(F.lit(0).alias("root_number"), F.col("source_file_id").alias("relative_path"), "record_index", F.col("parse_status").alias("error_code"))
+    return capped(errors).select(F.col("relative_path").alias("source_file_id"), "record_index", F.col("code").alias("parse_status"))
+
+
 @_query(
     """WITH per_file AS (SELECT source_file_id, count(*) AS examined, count_if(parse_status = 'parsed') AS parsed, count_if(parse_status = 'partial') AS partial,
       count_if(parse_status = 'unsupported') AS unsupported, min(created_timestamp) AS lo, max(created_timestamp) AS hi FROM (SELECT DISTINCT * FROM source_records) GROUP BY 1)

@@ -41,6 +41,19 @@ def test_query(spark, duck, name):
         assert got
 
 
+def test_retained_errors_stop_at_the_cap(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, 1 + (k > 130), (7 * k) % 131, "failed" if k % 3 else "partial") for k in range(140)] + [(900, 1, None, "failed"), (901, 1, 5, "parsed")]
+    schema = "source_record_id long, source_file_id long, record_index long, parse_status string"
+    spark.createDataFrame(rows + rows[:9], schema).write.parquet(f"{tmp_path}/source_records.parquet")
+    got = Counter((r.source_file_id, r.record_index, r.parse_status) for r in QUERIES["retained_errors"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW source_records AS SELECT * FROM '{tmp_path}/source_records.parquet/*.parquet'")
+    assert got == Counter(con.execute(ORACLE["retained_errors"]).fetchall())
+    assert sum(n for (f, _, _), n in got.items() if f == 1) == 100 and (1, None, "failed") in got and max(i for f, i, _ in got if f == 1 and i is not None) == 98
+
+
 def test_entry(spark):
     import __spark_entry__
 
