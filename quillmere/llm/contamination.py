@@ -29,17 +29,63 @@ LONGEST_INSERTION, DROP = 14, 6.0
 LEAST_SCORE = 12.5
 
 _BREAK = re.compile(r"[\-‐­][ \t]*\r?\n\s*")
-_REMARK = re.compile(r"\([^()]{0,160}\)|\[[^\[\]]{0,160}\]")
+#: Characters in simple brackets that count as a remark in every reading, and with the brackets.
+_REMARK, SHORT_REMARK = re.compile(r"\([^()]{0,160}\)|\[[^\[\]]{0,160}\]"), 162
+_BRACKET = re.compile(r"[()\[\]]")
 _APOSTROPHE = re.compile(r"['’`ʼ­​]")
 _WORDS = re.compile(r"[^\W_]+")
 
 
 def normal_words(text: str) -> list[str]:
-    """Words apart from case, punctuation, line breaks, hyphenation at them, and bracketed remarks."""
+    """Words apart from case, punctuation, line breaks, hyphenation at them, and short bracketed remarks."""
     text = _REMARK.sub(" ", _BREAK.sub("", text))
     return _WORDS.findall(_APOSTROPHE.sub("", text.lower()))
 
 
+def remarks(text: str) -> list[list[tuple[int, int]]]:
+    """Places of balanced brackets by depth, the outermost first; brackets without a partner are passed over."""
+    stack: list[tuple[str, int]] = []
+    pairs = []
+    for m in _BRACKET.finditer(text):
+        c = m.group()
+        if c in "([":
+            stack.append((c, m.start()))
+            continue
+        opening = "(" if c == ")" else "["
+        at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == opening), None)
+        if at is not None:
+            pairs.append((stack[at][1], m.end()))
+            del stack[at:]
+    levels: list[list[tuple[int, int]]] = []
+    ends: list[int] = []
+    for start, end in sorted(pairs):
+        while ends and ends[-1] <= start:
+            ends.pop()
+        if len(ends) == len(levels):
+            levels.append([])
+        levels[len(ends)].append((start, end))
+        ends.append(end)
+    return levels
+
+
+def readings(text: str) -> Iterator[list[str]]:
+    """The words of a text without short remarks and, for each depth that holds a long or nested one, without those of the depth.
+
+    A bracket may hold a remark or a passage, so no reading replaces another.
+    """
+    yield normal_words(text)
+    levels = remarks(text)
+    for depth, level in enumerate(levels):
+        inner = levels[depth + 1] if depth + 1 < len(levels) else []
+        if not inner and all(end - start <= SHORT_REMARK for start, end in level):
+            continue
+        kept, at = [], 0
+        for start, end in level:
+            kept.append(text[at:start])
+            at = end
+        yield normal_words(" ".join([*kept, text[at:]]))
+
+
 class WuManber:
     """Shift table, suffix buckets and items of one block."""
 
@@ -77,7 +123,13 @@ class WuManber:
 
     def cases(self, text: str) -> list[tuple[int, int]]:
         """The items that the text holds, with the number of their words found."""
-        words = normal_words(text)
+        most: dict[int, int] = {}
+        for words in readings(text):
+            for item, count in self._cases(words):
+                most[item] = max(count, most.get(item, 0))
+        return list(most.items())
+
+    def _cases(self, words: list[str]) -> list[tuple[int, int]]:
         if len(words) < LEAST_WORDS - 4:
             return []
         places: dict[int, list[tuple[int, int]]] = {}

@@ -195,6 +195,22 @@ def test_passages():
     assert cases(" ".join(random.sample(item, 60))) == []
 
 
+def test_remarks_of_any_length_and_depth():
+    item = [f"word{k}x" for k in range(40)]
+    matcher = contamination.WuManber([(1, " ".join(item))])
+    long = " ".join(f"remark{k}" for k in range(80))
+
+    def cases(part):
+        return [i for i, _ in matcher.cases("before it all " + part + " and after it all")]
+
+    left, right = " ".join(item[:12]), " ".join(item[12:24])
+    assert cases(f"{left} ({long}) {right}") == cases(f"{left} [{long} (hear) {long}] {right}") == [1]
+    assert cases(f"{left} (Hear, hear!) {' '.join(item[12:16])} [{long}] {' '.join(item[16:24])}") == [1]
+    # A long bracket may hold the passage itself, with a remark of its own.
+    assert cases(f"({long} {left} [{long}] {right})") == [1] and cases(f"({long} {left} {right} {long})") == [1]
+    assert cases(f":( 1) {left} {right}") == [1] and cases(f"{left} {long} {right}") == []
+
+
 def test_leak_table(spark):
     item = " ".join(f"word{k}" for k in range(40))
     docs = spark.createDataFrame([(1, "x " * 60_000 + item), (2, None), (3, ""), (4, "word1 word2"), (1, item)], "doc long, text string")
