@@ -248,6 +248,15 @@ def test_reading_levels(spark):
     assert reading_level.levels(docs.select("doc", "text"), labels.limit(0)).count() == 0 and reading_level.levels(docs.limit(0).select("doc", "text"), labels).count() == 0
 
 
+def test_vocabulary_is_of_the_whole_text(spark):
+    own = "We have the honour to say that this is what the people of our land would do with it now. " * 5
+    quoted = " ".join("zq" + a + b for a in "abcdefgh" for b in "abcdefgh")
+    df = spark.createDataFrame([(0, own), (1, own + f' "{quoted}" '), (2, own + f" ({quoted}) ")], "doc long, text string")
+    got = {r.doc: r for r in reading_level.features(df).collect()}
+    for doc in (1, 2):
+        assert got[doc].log_rank_90 > got[0].log_rank_90 and got[doc].log_sentence == got[0].log_sentence
+
+
 def test_ranks_and_coverage(spark):
     words = spark.createDataFrame([("a", 5), ("b", 3), ("a", 1), ("c", 3), ("d", 1)], "word string, n long")
     assert {r.word: r.rank for r in reading_level.word_ranks(words).collect()} == {"a": 1, "b": 2, "c": 2, "d": 4}
