@@ -5,7 +5,9 @@ links, time of creation) is one document; its tokens are the word triples, and i
 ``n - ceil(t n) + 1`` of them, so that two documents of Jaccard similarity ``t`` or more share a prefix token. Posting
 lists are keyed by (token, signature of media and links, block of time), because contents with other files or links, or
 created further apart, are other posts. A batch probes the lists with its own prefixes, filters by length and time,
-verifies the overlap on whole token sets, and appends its postings. History is neither tokenized nor compared again.
+verifies the overlap on whole token sets, and appends its postings. With a kept index (:func:`append`, :func:`probe`)
+history is neither tokenized nor compared again; :func:`repeats`, which the queries run, keeps none: it tokenizes all
+documents of its tables, rebuilds all postings and joins them with themselves, history against history included.
 
 Token rarity comes from a table of ``DF_BUCKETS`` counters over all documents (hashing only coarsens the order of
 tokens, every order is a valid one), a fixed size, which is broadcast.
