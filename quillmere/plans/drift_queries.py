@@ -20,12 +20,18 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return changes(_files(spark, base)).select(F.col("file").alias("export_file_id"), F.col("kind").alias("change_kind"), F.col("path").alias("field_path"))
 
 
+def p3_changes(spark: SparkSession, base: str) -> DataFrame:
+    """Every change with its step of the edit script, both paths and both types."""
+    columns = [F.col("file").alias("export_file_id"), F.col("kind").alias("change_kind"), F.col("path").alias("field_path"), "old_path", "step", "old_type", "new_type"]
+    return changes(_files(spark, base)).select(*columns)
+
+
 def p3_records(spark: SparkSession, base: str) -> DataFrame:
-    """All records of all readable files under one naming of fields."""
+    """All records of all readable files under one naming and one typing of fields, as JSON objects."""
     files = _files(spark, base)
     table = consistent_table(files, keep(changes(files)))
-    return table.select(F.col("file").alias("export_file_id"), F.col("kind").alias("source_kind"), "record_key", F.to_json("fields").alias("fields"))
+    return table.select(F.col("file").alias("export_file_id"), F.col("kind").alias("source_kind"), "record_key", F.col("typed").alias("fields"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_records": p3_records}
+QUERIES = {"p3_found": p3_found, "p3_changes": p3_changes, "p3_records": p3_records}
 ORACLE: dict[str, str] = {}

@@ -262,6 +262,55 @@ def test_drift_edges(spark):
     assert schema_drift.changes(repeated.unionByName(repeated)).count() == 1
 
 
+def steps(old, new):
+    read = [schema_drift.read_file(json.dumps(x), "fbid") for x in (old, new)]
+    return {(c.step, c.old_path, c.path) for c in schema_drift.compare(*read)}
+
+
+def test_scripts_relabel_and_move():
+    old = [{"fbid": str(k), "a": f"x{k}", "m": f"y{k}", "z": f"w{k}", "box": {"p": k, "q": -k}} for k in range(4)]
+    new = [{"fbid": str(k), "y": f"x{k}", "b": f"y{k}", "z": f"w{k}", "crate": {"p": k, "q": -k}} for k in range(4)]
+    # Names that cross in order of label, and an inner node under another name.
+    assert steps(old, new) == {("relabel", "a", "y"), ("relabel", "m", "b"), ("relabel", "box.p", "crate.p"), ("relabel", "box.q", "crate.q")}
+    inner = [{"fbid": str(k), "a": f"x{k}", "box": {"p": k, "m": f"y{k}"}, "z": f"w{k}"} for k in range(4)]
+    assert ("move", "m", "box.m") in steps([r | {"box": {"p": k}} for k, r in enumerate(old)], inner)
+    # One constant that two old fields share: the field with more to show for it is the one renamed.
+    two = steps([{"fbid": str(k), "c": "same", "d": f"v{k}" if k else "same"} for k in range(1)] + [{"fbid": "9", "d": "other"}], [{"fbid": "0", "e": {"d": "same"}}, {"fbid": "9", "e": {"d": "other"}}])
+    assert two == {("delete", None, "c"), ("relabel", "d", "e.d")}
+
+
+def test_the_script_decides(spark, monkeypatch):
+    old, new = [{"fbid": "1", "a": "x", "s": 1}, {"fbid": "2", "a": "y", "s": 2}], [{"fbid": "1", "b": "x", "s": 1}, {"fbid": "2", "b": "y", "s": 2}]
+    assert steps(old, new) == {("relabel", "a", "b")}
+    monkeypatch.setattr(schema_drift, "edit_distance", lambda *args, **kwargs: (0.0, []))
+    assert steps(old, new) != {("relabel", "a", "b")} and any(step == "delete" for step, _, _ in steps(old, new))
+
+
+def test_assignment_against_brute_force():
+    import itertools
+
+    rng = random.Random(3)
+    for _ in range(60):
+        costs = {(p, q): rng.uniform(0.1, 1.9) for p in "abcd" for q in "wxyz" if rng.random() < 0.6}
+        best = 0.0
+        for chosen in itertools.product(*[[None, *"wxyz"]] * 4):
+            named = [c for c in chosen if c]
+            if len(named) == len(set(named)) and all((p, q) in costs for p, q in zip("abcd", chosen) if q):
+                best = max(best, sum(2 - costs[p, q] for p, q in zip("abcd", chosen) if q))
+        saved, pairs = schema_drift.assign(costs) if costs else (0.0, {})
+        assert abs(saved - best) < 1e-9 and abs(sum(2 - costs[x] for x in pairs.items()) - best) < 1e-9
+
+
+def test_types_are_reconciled(spark):
+    assert [schema_drift.common_type(set(f)) for f in (["integer", "string:integer"], ["integer", "fraction"], ["string:integer"], ["boolean", "string:boolean"], ["integer", "string"], ["boolean", "integer"])] == [
+        "integer", "fraction", "string", "boolean", "string", "string",
+    ]
+    versions = [[{"fbid": "1", "t": 5, "f": True, "x": 1}], [{"fbid": "1", "t": "7", "f": "false", "x": 1.5, "l": [1, 2]}]]
+    files = drift(spark, versions)
+    got = {r.file: json.loads(r.typed) for r in schema_drift.consistent_table(files, schema_drift.changes(files)).collect()}
+    assert got == {0: {"fbid": "1", "t": 5, "f": True, "x": 1.0}, 1: {"fbid": "1", "t": 7, "f": False, "x": 1.5, "l[]": [1, 2]}}
+
+
 def test_neighbours_of_a_large_group(spark):
     files = spark.range(3000).select(F.col("id").alias("file"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 5).cast("string"))).alias("group"), (-F.col("id")).alias("exported_at"))
     got = {r.file: r.before for r in schema_drift.neighbours(files).collect()}
