@@ -9,6 +9,8 @@ pivoted from the adjacency table by joining each object node with its scalar chi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,32 +66,39 @@ def shred(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("record"), F.inline(F.concat(*lists) if len(lists) > 1 else lists[0]))
 
 
-def filled_objects(nodes: DataFrame) -> DataFrame:
+def filled_objects(nodes: DataFrame, called: Callable[[Column], Column] | None = None, where: str | None = None) -> DataFrame:
     """The object nodes with at least one non-null child: record, node. Repeated nodes come out once.
 
     Joins object nodes with their children by grouping on ``(record, object)``; both buffers are booleans, so the
     grouping is a hash aggregation that combines before the shuffle, and what is shuffled is one row per object.
+    ``called`` renames nodes before they are grouped (nodes of one name count as one), ``where`` is a pattern for the
+    names of the objects asked for; both are applied before the shuffle.
     """
     as_object = F.struct(F.col("node").alias("node"), F.lit(True).alias("own"))
     as_child = F.struct(F.col("parent").alias("node"), F.lit(False).alias("own"))
     roles = F.when(F.col("kind") == "object", F.array(as_object, as_child)).otherwise(F.array(as_child))
     rows = nodes.select("record", F.inline(roles)).where(F.col("node") != "")
+    if where is not None:
+        rows = rows.where(F.col("node").rlike(where))
     return (
-        rows.groupBy("record", "node")
+        rows.groupBy("record", (called(F.col("node")) if called else F.col("node")).alias("node"))
         .agg(F.max("own").alias("is_object"), F.max(~F.col("own")).alias("has_child"))
         .where("is_object AND has_child")
         .select("record", "node")
     )
 
 
-def entity_table(nodes: DataFrame, label: str, fields: dict[str, str]) -> DataFrame:
+def entity_table(nodes: DataFrame, label: str, fields: dict[str, str], where: str | None = None) -> DataFrame:
     """Entity table of the objects called ``label``: record, node, parent, ordinal and the typed ``fields`` (name -> type).
 
     Pivots scalar children over their object node by conditional aggregation with map-side combining. A scalar that
-    doesn't fit its type becomes null.
+    doesn't fit its type becomes null. ``where`` is a pattern for the objects' nodes; what belongs to others is left out
+    before the shuffle.
     """
     scalar = F.col("kind") == "scalar"
     rows = nodes.where(((F.col("kind") == "object") & (F.col("label") == label)) | (scalar & F.col("label").isin(*fields)))
+    if where is not None:
+        rows = rows.where(F.when(scalar, F.col("parent")).otherwise(F.col("node")).rlike(where))
     wide = rows.groupBy("record", F.when(scalar, F.col("parent")).otherwise(F.col("node")).alias("node")).agg(
         F.max(F.when(~scalar, F.col("parent"))).alias("parent"),
         F.max(F.when(~scalar, F.col("ordinal"))).alias("ordinal"),
