@@ -1,19 +1,19 @@
 """Best representative of each duplicate group by Bayesian fusion with copy detection.
 
-Every group of records makes claims about a few fields. The claims of a group are first reduced to one per source (the
-way a record was tied to the group): the source's latest usable value. A group therefore holds at most as many claims
-per field as there are sources, however many records it has, and the reduction combines on the map side.
-
-On these claims the operator alternates, for a fixed number of rounds, between
-  1. the posterior of every value of a field, from the log-odds votes of its sources, halved for each newer claim and
-     discounted by the probability that the source copied a source asked before;
-  2. the accuracy of every source, as its mean posterior, made monotone in the source's rank;
-  3. the dependence of every pair of sources, from the shared false values, shared true values and differences.
-Only accuracies (one row per source) and dependences (one row per pair of sources) ever reach the driver. The number of
-sources is bounded by ``MAX_SOURCES``, which is checked.
-
-A claim that is newer than all others and of a rank that none undercuts always wins: votes are monotone in rank, and
-the halved votes of all older claims sum to less than its own.
+Every group of records makes claims about a few fields. Claims are reduced to one row per group, field and value, with
+the set of sources (ways of tying a record to its group) that say so and the newest record that does; all values of all
+sources vote. A row holds at most as many sources as there are, however many records the group has, and the reduction
+combines on the map side.
+
+On these rows the operator alternates, until accuracies and dependences stand still, between
+  1. the posterior of every value: the log-odds votes of its sources, each discounted by the probability that it copied a
+     more accurate source that says the same;
+  2. the accuracy of every source: the mean posterior of what it says;
+  3. the dependence of every pair of sources: of the values that one of them says and that another value of the group
+     beats, the share that the other says too, against what chance would give. Shared true values are no evidence.
+Age and rank have no vote; the newest claim is only preferred among equally probable values. Groups in which all
+agree count by their set of sources, so a round reads the sets and the disputed groups, not all claims. Only accuracies
+(a row per source) and dependences (a row per pair of sources) reach the driver.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.session import cut
+from quillmere.session import keep
 
-MAX_SOURCES = 64
 #: Stand-ins for "no value", compared in lower case without surrounding white space.
 STAND_INS = ("", "-", "--", "n/a", "na", "none", "null", "nil", "undefined", "unknown", "?", "nan", "(no place)", "no place", "(none)", "(unknown)", "(null)", "tbd", "0", "#")
 
@@ -56,12 +55,14 @@ def url_key(value: Column) -> Column:
 
 
 def claims(observations: DataFrame, records: DataFrame, fields: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """One claim per group, field and source: the source's latest usable value.
+    """One row per group, field and distinct value: group, field, key, says (the sources, sorted), top, rank.
 
     ``observations``: group, record, source, rank, seen. ``records``: record and the columns that ``fields`` names;
-    ``fields`` maps a field's name to its usable value and to the key under which values count as equal. Repeated rows,
-    null groups and null records are disregarded; groups seen in fewer than two distinct records make no claims. A null
-    rank counts as the last, a null time as the first. Of the records a source saw last at one time, the smallest counts.
+    ``fields`` maps a field's name to its usable value and to the key under which values count as equal. ``top`` is the
+    newest claim (seen, minus rank, minus record, value), of one time the one of the strongest rank, then of the smallest
+    record; ``rank`` is the strongest rank of any claim of the value. Repeated rows, null groups and null records are
+    disregarded; groups seen in fewer than two distinct records make no claims. A null rank counts as the last, a null
+    time as the first.
     """
     seen = observations.where("group IS NOT NULL AND record IS NOT NULL").select(
         "group", "record", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"),
@@ -74,139 +75,105 @@ def claims(observations: DataFrame, records: DataFrame, fields: dict[str, tuple[
     values = values.groupBy("record").agg(*[F.min(f"f_{name}").alias(f"f_{name}") for name in fields])
     each = F.filter(F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"f_{name}.value").alias("value"), F.col(f"f_{name}.key").alias("key")) for name in fields]), lambda x: x.value.isNotNull())
     said = seen.join(values, "record").select("group", "source", "rank", "seen", "record", F.inline(each))
-    latest = said.groupBy("group", "field", "source").agg(
-        F.min("rank").alias("rank"), F.max(F.struct(F.col("seen"), (-F.col("record")).alias("order"), F.col("value"), F.col("key"))).alias("last")
-    )
+    newest = F.struct(F.col("seen"), (-F.col("rank")).alias("rank"), (-F.col("record")).alias("record"), F.col("value"))
+    distinct = said.groupBy("group", "field", "key").agg(F.sort_array(F.collect_set("source")).alias("says"), F.max(newest).alias("top"), F.min("rank").alias("rank"))
     # Only now are there few rows per group, however many records it has.
-    latest = latest.join(several, "group", "left_semi")
-    return latest.select("group", "field", "source", "rank", "last.seen", (-F.col("last.order")).alias("record"), "last.value", "last.key")
-
-
-def _bundle(claimed: DataFrame) -> DataFrame:
-    """One row per group and field, its claims newest first; at most one per source."""
-    entry = F.struct(
-        (-F.col("seen")).alias("order"), F.col("rank"), F.col("record"), F.col("source"), F.col("seen"), F.col("value"), F.col("key")
-    )
-    return claimed.groupBy("group", "field").agg(F.array_sort(F.collect_list(entry)).alias("claims"))
+    return distinct.join(several, "group", "left_semi")
 
 
-def _table(values: dict, default: float) -> Column:
-    """A map literal with a default for absent keys, as a function of the key column."""
-    if not values:
-        return None
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), default
+def _score(says: Column, accuracy: dict[str, float], dependence: dict[tuple[str, str], float], n_false: int, copy_rate: float, prior_copy: float) -> Column:
+    """Sum of the votes of the sources, the most accurate first, later ones discounted for what they may have copied."""
+    weights = {s: math.log(n_false * a / (1 - a)) for s, a in accuracy.items()}
+    vote = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else None
+    told = {pair: d for pair, d in dependence.items() if abs(d - prior_copy) > 0.005}
+    tie = F.create_map(*[F.lit(x) for (a, b), d in told.items() for x in (f"{a}\0{b}", d)]) if told else None
 
+    def copied(a: Column, b: Column) -> Column:
+        pair = F.concat_ws("\0", F.least(a, b), F.greatest(a, b))
+        return F.coalesce(tie[pair], F.lit(prior_copy)) if tie is not None else F.lit(prior_copy)
 
-def _lookup(table, key: Column) -> Column:
-    if table is None:
+    if vote is None:
         return F.lit(0.0)
-    return F.coalesce(table[0].getItem(key), F.lit(table[1]))
-
-
-def _scored(bundles: DataFrame, accuracy: dict[str, float], dependence: dict[str, float], n_false: int, copy_rate: float) -> DataFrame:
-    """Adds to each claim its vote, and to each bundle the posterior of each of its values."""
-    acc, dep = _table(accuracy, 0.5), _table(dependence, 0.0)
-
-    def vote(c: Column, i: Column) -> Column:
-        a = _lookup(acc, c.source)
-        weight = F.log(F.lit(float(n_false)) * a / (1 - a))
-        before = F.filter(F.slice(F.col("claims"), 1, F.greatest(i, F.lit(0))), lambda b: b.key == c.key)
-        independent = F.aggregate(before, F.lit(1.0), lambda s, b: s * (1 - F.lit(copy_rate) * _lookup(dep, F.concat_ws("|", F.least(b.source, c.source), F.greatest(b.source, c.source)))))
-        newer = F.size(F.array_distinct(F.transform(F.filter(F.col("claims"), lambda b: b.seen > c.seen), lambda b: b.seen)))
-        return weight * independent * F.pow(F.lit(2.0), -F.greatest(newer, i).cast("double"))
-
-    voted = bundles.withColumn("votes", F.transform("claims", vote))
-    keys = F.array_distinct(F.transform("claims", lambda c: c.key))
-    score = F.transform(
-        keys,
-        lambda k: F.struct(
-            k.alias("key"),
-            F.aggregate(F.zip_with("claims", "votes", lambda c, v: F.when(c.key == k, v).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, v: s + v).alias("score"),
-        ),
-    )
-    voted = voted.withColumn("scores", score)
-    # The values nobody claims weigh exp(0) each.
-    top = F.array_max(F.transform("scores", lambda s: s.score))
-    total = F.aggregate("scores", F.greatest(F.lit(float(n_false + 1)) - F.size("scores"), F.lit(0.0)) * F.exp(-top), lambda s, x: s + F.exp(x.score - top))
-    return voted.withColumn("posteriors", F.transform("scores", lambda s: F.struct(s.key.alias("key"), (F.exp(s.score - top) / total).alias("p"))))
+    ranked = F.array_sort(F.transform(says, lambda s: F.struct((-F.coalesce(vote[s], F.lit(0.0))).alias("vote"), s.alias("source"))))
 
+    def discounted(c: Column, i: Column) -> Column:
+        before = F.slice(ranked, F.lit(1), i)
+        return -c.vote * F.aggregate(before, F.lit(1.0), lambda p, b: p * (1 - F.lit(copy_rate) * copied(b.source, c.source)))
 
-def _posterior_of(key: Column) -> Column:
-    return F.element_at(F.filter("posteriors", lambda p: p.key == key), 1).p
+    return F.aggregate(F.transform(ranked, discounted), F.lit(0.0), lambda s, x: s + x)
 
 
-def _monotone(ranked: list[tuple[int, str, float, float]]) -> dict[str, float]:
-    """Isotonic regression (pool adjacent violators): accuracy doesn't rise from a stronger rank to a weaker one."""
-    pools: list[list] = []
-    for _, source, mean, weight in sorted(ranked):
-        pools.append([mean, weight, [source]])
-        while len(pools) > 1 and pools[-2][0] < pools[-1][0]:
-            m, w, names = pools.pop()
-            pools[-1] = [(pools[-1][0] * pools[-1][1] + m * w) / (pools[-1][1] + w), pools[-1][1] + w, pools[-1][2] + names]
-    return {s: m for m, _, names in pools for s in names}
+def _dependence(successes: float, trials: float, accuracy: float, n_false: int, copy_rate: float, prior_copy: float) -> float:
+    """Probability that one of two sources copies the other, from how many of the false values of either both say."""
+    chance = (1 - accuracy) / n_false
+    copying = copy_rate + (1 - copy_rate) * chance
+    evidence = successes * math.log(copying / chance) + (trials - successes) * math.log((1 - copying) / (1 - chance))
+    return 1 / (1 + (1 - prior_copy) / prior_copy * math.exp(-max(-60.0, min(60.0, evidence))))
 
 
 def fuse(
-    claimed: DataFrame, rounds: int = 2, n_false: int = 20, copy_rate: float = 0.8, prior_accuracy: float = 0.8, prior_copy: float = 0.1
-) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
+    claimed: DataFrame, rounds: int = 25, n_false: int = 20, copy_rate: float = 0.8, prior_accuracy: float = 0.8, prior_copy: float = 0.1, still: float = 0.002
+) -> tuple[DataFrame, dict[str, float], dict[tuple[str, str], float]]:
     """Fused groups, source accuracies and pairwise dependences.
 
-    The first is one row per group and field: group, field, claims, votes, scores, posteriors; ``best`` is the claim of
-    the most probable value, the newest if several make it. Votes stay positive: accuracies are kept within
-    [2 / (n_false + 1), 0.99]. An empty input gives an empty result and no accuracies.
+    The first is one row per group and field: group, field, values (how many differ), best (seen, rank, record, value of
+    the newest claim of the most probable value), posterior, newest (the same of the newest claim of any value) and
+    strongest (the strongest rank of any claim). Rounds end when nothing moves by more than ``still``. Accuracies are kept
+    within [2 / (n_false + 1), 0.99]. An empty input gives an empty result and no accuracies.
     """
-    bundles = cut(_bundle(claimed))
-    sources = [r.source for r in bundles.select(F.explode("claims").alias("c")).select("c.source").distinct().limit(MAX_SOURCES + 1).collect()]
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources of claims; group them first")
+    claimed = keep(claimed)
+    groups = claimed.groupBy("group", "field").agg(
+        F.min("key").alias("_a"), F.max("key").alias("_b"), F.count("*").alias("values"), F.max("top").alias("newest"), F.min("rank").alias("strongest"), F.first("says").alias("says"), F.first("top").alias("best")
+    )
+    groups = keep(groups)
+    disputed = groups.where("values > 1").select("group", "field", "values")
+    rows = claimed.join(disputed, ["group", "field"])
+    every = rows.select("group", "field", F.explode("says").alias("s")).groupBy("group", "field").agg(F.collect_set("s").alias("all"))
+    rows = keep(rows.join(every, ["group", "field"]).select("group", "field", "key", "values", "says", "all", "top"))
+    agreed = keep(groups.where("values = 1").groupBy("says").agg(F.count("*").alias("n")))
+    sources = [r.s for r in agreed.select(F.explode("says").alias("s")).union(rows.select(F.explode("says").alias("s"))).distinct().collect()]
     accuracy, dependence = dict.fromkeys(sources, prior_accuracy), {}
     low, high = 2 / (n_false + 1), 0.99
+
+    def posteriors(table: DataFrame) -> DataFrame:
+        """Disputed rows with the posterior of each value; the values nobody claims weigh exp(0) each."""
+        scored = table.withColumn("e", F.exp(_score(F.col("says"), accuracy, dependence, n_false, copy_rate, prior_copy)))
+        total = scored.groupBy("group", "field").agg((F.sum("e") + F.greatest(F.lit(float(n_false + 1)) - F.max("values"), F.lit(0.0))).alias("z"))
+        return scored.join(total, ["group", "field"]).withColumn("p", F.col("e") / F.col("z")).drop("e", "z")
+
+    def agreed_posterior() -> Column:
+        e = F.exp(_score(F.col("says"), accuracy, dependence, n_false, copy_rate, prior_copy))
+        return e / (e + n_false)
+
     for _ in range(rounds if sources else 0):
-        scored = _scored(bundles, accuracy, dependence, n_false, copy_rate)
-        best = F.array_max(F.transform("posteriors", lambda p: F.struct(p.p.alias("p"), p.key.alias("key")))).key
-        flat = F.transform("claims", lambda c: F.struct(c.source.alias("source"), c.key.alias("key"), c["rank"].alias("rank"), _posterior_of(c.key).alias("p"), (c.key == F.col("_best")).alias("true")))
-        scored = scored.withColumn("_best", best).select(flat.alias("claims"))
-        # One pass gives the sums of every source and the counts of every pair (a pair of a source with itself is the source).
-        pairs = F.flatten(
-            F.transform(
-                "claims",
-                lambda a: F.transform(
-                    F.filter("claims", lambda b: b.source >= a.source),
-                    lambda b: F.struct(
-                        a.source.alias("a"), b.source.alias("b"), F.when(a.source == b.source, a.p).alias("p"), a["rank"].alias("rank"),
-                        ((a.key == b.key) & a.true).alias("same_true"), ((a.key == b.key) & ~a.true).alias("same_false"), (a.key != b.key).alias("differ"),
-                    ),
-                ),
-            )
-        )
-        counts = (
-            scored.select(F.inline(pairs))
-            .groupBy("a", "b")
-            .agg(F.avg("p").alias("p"), F.min("rank").alias("rank"), F.count("*").alias("n"), *[F.sum(F.col(c).cast("long")).alias(c) for c in ("same_true", "same_false", "differ")])
-            .collect()
+        one = agreed.select(agreed_posterior().alias("p"), F.col("n").cast("double").alias("n"), F.lit(False).alias("false"), "says", F.col("says").alias("all"))
+        several = posteriors(rows).select("p", F.lit(1.0).alias("n"), (F.col("p") < 0.5).alias("false"), "says", "all")
+        # What each source says, and for what it says in vain, who else of the group says it too.
+        heard = F.transform("says", lambda a: F.struct(a.alias("a"), a.alias("b"), F.col("p").alias("hit")))
+        vain = F.flatten(
+            F.transform("says", lambda a: F.transform(F.filter("all", lambda b: b != a), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.array_contains("says", b).cast("double").alias("hit"))))
         )
-        smoothed = [(r["rank"], r.a, (r.p * r.n + prior_accuracy * 10) / (r.n + 10), float(r.n)) for r in counts if r.a == r.b]
-        accuracy = {s: min(high, max(low, a)) for s, a in _monotone(smoothed).items()}
-        dependence = {}
-        for r in counts:
-            if r.a != r.b:
-                a = (accuracy[r.a] + accuracy[r.b]) / 2
-                p_true, p_false = a * a, (1 - a) ** 2 / n_false
-                p_diff = max(1e-9, 1 - p_true - p_false)
-                evidence = (
-                    r.same_true * math.log((copy_rate * a + (1 - copy_rate) * p_true) / p_true)
-                    + r.same_false * math.log((copy_rate * (1 - a) + (1 - copy_rate) * p_false) / p_false)
-                    + r.differ * math.log(max(1e-9, (1 - copy_rate) * p_diff) / p_diff)
-                )
-                dependence[f"{r.a}|{r.b}"] = 1 / (1 + (1 - prior_copy) / prior_copy * math.exp(-max(-60.0, min(60.0, evidence))))
-    scored = _scored(bundles, accuracy, dependence, n_false, copy_rate)
-    top = F.array_max(F.transform("posteriors", lambda p: F.struct(p.p.alias("p"), p.key.alias("key"))))
-    scored = scored.withColumn("posterior", top.p).withColumn("best", F.element_at(F.filter("claims", lambda c: c.key == top.key), 1))
-    return scored, accuracy, dependence
+        counts = one.unionByName(several).select("n", F.inline(F.concat(heard, F.when(F.col("false"), vain).otherwise(F.array().cast("array<struct<a:string,b:string,hit:double>>")))))
+        sums = counts.groupBy("a", "b").agg(F.sum(F.col("hit") * F.col("n")).alias("hits"), F.sum("n").alias("n")).collect()
+        before = (accuracy, dependence)
+        accuracy = {r.a: min(high, max(low, (r.hits + prior_accuracy * 10) / (r.n + 10))) for r in sums if r.a == r.b}
+        dependence = {(r.a, r.b): _dependence(r.hits, r.n, (accuracy[r.a] + accuracy[r.b]) / 2, n_false, copy_rate, prior_copy) for r in sums if r.a != r.b}
+        moved = [abs(x - before[0].get(s, 0.0)) for s, x in accuracy.items()] + [abs(x - before[1].get(s, prior_copy)) for s, x in dependence.items()]
+        if max(moved, default=0.0) <= still:
+            break
+
+    columns = ["group", "field", "values", "best", "posterior", "newest", "strongest"]
+    alone = groups.where("values = 1").withColumn("posterior", agreed_posterior()).select(*columns)
+    winners = posteriors(rows).groupBy("group", "field").agg(F.max(F.struct("p", "top")).alias("w"))
+    chosen = groups.where("values > 1").drop("best").join(winners, ["group", "field"]).select("*", F.col("w.top").alias("best"), F.col("w.p").alias("posterior")).select(*columns)
+    plain = lambda c: F.struct(F.col(f"{c}.seen").alias("seen"), (-F.col(f"{c}.rank")).alias("rank"), (-F.col(f"{c}.record")).alias("record"), F.col(f"{c}.value").alias("value"))
+    return alone.unionByName(chosen).withColumns({"best": plain("best"), "newest": plain("newest")}), accuracy, dependence
 
 
 def undisputed(fused: DataFrame) -> DataFrame:
-    """The exact check: group, field, record where the chosen claim is the newest and none is of a stronger rank."""
-    newest = F.array_max(F.transform("claims", lambda c: c.seen))
-    strongest = F.array_min(F.transform("claims", lambda c: c["rank"]))
-    return fused.where((F.col("best.seen") == newest) & (F.col("best.rank") == strongest)).select("group", "field", F.col("best.record").alias("record"))
+    """The exact check on fused groups: group, field, record of the newest claim where no claim is of a stronger rank.
+
+    ``agrees`` tells whether that claim is of the most probable value.
+    """
+    chosen = fused.where(F.col("newest.rank") == F.col("strongest"))
+    return chosen.select("group", "field", F.col("newest.record").alias("record"), (F.col("newest.value") == F.col("best.value")).alias("agrees"))

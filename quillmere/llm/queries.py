@@ -21,15 +21,15 @@ def _post_claims(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
-    """Per post and field the record of the most probable value, where it is both the newest and of an unmatched rank."""
+    """Per post and field the record of the most probable value, where the newest claim of all says it and is of an unmatched rank."""
     fused, _, _ = fusion.fuse(_post_claims(spark, base))
-    return fusion.undisputed(fused).select(F.col("group").alias("post_id"), F.col("field").alias("field_name"), F.col("record").alias("source_record_id"))
+    return fusion.undisputed(fused).where("agrees").select(F.col("group").alias("post_id"), F.col("field").alias("field_name"), F.col("record").alias("source_record_id"))
 
 
 def p1_representative(spark: SparkSession, base: str) -> DataFrame:
     """Per post observed in several records: the most probable value of each field, with its posterior and record."""
     fused, _, _ = fusion.fuse(_post_claims(spark, base))
-    return fused.select(F.col("group").alias("post_id"), F.col("field").alias("field_name"), F.col("best.value").alias("value"), F.round("posterior", 4).alias("posterior"), F.col("best.record").alias("source_record_id"))
+    return fused.select(F.col("group").alias("post_id"), F.col("field").alias("field_name"), F.col("best.value").alias("value"), F.round("posterior", 4).alias("posterior"), F.col("best.record").alias("source_record_id"), "values")
 
 
 P1_FOUND_SQL = r"""
