@@ -11,15 +11,17 @@ from quillmere.session import keep, skew_safe_lookup
 JUMP_AFTER = 3
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, distinct: bool = False) -> DataFrame:
     """Component of every record: record, order, label, the smallest ``order`` of its component.
 
     ``nodes``: record, order (unique longs). ``edges``: record, key; a key joins its records, null keys join nothing.
     Labels spread over keys; after ``JUMP_AFTER`` rounds they also jump to the label of the record they name, so the
     rounds grow with the logarithm of the longest path. Keys of one record are dropped first; keys of any size spread
-    their label through a salted lookup.
+    their label through a salted lookup. ``distinct`` tells that the edges are a written table without repeats and nulls.
+    ``max_rounds`` guards against a defect only: a path of 2^100 records would need fewer.
     """
-    edges = keep(edges.where("key IS NOT NULL").distinct())
+    if not distinct:
+        edges = keep(edges.where("key IS NOT NULL").distinct())
     sizes = edges.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     linked = keep(skew_safe_lookup(edges, sizes, ["key"], "size", "record").select("key", "record", "size"))
     labels = keep(nodes.join(linked.select("record").distinct(), "record").select("record", "order", F.col("order").alias("label")))
