@@ -100,13 +100,13 @@ def p6_restored(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _batches(spark: SparkSession, base: str) -> DataFrame:
-    """The parsed records with their run and exact keys."""
+    """The parsed records with their run, exact keys and batch: 0 for what the index holds, 1 for the pending runs, which arrive together."""
     files = load(spark, base, "source_files").select("source_file_id", "import_run_id").dropDuplicates(["source_file_id"])
-    runs = load(spark, base, "import_runs").select("import_run_id", "run_no").dropDuplicates(["import_run_id"])
+    runs = load(spark, base, "import_runs").select("import_run_id", F.col("run_no").alias("run"), F.when(F.col("status") == "running", 1).otherwise(0).alias("batch")).dropDuplicates(["import_run_id"])
     records = load(spark, base, "source_records").where("parse_status = 'parsed'").select(
         F.col("source_record_id").alias("record"), "source_file_id", "semantic_fingerprint", "raw_sha256", fusion.usable_id(F.col("facebook_post_id")).alias("post_key")
     )
-    return records.join(files, "source_file_id").join(runs, "import_run_id").withColumnRenamed("run_no", "run")
+    return records.join(files, "source_file_id").join(runs, "import_run_id")
 
 
 def _contents(spark: SparkSession, base: str) -> DataFrame:

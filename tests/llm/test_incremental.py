@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmere.llm import incremental_dedup as inc
@@ -85,6 +86,60 @@ def test_classes_match_brute_force(spark):
     assert classes(spark, data + data[::7]) == brute(data)
 
 
+def test_batches_one_by_one_match_brute_force(spark):
+    """Runs accepted one after the other, of which later ones connect classes of earlier ones."""
+    rnd = random.Random(4)
+    data = []
+    for k in range(60):
+        text, ts = sentence(rnd, rnd.randint(8, 20)), rnd.randrange(10**6) * 500
+        for j in range(rnd.randint(1, 5)):
+            shared = f"s{k}-{rnd.randrange(4)}" if rnd.random() < 0.5 else f"x{k}-{j}"
+            data.append((100 * k + j, rnd.randint(1, 5), f"f{k}-{j // 2}", shared, f"i{k}" if rnd.random() < 0.2 else None, changed(rnd, text) if rnd.random() < 0.6 else sentence(rnd, 9), None, None, ts + rnd.randint(-9000, 9000)))
+    records, texts = tables(spark, data + data[::5])
+    got = inc.repeats(records.withColumn("batch", F.col("run")), texts, ["fp", "sha", "fid"])
+    _, first = inc.split_order(F.col("label"))
+    assert {r.record: r.first for r in got.select("record", first.alias("first")).collect()} == brute(data)
+
+
+def test_batch_work_does_not_grow_with_history(spark, monkeypatch):
+    """What a batch canonicalizes, tokenizes and compares is the same beside ten times the history; accepting it twice changes nothing."""
+    rnd = random.Random(2)
+    far = [(k, 1, f"f{k}", f"s{k}", None, sentence(rnd, 12), None, None, 10**6 * (k + 1)) for k in range(300)]
+    near = [(1000 + k, 1, f"g{k}", f"t{k}", None, sentence(rnd, 12), None, None, 1000 + k) for k in range(20)]
+    new = [(2000 + k, 2, f"h{k}", f"u{k}", None, changed(rnd, near[k][5]), None, None, 1000 + k) for k in range(20)]
+    seen = []
+    real = {name: getattr(inc, name) for name in ("documents", "_verified")}
+    monkeypatch.setattr(inc, "documents", lambda held: seen.append(("tokenized", held.count())) or real["documents"](held))
+    monkeypatch.setattr(inc, "_verified", lambda pairs, t: seen.append(("compared", pairs.count())) or real["_verified"](pairs, t))
+    work, classes_ = [], []
+    for history in (near, near + far):
+        index = inc.Index(spark)
+        index.accept(inc.staged(*tables(spark, history), ["fp", "sha", "fid"]), 1)
+        seen.clear()
+        for _ in range(2):
+            index.accept(inc.staged(*tables(spark, new), ["fp", "sha", "fid"]), 2)
+        work.append(list(seen))
+        again = inc.Index(spark, index.folder)
+        rows = [tuple(r) for r in again.classes().collect()]
+        assert len(rows) == len(set(rows)) == len(history) + len(new)
+        classes_.append({inc_record & ((1 << 44) - 1): label & ((1 << 44) - 1) for _, inc_record, label in rows})
+    assert work[0] == work[1] and work[0][: len(work[0]) // 2] == work[0][len(work[0]) // 2 :]
+    assert all(c[2000 + k] == 1000 + k for c in classes_ for k in range(20))
+
+
+def test_copies_are_not_paired(spark):
+    """Many posts of one text in one span: two are posted, all are one class, and so is a changed one near enough to any."""
+    same = [(k, 1, f"f{k}", f"s{k}", None, "the same words every minute of the day again", None, None, 21600 * 5 + 60 * k) for k in range(300)]
+    other = [(900, 2, "g", "t", None, "the same words every minute of the day anew", None, None, 21600 * 5 - 21600), (901, 2, "h", "u", None, "the same words every minute of the day anew", None, None, 21600 * 5 - 21601)]
+    assert inc.documents(inc.contents(tables(spark, same)[1])).count() == 2
+    assert classes(spark, same + other) == brute(same + other)
+
+
+def test_ids_that_do_not_fit_are_an_error(spark):
+    with pytest.raises(Exception, match="record ids"):
+        classes(spark, [(1 << 44, 1, "f", None, None, "x", None, None, 1)])
+
+
 def test_empty(spark):
     records, texts = tables(spark, [])
     assert inc.repeats(records, texts, ["fp", "sha", "fid"]).count() == 0
