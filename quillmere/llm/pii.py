@@ -5,8 +5,13 @@ context words) vote +1, 0 or -1 on each. Expectation-maximisation over the count
 for each type, the share of true spans and how every labeler votes on true and false ones; the resulting soft labels
 train a logistic classifier per type on votes and shape features. That classifier decides on spans.
 
-The texts are read once; those with candidates are kept. Corpus-wide work is one grouping by (type, features), which combines on the map side; the number of patterns is bounded
-by the number of labelers and features, not by the corpus. The gazetteers hold every name learned: up to ``HELD_NAMES``
+Labelers are general: number plans, formats, dates, book numbers, kinds of words in the clause around a span, casing, and
+names learned. Candidates are wide on purpose (any two capitalised words may be a name, any six digits a phone number), so
+that most of them are false and the labelers have something to settle.
+
+The texts are read twice, for the gazetteers and for the candidates; those with candidates are kept. Corpus-wide work is
+one grouping by (type, features), which combines on the map side; the number of patterns is bounded by the number of
+labelers and features, not by the corpus. The gazetteers hold every name learned: up to ``HELD_NAMES``
 of them go to the tasks whole, more stay a table, of which each text gets the names among its own words by a join.
 """
 
@@ -26,8 +31,6 @@ from quillmere.session import keep, skew_safe_lookup
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 _GAP = r"[   ​\t]"
 _STREET = r"(?:lane|street|row|road|avenue|crescent|terrace|drive|close|walk|place|square|court|way|hill|mews|gardens|boulevard|alley|st|rd|ave|dr|blvd|ln|ct)"
-_NOT_STREET = r"(?!(?:to|of|in|on|at|the|and|or|people|from|half|by|with|for|an?|one|two)\b)"
-_CARRIER = r"(?:example|test|invalid|com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|se|eu|us|ca|au)"
 
 PATTERNS: dict[str, list[str]] = {
     "EMAIL": [
@@ -47,7 +50,7 @@ PATTERNS: dict[str, list[str]] = {
         r"(?<![\w\-+.])\d{9,12}(?!\w)",
     ],
     "ADDRESS": [
-        rf"(?:(?:flat|apt|apartment|unit){_GAP}+\d+[a-z]?,{_GAP}*)?(?<![\w.,])\d{{1,5}}[a-z]?{_GAP}+{_NOT_STREET}[\w'’\-]+{_GAP}+(?:{_NOT_STREET}[\w'’\-]+{_GAP}+)?{_STREET}\b(?:,?{_GAP}+(?:apt|flat|unit)\.?{_GAP}+\d+[a-z]?)?",
+        rf"(?:(?:flat|apt|apartment|unit){_GAP}+\d+[a-z]?,{_GAP}*)?(?<![\w.,])\d{{1,5}}[a-z]?{_GAP}+[\w'’\-]+{_GAP}+(?:[\w'’\-]+{_GAP}+)?{_STREET}\b(?:,?{_GAP}+(?:apt|flat|unit)\.?{_GAP}+\d+[a-z]?)?",
         rf"(?<![\w'’\-])[\w'’\-]++{_GAP}+{_STREET}\b\.?,?{_GAP}+(?:no\.?|nr\.?|number|№){_GAP}*\d{{1,5}}[a-z]?",
         rf"(?<![\w.,])\d{{1,5}}(?:{_GAP}?(?:bis|ter))?,?{_GAP}+(?:rue|avenue|boulevard|chemin|impasse|allée|quai|place){_GAP}+(?:(?:de|du|des|la|le|les|l['’])[  ]*)*[\w'’\-]+",
         rf"(?<![\w\-])[\w\-]+(?:stra(?:ss|ß)e|str\.|weg|allee|gasse|platz|ufer){_GAP}+\d{{1,5}}[a-z]?\b(?:,{_GAP}*\d{{4,5}}{_GAP}+[\w\-]+)?",
@@ -58,22 +61,47 @@ _COMPILED = {t: [re.compile(p, re.I if t in ("EMAIL", "ADDRESS") else 0) for p i
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\.?", re.U)
 _NAME_GAP = re.compile(r"[   ​]{1,3}\Z")
 
-_PHONE_BEFORE = re.compile(r"(?i)(?:call|ring|phone|text|tel|mobile|cell|whatsapp|fax|number|reach|dial|me on|new number|hotline)\W*(?:\w+\W+){0,2}$")
-_ID_BEFORE = re.compile(r"(?i)(?:identity|passport|tax|social|security|insurance|national id|\bid\b|licen[cs]e|reference|personal|nino|ssn|card)\W*(?:\w+\W+){0,4}$")
-_ID_AFTER = re.compile(r"(?i)^\W*(?:if the desk|goes on the form|was on the letter|in the|on my id)")
-_OTHER_NUMBER = re.compile(r"(?i)(?:isbn|order|score|version|coordinates?|paid|price|bib number|room|invoice|item|sunset at|parcel no|tracking|£|\$|€|recipe|bus|flight|model|page|serial|build|lot)\W*(?:\w+\W+){0,1}$")
-_OTHER_AFTER = re.compile(r"(?i)^\W{0,2}(?:has shipped|for the curious|g\b|kg\b|km\b|eggs|degrees|°)")
-_MAIL_BEFORE = re.compile(r"(?i)(?:e-?mail|mail|write|rsvp|contact|address|reach|selling|found|interested|note with|send)\W*(?:[\w\-]+\W+){0,5}$")
-_PLACE_BEFORE = re.compile(r"(?i)(?:party at|pick it up at|parcels? go to|new home|yard sale|lives? at|moved to|address|send (?:it|them) to|took the .{1,40} to|meet at|deliver(?:ed)? to|flat \d+|at|to)\W*$")
-_NAME_BEFORE = re.compile(r"(?i)(?:\bby|\bwith|\bto|\bof|\band|\bdr\.|\bmr\.?|\bmrs\.?|\bms\.?|\bprof\.|\bthanks|\bfrom|\bfor)\s*$")
-_NAME_AFTER = re.compile(
-    r"(?i)^[\s​]*(?:updated|added|shared|was|posted|and i|with|retires|today|for the|said|\w+ed\b|hid|sold|built|lost|forgot|fell|swapped|[.,?!;]|$)"
+# Context: words of a kind, wherever they come from. A cue counts in the clause before the span or right behind it.
+_CLAUSE = r"[^.!?;\n]{0,45}$"
+_PHONE_BEFORE = re.compile(r"(?i)\b(?:call(?:ed|ing)?|ring|rang|phone|telephone|tel|mobile|cell|landline|whatsapp|signal|fax|sms|text|dial|hotline|helpline|voicemail|reach|number|contact)\b(?:\.(?!\s*[A-Z]\w))?" + _CLAUSE)
+_ID_BEFORE = re.compile(r"(?i)\b(?:identity|identification|id|ids|passport|tax|taxpayer|social|security|insurance|insured|national|citizen|resident|licen[cs]e|driver'?s?|pension|ssn|nino|sin|vat|nif|dni|personal number|card)\b(?:\.(?!\s*[A-Z]\w))?" + _CLAUSE)
+_ID_AFTER = re.compile(r"(?i)^[^.!?;\n]{0,24}\b(?:forms?|desk|office|counter|clerk|officer|official|letters?|documents?|papers?|certificate|application|card|passport|licen[cs]e|register|border|authorit(?:y|ies))\b")
+_OTHER_NUMBER = re.compile(
+    r"(?i)(?:\b(?:isbn|issn|doi|order|invoice|receipt|booking|reservation|ticket|tracking|parcel|shipment|item|product|part|serial|model|version|edition|release|build|score|result|coordinates?|latitude|longitude|room|gate|seat|bus|train|flight|"
+    r"line|platform|page|chapter|recipe|lot|paid|price|costs?|worth|bib|race|shirt|locker|ref(?:erence)? (?:of|for)|sun(?:set|rise)|born|since|dated?)\b[^.!?;\n]{0,14}|[£$€#]\s*)$"
 )
+_OTHER_AFTER = re.compile(r"(?i)^\s*(?:g|kg|km|mi|mm|cm|ml|eggs|degrees|people|steps|pages|words|points|votes|miles|met(?:er|re)s|euros?|dollars?|pounds?|pence|percent|has|have|shipped|arrived)\b|^\s*[%°]")
+_MAIL_BEFORE = re.compile(r"(?i)\b(?:e-?mails?|mail(?:ed|ing)?|write|writing|wrote|rsvp|contact|address|reach|reply|replies|send|sent|message|inbox|ask|via|cc|to)\b" + _CLAUSE)
+_PLACE_BEFORE = re.compile(r"(?i)\b(?:address|deliver(?:y|ed)?|send|sent|ship|post|parcels?|letters?|lives?|lived|living|moved?|home|house|flat|office|shop|party|sale|collect|pick(?: it)? up|meet|visit|come|drop|took|drove|walk(?:ed)? to|find (?:us|me)|at|to|from|near|in)\b[^.!?;\n\d]{0,12}$")
+_NOT_HOUSE = re.compile(r"(?i)^\W*\d+\w?\s+(?:\w+\s+)?(?:minutes?|mins?|hours?|days?|weeks?|months?|years?|miles?|met(?:re|er)s?|feet|steps?|times?|people|of|in|on|at|the|and|or|to|by|with|for|an?|from|more|long|per)\b")
+_TRANSPORT = re.compile(r"(?i)\b(?:bus|line|route|train|tram|number|no\.?|coach)\W*$")
+_NAME_BEFORE = re.compile(r"(?:\b(?i:by|with|to|of|and|from|for|dear|hi|hello|thanks|met|meet|saw|ask|told|named|called|friend|aunt|uncle|cousin|doctor|captain|sir|madam)|[.!?:]|\b(?:Dr|Mr|Mrs|Ms|Prof|St|Rev)\.?)[\s,:]*$")
+_NAME_AFTER = re.compile(r"^(?:['’]s\b)?[\s​]*(?:(?:is|was|has|had|will|would|and|who|said|says|with|for|from|to|in|on|at|the|today|again|then|[a-z]+ed|[a-z]+s|[a-z]+ly)\b|[.,?!;:)]|$)")
+_PLACE_NAME_BEFORE = re.compile(r"(?i)\b(?:at|in|near|over|around|through|across|outside|behind|towards?|the)\s*$")
+#: Common nouns of places and bodies: what ends with one, or goes on with one, is seldom a person.
 _NOT_PERSON = frozenset(
-    "quay lane street road row bank moor heath green hollow common corner cross bridge ferry point reach sands vale landing hill park square avenue hardware books gardens "
-    "brewing club centre center pottery cycling rescue café cafe bakery shop society choir band team school church museum hotel inn county city town river lake island "
-    "station harbour harbor bay coast field house hall court the of and a an in on at to is was my we our people half one two".split()
+    "abbey academy agency alley airport association avenue bakery band bank bar bay beach books boulevard bridge brewery brewing brook cafe café castle centre center chapel choir church circle city close "
+    "club coast college common company cooperative corner council county court crescent cross cycling department drive estate farm ferry field fields ford forest foundation garden gardens gate green grove hall "
+    "harbor harbour hardware heath heights hill hills hollow hospital hotel house inn institute island junction kitchen lake landing lane library market marsh meadow mews mill moor mountain museum office orchestra "
+    "park path pharmacy pier place plaza point pond pool port pottery pub quay railway ranch reach rescue restaurant ridge river road rock row salon sands school sea shop shore society spring square station "
+    "store street studio team terrace theater theatre tower town trail union university vale valley view village walk water way wharf wood woods works yard".split()
+)
+_FUNCTION = frozenset(
+    "a an and are as at be been but by can could did do does for from had has have he her his how i if in is it its just my no not of on or our she so some that the their them then there these they this "
+    "those to too up was we were what when where which who why will with without would you your after before between during every everyone everybody nobody someone anyone has half one two three four five six "
+    "seven eight nine ten first last next new old today tomorrow yesterday photo photos post video update diary memo dear hello thanks monday tuesday wednesday thursday friday saturday sunday".split()
+)
+_TOP_LEVEL = re.compile(r"(?i)\b(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|app|dev|online|site|shop|mail|email|example|test|invalid|localhost)$")
+_PHONE_FORM = re.compile(
+    r"(?:\+|00)[1-9]\d{0,2}[\s ().\-/]{0,2}(?:\(0\))?[\d\s ().\-/]{6,}"  # international
+    r"|(?:1[\-. ])?\(?[2-9]\d{2}\)?[\-.  ]?[2-9]\d{2}[\-. ]?\d{4}"  # area code and seven digits
+    r"|[2-9]\d{2}[\-.  ]\d{4}"  # seven digits
+    r"|\(?0[1-9]\d{0,4}\)?[  .\-/]\d[\d  .\-/]{4,}"  # trunk zero and area code
+    r"|0[1-9](?:[  .\-]?\d\d){4}"  # trunk zero and pairs
+    r"|001[.\- ]\d{3}[.\- ]\d{3}[.\- ]\d{4}"
 )
+_DATED = re.compile(r"(?:19|20)\d\d([-./])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-./])(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d")
+_BOOK = re.compile(r"(?:97[89]|\d)[\- ](?:\d+[\- ]){2,3}[\dX]")
 
 
 @dataclass(frozen=True)
@@ -128,6 +156,7 @@ def _trimmed(kind: str, text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def _name_spans(text: str, names: Gazetteer) -> Iterator[Span]:
+    """Pairs that may be a name: a known given name or an initial with what follows, and any two capitalised words."""
     words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
     def is_initial(w: str) -> bool:
@@ -136,10 +165,12 @@ def _name_spans(text: str, names: Gazetteer) -> Iterator[Span]:
     i = 0
     while i < len(words) - 1:
         first, start, end = words[i]
-        known = first.rstrip(".").lower() in names.given
-        if not (known or is_initial(first) or first[:1].isupper()):
+        capital = first[0].isupper()
+        if not capital and first.rstrip(".").lower() not in names.given:
             i += 1
             continue
+        known = first.rstrip(".").lower() in names.given
+        given_initial = is_initial(first)
         j = i + 1
         if is_initial(words[j][0]) and j + 1 < len(words) and _NAME_GAP.match(text, words[j][2], words[j + 1][1]) and _NAME_GAP.match(text, end, words[j][1]):
             j += 1
@@ -148,12 +179,15 @@ def _name_spans(text: str, names: Gazetteer) -> Iterator[Span]:
         last, last_start, last_end = words[j]
         if last.endswith(".") and not is_initial(last):
             last, last_end = last[:-1], last_end - 1
-        if first.endswith(".") and not is_initial(first) or not _NAME_GAP.match(text, words[j - 1][2], last_start):
+        if first.endswith(".") and not given_initial or not _NAME_GAP.match(text, words[j - 1][2], last_start):
             i += 1
             continue
-        given_initial, family_initial = is_initial(first), is_initial(last)
-        in_family = last.lower() in names.family
-        if not (known or given_initial) or (given_initial and family_initial) or (not known and not in_family and len(last) < 3) or not (last[:1].isupper() or (known and in_family)):
+        family_initial, in_family = is_initial(last), last.lower() in names.family
+        shaped = capital and last[:1].isupper() and ((first.isupper() and last.isupper()) or (first[1:].islower() or given_initial) and (last[1:].islower() or family_initial))
+        if (given_initial and family_initial) or (not known and not in_family and len(last) < 3) or not (shaped or (known and (in_family or last[:1].isupper()))):
+            i += 1
+            continue
+        if not known and not given_initial and (not in_family and (first.lower() in _FUNCTION or first.isupper()) or last.lower() in _FUNCTION):
             i += 1
             continue
         before, after = _around(text, start, last_end)
@@ -161,19 +195,21 @@ def _name_spans(text: str, names: Gazetteer) -> Iterator[Span]:
             i += 1
             continue
         following = re.match(r"\s*([^\W\d_]+)", after)
-        organisation = last.lower().rstrip(".") in _NOT_PERSON or bool(following and following[1][:1].isupper() and not last.isupper() and following[1].lower() in _NOT_PERSON)
-        shaped = (first[:1].isupper() and last[:1].isupper()) and ((first.isupper() and last.isupper()) or (first[1:].islower() or given_initial) and (last[1:].islower() or family_initial))
+        body = last.lower().rstrip(".") in _NOT_PERSON or bool(following and following[1][:1].isupper() and not last.isupper() and following[1].lower() in _NOT_PERSON)
         votes = (
             1 if shaped else -1,
             1 if known else (0 if given_initial else -1),
-            1 if in_family else (0 if last[:1].isupper() else -1),
+            1 if in_family else (0 if family_initial else -1),
             _sign(bool(_NAME_BEFORE.search(before)) or not before.strip()),
             _sign(bool(_NAME_AFTER.match(after))),
-            -1 if organisation else 0,
+            -1 if body else 0,
+            -1 if _PLACE_NAME_BEFORE.search(before) and not known else 0,
+            -1 if first.lower() in _FUNCTION or last.lower() in _FUNCTION else 0,
         )
         shape = (_sign(given_initial or family_initial), _sign(first.isupper() and last.isupper()), _sign(j > i + 1))
         yield Span(start, last_end, "NAME", votes + shape)
-        i = j + 1
+        # What isn't known may begin with its second word as well.
+        i = j + 1 if known or given_initial else i + 1
 
 
 _STREET_WORD = re.compile(r"\b(?:lane|st|street|row|road|rd|ave|avenue|crescent|terrace|drive|dr|close|walk|place|square|court|ct|way|hill|mews|gardens|boulevard|blvd|alley|ln|rue|chemin|impasse|allée|quai|calle|via|rua|avenida|plaza)\b|stra(?:ss|ß)e\b|str\.|(?:weg|allee|gasse|platz|ufer)\b")
@@ -193,6 +229,7 @@ def _kinds_in(text: str) -> list[str]:
     return kinds
 
 
+_PAIR = re.compile(r"(?<![^\W_])[A-Z][^\W\d_]*['’\-]?[^\W\d_]*[   ​]{1,3}[A-Z][^\W\d_]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _INITIAL = re.compile(r"(?<![^\W\d_])[^\W\d_]\.")
 
@@ -215,56 +252,59 @@ def candidates(text: str, names: Gazetteer) -> list[Span]:
                     votes = (
                         1 if k == 0 else 0,
                         _sign(k > 0),
-                        1 if re.search(rf"(?i){_CARRIER}$", value) else -1,
+                        1 if _TOP_LEVEL.search(value) else -1,
                         _sign(bool(_MAIL_BEFORE.search(before))),
                         -1 if k == 2 and not re.search(r"(?i)\bdot\b", value) else 0,
                     )
                     shape = (_sign(k > 0), _sign(value.isupper()), _sign("+" in value))
                 elif kind == "PHONE":
-                    if digits < 7 or digits > 15:
+                    if digits < 6:
                         continue
                     groups = re.findall(r"\d+", value)
-                    dated = bool(re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}", value))
-                    known = bool(
-                        re.fullmatch(r"(?:\+|00)\d[\d\s ().\-/]{7,}|\(\d{3}\)\s?\d{3}[ \-]\d{4}|\d{3}[\-.]\d{4}|\d{3}[\-. ]\d{3}[\-. ]\d{4}|0\d{1,4}[  \-/]\d[\d  \-/]{4,}|0\d(?:[  .]\d\d){4}|[2-9]\d{9}|001\.\d{3}\.\d{3}\.\d{4}", value)
-                    )
                     like_id = any(p.fullmatch(value) for p in _COMPILED["ID_NUMBER"][:5])
+                    spoken_id = _ID_BEFORE.search(before) or _ID_AFTER.match(after)
                     votes = (
-                        1 if known else -1,
-                        _sign(bool(_PHONE_BEFORE.search(before))),
-                        -1 if _ID_BEFORE.search(before) or _ID_AFTER.match(after) else 0,
-                        -1 if _OTHER_NUMBER.search(before) or _OTHER_AFTER.match(after) or dated else 0,
+                        1 if _PHONE_FORM.fullmatch(value) else -1,
+                        _sign(bool(_PHONE_BEFORE.search(before)) and not spoken_id),
+                        -1 if spoken_id else 0,
+                        -1 if _OTHER_NUMBER.search(before) or _OTHER_AFTER.match(after) else 0,
+                        -1 if _DATED.fullmatch(value) or _BOOK.fullmatch(value) else 0,
                         -1 if like_id else 0,
+                        -1 if not 7 <= digits <= 15 else 0,
                     )
                     shape = (_sign(value[0] in "+0("), _sign(digits >= 10), _sign(len(groups) > 2))
                 elif kind == "ID_NUMBER":
+                    before_id, after_id = bool(_ID_BEFORE.search(before)), bool(_ID_AFTER.match(after))
                     votes = (
                         1 if k < 4 else 0,
-                        1 if _ID_BEFORE.search(before) else 0,
-                        1 if _ID_AFTER.match(after) else 0,
-                        -1 if _PHONE_BEFORE.search(before) and not _ID_BEFORE.search(before) else 0,
-                        -1 if _OTHER_NUMBER.search(before) or _OTHER_AFTER.match(after) else 0,
+                        _sign(before_id),
+                        _sign(after_id),
+                        -1 if _PHONE_BEFORE.search(before) and not before_id else 0,
+                        -1 if _OTHER_NUMBER.search(before) and not before_id or _OTHER_AFTER.match(after) else 0,
+                        -1 if k > 3 and _PHONE_FORM.fullmatch(value) else 0,
+                        -1 if k > 3 and not before_id and not after_id else 0,
                     )
                     shape = (_sign(k in (4, 5)), _sign(any(c.isalpha() for c in value)), _sign(k == 5))
                 else:
-                    street = value.lower()
                     votes = (
-                        1 if k in (0, 1, 2, 3) else 0,
+                        1 if re.search(r"[^\W\d_]", value) and re.search(r"(?:^|\s)[A-Z]", value) or value.isupper() else 0,
                         _sign(bool(_PLACE_BEFORE.search(before))),
-                        _sign(bool(re.search(r"(?i)\b(?:apt|flat|unit)\b|\bno\b|\d{5}", value)) or bool(re.match(r",? (?:please|from|side|all day|[A-Z])", after))),
-                        -1 if re.search(r"(?i)(?:bus|line|route|train|tram)\W*$", before) else 0,
-                        1 if re.search(rf"(?i){_STREET}\b|stra(?:ss|ß)e|\brue\b", street) else -1,
+                        _sign(bool(re.search(r"(?i)\b(?:apt|apartment|flat|unit|no|nr)\b|№|\d{5}", value)) or bool(re.match(r",? (?:[A-Z]|\d{4,5}\b)", after))),
+                        -1 if _TRANSPORT.search(before) else 0,
+                        1 if re.search(rf"(?i)\b{_STREET}\b|stra(?:ss|ß)e\b|(?:weg|allee|gasse|platz|ufer)\b|\b(?:rue|calle|via|rua|avenida|plaza|chemin|impasse|allée|quai)\b", value) else -1,
+                        -1 if _NOT_HOUSE.match(value) else 0,
+                        -1 if re.match(r"(?i)\s*(?:from|away|long|home|along|up|down|back)\b", after) and value.islower() else 0,
                     )
                     shape = (_sign(k == 0), _sign(value.islower()), _sign(digits > 3))
                 taken.append((start, end))
                 found.append(Span(start, end, kind, votes + shape))
-    if _INITIAL.search(text) or not names.given.isdisjoint(_LETTERS.findall(text.lower())):
+    if _PAIR.search(text) or _INITIAL.search(text) or not names.given.isdisjoint(_LETTERS.findall(text.lower())):
         found += _name_spans(text, names)
     return found
 
 
 #: Labelers per type; the features behind them are shape features.
-N_VOTES = {"EMAIL": 5, "PHONE": 5, "ID_NUMBER": 5, "ADDRESS": 5, "NAME": 6}
+N_VOTES = {"EMAIL": 5, "PHONE": 7, "ID_NUMBER": 7, "ADDRESS": 7, "NAME": 8}
 
 
 def estimate(patterns: dict[tuple[int, ...], float], n_votes: int, rounds: int = 30) -> tuple[float, np.ndarray, np.ndarray]:
@@ -360,18 +400,18 @@ class SpanModel:
 
 
 def learn_names(fields: DataFrame, held: int = HELD_NAMES) -> Gazetteer | NameTable:
-    """Names in the places where the corpus names people: ``given.family@`` and "by|with|Dr. Given Family".
+    """Names in the places where the corpus names people: ``given.family@`` and "by|with|dear|thanks to|Dr. Given Family".
 
     All of them count; where they are more than ``held``, they come as a table.
     """
     mail = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\w.+])([a-z]{2,}\.[a-z]{3,})@"), 1)
-    cue = F.regexp_extract_all("text", F.lit(r"(?:\b[Bb]y|\b[Ww]ith|Dr\.|thanks to|news of) (\p{Lu}\p{L}+ (?:\p{Lu}\. )?\p{Lu}\p{L}{2,})\b"), 1)
+    cue = F.regexp_extract_all("text", F.lit(r"(?:\b[Bb]y|\b[Ww]ith|\b[Dd]ear|\b[Tt]hanks to|\b(?:Dr|Mr|Mrs|Ms|Prof)\.) (\p{Lu}\p{L}+ (?:\p{Lu}\. )?\p{Lu}\p{L}{2,})\b"), 1)
     pairs = fields.where("text IS NOT NULL").select(F.explode(F.concat(F.transform(mail, lambda m: F.translate(m, ".", " ")), F.transform(cue, F.lower))).alias("name"))
     pairs = keep(pairs.select(F.regexp_extract("name", r"^(\S+)", 1).alias("given"), F.regexp_extract("name", r"(\S+)$", 1).alias("family")))
     # A given name goes with several family names; what is said of things and places seldom does.
     given = pairs.groupBy("given").agg(F.approx_count_distinct("family").alias("n")).where(f"n >= 3 AND given NOT IN ({', '.join(repr(w) for w in sorted(_NOT_PERSON))})")
     given = keep(given.select("given"))
-    family = pairs.join(given, "given", "left_semi").select("family").distinct()
+    family = pairs.join(given, "given", "left_semi").select("family").where(f"family NOT IN ({', '.join(repr(w) for w in sorted(_NOT_PERSON))})").distinct()
     table = keep(given.select(F.col("given").alias("name"), F.lit(True).alias("is_given")).unionByName(family.select(F.col("family").alias("name"), F.lit(False).alias("is_given"))))
     rows = table.limit(held + 1).collect()
     if len(rows) > held:
@@ -399,7 +439,9 @@ def _own_names(texts: DataFrame, table: NameTable) -> DataFrame:
 
 
 def propose(fields: DataFrame, names: Gazetteer | NameTable) -> DataFrame:
-    """Texts with candidate spans: record, field, text, spans (start, end, kind, features as text).
+    """Texts with candidate spans: record, field, position, text, spans (start, end, kind, features as text).
+
+    ``fields``: record, field, text, and position where a field of a record holds several texts (else 0).
 
     The one pass over all texts (one more, and a join, where names are a table); null and empty ones have no candidates.
     """
@@ -409,15 +451,16 @@ def propose(fields: DataFrame, names: Gazetteer | NameTable) -> DataFrame:
         for batch in batches:
             rows = []
             own = [held] * len(batch) if held is not None else [Gazetteer(frozenset(() if g is None else g), frozenset(() if f is None else f)) for g, f in zip(batch["given"], batch["family"])]
-            for record, name, text, known in zip(batch["record"], batch["field"], batch["text"], own):
+            for record, name, place, text, known in zip(batch["record"], batch["field"], batch["position"], batch["text"], own):
                 spans = candidates(text, known)
                 if spans:
-                    rows.append((record, name, text, [{"start": s.start, "end": s.end, "kind": s.kind, "features": " ".join(map(str, s.features))} for s in spans]))
+                    rows.append((record, name, place, text, [{"start": s.start, "end": s.end, "kind": s.kind, "features": " ".join(map(str, s.features))} for s in spans]))
             if rows:
-                yield pd.DataFrame(rows, columns=["record", "field", "text", "spans"])
+                yield pd.DataFrame(rows, columns=["record", "field", "position", "text", "spans"])
 
-    schema = "record long, field string, text string, spans array<struct<start:int,end:int,kind:string,features:string>>"
-    texts = fields.where("text <> ''").select("record", "field", "text")
+    schema = "record long, field string, position int, text string, spans array<struct<start:int,end:int,kind:string,features:string>>"
+    place = F.col("position").cast("int") if "position" in fields.columns else F.lit(0)
+    texts = fields.where("text <> ''").select("record", "field", place.alias("position"), "text")
     return (texts if held is not None else _own_names(texts, names)).mapInPandas(scan, schema)
 
 
@@ -431,16 +474,16 @@ def learn(proposed: DataFrame) -> SpanModel:
 
 
 def find(proposed: DataFrame, model: SpanModel) -> DataFrame:
-    """Texts in which something was found: record, field, kinds (distinct types), masked (text with ``[TYPE]`` in place of spans).
+    """Texts in which something was found: record, field, position, kinds (distinct types), masked (text with ``[TYPE]`` in place of spans).
 
-    Rows repeated under one record and field come out once (of different texts, one). Whole texts are read.
+    Rows repeated under one record, field and position come out once (of different texts, one). Whole texts are read.
     """
 
     def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
         for batch in batches:
             out = []
-            for record, name, text, proposals in zip(batch["record"], batch["field"], batch["text"], batch["spans"]):
+            for record, name, place, text, proposals in zip(batch["record"], batch["field"], batch["position"], batch["text"], batch["spans"]):
                 spans = model.choose([Span(p["start"], p["end"], p["kind"], tuple(map(int, p["features"].split()))) for p in proposals], cache)
                 if not spans:
                     continue
@@ -448,9 +491,9 @@ def find(proposed: DataFrame, model: SpanModel) -> DataFrame:
                 for s in spans:
                     parts += [text[at : s.start], f"[{s.kind}]"]
                     at = s.end
-                out.append((record, name, sorted({s.kind for s in spans}), "".join(parts) + text[at:]))
+                out.append((record, name, place, sorted({s.kind for s in spans}), "".join(parts) + text[at:]))
             if out:
-                yield pd.DataFrame(out, columns=["record", "field", "kinds", "masked"])
+                yield pd.DataFrame(out, columns=["record", "field", "position", "kinds", "masked"])
 
-    found = proposed.mapInPandas(mask, "record long, field string, kinds array<string>, masked string")
-    return found.groupBy("record", "field").agg(F.min(F.struct("kinds", "masked")).alias("m")).select("record", "field", "m.kinds", "m.masked")
+    found = proposed.mapInPandas(mask, "record long, field string, position int, kinds array<string>, masked string")
+    return found.groupBy("record", "field", "position").agg(F.min(F.struct("kinds", "masked")).alias("m")).select("record", "field", "position", "m.kinds", "m.masked")

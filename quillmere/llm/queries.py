@@ -52,11 +52,12 @@ SELECT post_id, field_name, min(source_record_id) AS source_record_id FROM c WHE
 
 def _posts(spark: SparkSession, base: str) -> DataFrame:
     """Each post text of the timeline records."""
-    return load(spark, base, "timeline_records").select("source_record_id", F.explode("data").alias("d")).select(F.col("source_record_id").alias("record"), F.lit("post").alias("field"), F.col("d.post").alias("text"))
+    posts = load(spark, base, "timeline_records").select(F.col("source_record_id").alias("record"), F.posexplode("data").alias("position", "d"))
+    return posts.select("record", F.lit("post").alias("field"), "position", F.col("d.post").alias("text"))
 
 
 def _titles(spark: SparkSession, base: str) -> DataFrame:
-    return load(spark, base, "timeline_records").select(F.col("source_record_id").alias("record"), F.lit("title").alias("field"), F.col("title").alias("text"))
+    return load(spark, base, "timeline_records").select(F.col("source_record_id").alias("record"), F.lit("title").alias("field"), F.lit(0).alias("position"), F.col("title").alias("text"))
 
 
 def _masked(spark: SparkSession, base: str) -> DataFrame:
@@ -67,16 +68,16 @@ def _masked(spark: SparkSession, base: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     """The types of personal data in each post and title."""
-    return _masked(spark, base).select(F.col("record").alias("source_record_id"), F.col("field").alias("field_name"), F.explode("kinds").alias("entity_type"))
+    return _masked(spark, base).select(F.col("record").alias("source_record_id"), F.col("field").alias("field_name"), F.explode("kinds").alias("entity_type")).distinct()
 
 
 def p4_masked(spark: SparkSession, base: str) -> DataFrame:
     """Posts and titles with personal data, typed placeholders in its place."""
-    return _masked(spark, base).select(F.col("record").alias("source_record_id"), F.col("field").alias("field_name"), "masked")
+    return _masked(spark, base).select(F.col("record").alias("source_record_id"), F.col("field").alias("field_name"), "position", "masked")
 
 
 def _text_fields(spark: SparkSession, base: str) -> DataFrame:
-    places = load(spark, base, "normalized_records").select(F.col("source_record_id").alias("record"), F.lit("place_name").alias("field"), F.col("place_name").alias("text"))
+    places = load(spark, base, "normalized_records").select(F.col("source_record_id").alias("record"), F.lit("place_name").alias("field"), F.lit(0).alias("position"), F.col("place_name").alias("text"))
     return _posts(spark, base).unionByName(_titles(spark, base)).unionByName(places)
 
 
