@@ -408,10 +408,11 @@ def learn_names(fields: DataFrame, held: int = HELD_NAMES) -> Gazetteer | NameTa
     cue = F.regexp_extract_all("text", F.lit(r"(?:\b[Bb]y|\b[Ww]ith|\b[Dd]ear|\b[Tt]hanks to|\b(?:Dr|Mr|Mrs|Ms|Prof)\.) (\p{Lu}\p{L}+ (?:\p{Lu}\. )?\p{Lu}\p{L}{2,})\b"), 1)
     pairs = fields.where("text IS NOT NULL").select(F.explode(F.concat(F.transform(mail, lambda m: F.translate(m, ".", " ")), F.transform(cue, F.lower))).alias("name"))
     pairs = keep(pairs.select(F.regexp_extract("name", r"^(\S+)", 1).alias("given"), F.regexp_extract("name", r"(\S+)$", 1).alias("family")))
-    # A given name goes with several family names; what is said of things and places seldom does.
-    given = pairs.groupBy("given").agg(F.approx_count_distinct("family").alias("n")).where(f"n >= 3 AND given NOT IN ({', '.join(repr(w) for w in sorted(_NOT_PERSON))})")
-    given = keep(given.select("given"))
-    family = pairs.join(given, "given", "left_semi").select("family").where(f"family NOT IN ({', '.join(repr(w) for w in sorted(_NOT_PERSON))})").distinct()
+    # Function words and nouns of places are no names; a given name goes with several family names, what is said of things seldom does.
+    common = ", ".join(repr(w) for w in sorted(_NOT_PERSON | _FUNCTION))
+    pairs = pairs.where(f"given NOT IN ({common}) AND family NOT IN ({common})")
+    given = keep(pairs.groupBy("given").agg(F.approx_count_distinct("family").alias("n")).where("n >= 3").select("given"))
+    family = pairs.join(given, "given", "left_semi").select("family").distinct()
     table = keep(given.select(F.col("given").alias("name"), F.lit(True).alias("is_given")).unionByName(family.select(F.col("family").alias("name"), F.lit(False).alias("is_given"))))
     rows = table.limit(held + 1).collect()
     if len(rows) > held:
