@@ -13,6 +13,7 @@ Training runs on the driver over at most ``sample_words`` words; the model (clas
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +73,12 @@ def ungarble(text: str, chain: tuple[str, ...]) -> str | None:
     return text
 
 
+def plausible(text: str) -> bool:
+    """Whether a word can be one that was written: no control characters, and its letters of one script."""
+    scripts = {unicodedata.name(c, "?").split(" ", 1)[0] for c in text if unicodedata.category(c)[0] == "L"} - {"MODIFIER", "FEMININE", "MASCULINE", "MICRO"}
+    return len(scripts) < 2 and not any(unicodedata.category(c) == "Cc" for c in text)
+
+
 def drop_controls(text: str) -> str:
     """Garbled text whose control characters were dropped on the way."""
     return re.sub(r"[\x80-\x9f]", "", garble(text, ("latin-1",)))
@@ -140,7 +147,7 @@ class EncodingModel:
         """Clean score of the best word that the word can be a leftover of; minus infinity if there is none.
 
         Every lead character gets the control characters that it lacks, each choice the one that reads best; the word
-        must then be strictly decodable and differ from what it was.
+        must then be strictly decodable, differ from what it was, and be a word of one script without control characters.
         """
         done, i = "", 0
         while i < len(word):
@@ -157,7 +164,9 @@ class EncodingModel:
                 else:
                     options = [word[i] + "\x9f" + ("\x8e\x89" + tail)[-2:]]
                 rest = re.match(r"[\x00-\x7f]{0,1}", word[i + 1 + len(tail) :]).group()
-                read = [(self.scores(r)[0], o) for o in options if (r := ungarble(done + o + rest, ("latin-1",))) is not None]
+                # Two bytes stand for a letter; other signs of two bytes keep theirs, as none is a control character.
+                letter = lambda r: need != 1 or unicodedata.category(r[len(r) - len(rest) - 1])[0] == "L"  # noqa: B023, E731
+                read = [(self.scores(r)[0], o) for o in options if (r := ungarble(done + o + rest, ("latin-1",))) is not None and plausible(r) and letter(r)]
                 if not read:
                     return -np.inf
                 done += max(read)[1]
@@ -165,7 +174,7 @@ class EncodingModel:
                 done += word[i] + tail
             i += 1 + len(tail)
         original = ungarble(done, ("latin-1",))
-        if original is None or original == word:
+        if original is None or original == word or not plausible(original):
             return -np.inf
         # Each gap was filled with the best of 32 choices.
         return float(self.scores(original)[0]) - 3.5 * (len(done) - len(word) > 0)
@@ -219,12 +228,14 @@ def restore_fields(fields: DataFrame, model: EncodingModel) -> DataFrame:
     Rows without characters beyond ASCII, null texts included, are not affected. Rows repeated under one record and
     field come out once.
     """
-    schema = "affected boolean, restored string, chain string"
 
-    @F.pandas_udf(schema)
-    def restore(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([model.restore(t) for t in texts], columns=["affected", "restored", "chain"])
+    def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [(r, f, t, *model.restore(t)) for r, f, t in zip(batch["record"], batch["field"], batch["text"])]
+            rows = [(r, f, t, restored, chain) for r, f, t, affected, restored, chain in done if affected]
+            if rows:
+                yield pd.DataFrame(rows, columns=["record", "field", "text", "restored", "chain"])
 
-    todo = fields.where(beyond_ascii(F.col("text"))).select("record", "field", "text").distinct()
-    return todo.withColumn("r", restore("text")).where("r.affected").select("record", "field", "text", "r.restored", "r.chain")
+    # Restored where the rows are read, once each; only affected rows are shuffled.
+    found = fields.where(beyond_ascii(F.col("text"))).select("record", "field", "text").mapInPandas(restore, "record long, field string, text string, restored string, chain string")
+    return found.distinct()

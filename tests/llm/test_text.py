@@ -58,6 +58,16 @@ def test_restore_table(spark, model):
     assert trained.restore(garbled)[1] == "Café Ondine" and encoding.restore_fields(fields(spark, []), trained).count() == 0
 
 
+def test_clean_words_that_look_like_leftovers(spark):
+    """Capitals with accents are no leftovers of letters of another script or of control characters."""
+    clean = ["Ñandubay", "Îles,", "ÂME", "Château", "Ðað", "PÂTE.", "Øre", "Ærlig"]
+    model = encoding.EncodingModel.train([w for w in clean for _ in range(2)] + ["Café", "naïve", "straße"])
+    assert [w for w in clean if model.restore(w)[0]] == []
+    bare = encoding.EncodingModel.train(["Café"])
+    assert not any(bare.completed(w) > -float("inf") for w in ("Ñandubay", "Îles,", "ÂME", "PÂTE."))
+    assert bare.completed("Ãtre") > -float("inf") and encoding.plausible("“Ârbol”") and not encoding.plausible("сandubay")
+
+
 # --- personal data ---------------------------------------------------------------------------------------------------
 
 GIVEN, FAMILY = ["Felix", "Nadia", "Orson", "Greta", "Tamsin"], ["Marshcombe", "Holtwick", "Ashby", "Quillmere", "Dunshaw", "Inkby"]
