@@ -9,6 +9,8 @@ from quillmere.session import keep, skew_safe_lookup
 
 #: Rounds of plain spreading before labels also jump.
 JUMP_AFTER = 3
+#: Rows of one key beyond which its label is spread over several tasks.
+HOT_ROWS = 200_000
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, distinct: bool = False) -> DataFrame:
@@ -23,12 +25,15 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, distin
     if not distinct:
         edges = keep(edges.where("key IS NOT NULL").distinct())
     sizes = edges.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    linked = keep(skew_safe_lookup(edges, sizes, ["key"], "size", "record").select("key", "record", "size"))
+    salts = F.greatest(F.ceil(F.col("size") / F.lit(HOT_ROWS)), F.lit(1)).cast("int")
+    linked = skew_safe_lookup(edges, sizes, ["key"], "size", "record", HOT_ROWS)
+    # Every row knows how large its key is, so the rounds need no list of hot keys.
+    linked = keep(linked.select("key", "record", "size", F.pmod(F.xxhash64("record"), salts).cast("int").alias("salt")))
     labels = keep(nodes.join(linked.select("record").distinct(), "record").select("record", "order", F.col("order").alias("label")))
     for done in range(max_rounds):
-        spread = linked.join(labels.select("record", "label"), "record")
-        lowest = spread.groupBy("key").agg(F.min("label").alias("low"), F.max("size").alias("size_"))
-        best = skew_safe_lookup(spread, lowest, ["key"], "size_", "record").groupBy("record").agg(F.min("low").alias("low"))
+        lowest = linked.select("key", "record", "size").join(labels.select("record", "label"), "record").groupBy("key").agg(F.min("label").alias("low"), F.max("size").alias("size"))
+        spread = lowest.select("key", "low", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        best = linked.select("key", "record", "salt").join(spread, ["key", "salt"]).groupBy("record").agg(F.min("low").alias("low"))
         after = labels.join(best, "record").select("record", "order", F.col("label").alias("old"), F.least("label", "low").alias("label"))
         if done >= JUMP_AFTER:
             jump = after.select(F.col("order").alias("label"), F.col("label").alias("further"))
