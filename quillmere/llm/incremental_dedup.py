@@ -75,14 +75,16 @@ def contents(records: DataFrame, apart: int = APART_SECONDS) -> DataFrame:
 def documents(held: DataFrame) -> DataFrame:
     """The documents to be posted: doc, sig, ts, same, tokens (distinct hashes of three neighbouring words, ends included).
 
-    Of equal contents in one span of time these are the first and the last.
+    Of equal contents in one span of time these are the first and the last. A column ``node`` (any record of the
+    document) comes out as well.
     """
-    whole = F.struct("doc", "sig", "ts", "h")
+    extra = ["node"] if "node" in held.columns else []
+    whole = F.struct("doc", "sig", "ts", "h", *extra)
     ends = held.groupBy("same").agg(F.min_by(whole, F.struct("ts", "doc")).alias("a"), F.max_by(whole, F.struct("ts", "doc")).alias("b"))
     posted = F.when(F.col("a.doc") == F.col("b.doc"), F.array("a")).otherwise(F.array("a", "b"))
-    distinct = ends.select("same", F.inline(posted)).select("doc", "sig", "ts", "same", F.concat(F.array(F.lit(1)), "h", F.array(F.lit(2))).alias("p"))
+    distinct = ends.select("same", F.inline(posted)).select("doc", "sig", "ts", "same", *extra, F.concat(F.array(F.lit(1)), "h", F.array(F.lit(2))).alias("p"))
     triples = F.transform(F.sequence(F.lit(0), F.size("p") - 3), lambda i: F.hash(F.get("p", i), F.get("p", i + 1), F.get("p", i + 2)))
-    return distinct.select("doc", "sig", "ts", "same", F.when(F.size("p") > 2, F.array_distinct(triples)).otherwise(F.array().cast("array<int>")).alias("tokens"))
+    return distinct.select("doc", "sig", "ts", "same", *extra, F.when(F.size("p") > 2, F.array_distinct(triples)).otherwise(F.array().cast("array<int>")).alias("tokens"))
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -169,21 +171,21 @@ def staged(records: DataFrame, texts: DataFrame, exact_keys: list[str]) -> DataF
     rows = records.where("record IS NOT NULL").select("record", order.alias("order"), *batch, *hashes)
     rows = rows.groupBy("record").agg(F.min("order").alias("order"), F.min("batch").alias("batch"), *[F.min(k).alias(k) for k in exact_keys])
     node = F.coalesce(exact_keys[0], F.xxhash64(F.lit("record"), F.col("record")))
-    rows = rows.select("record", "order", "batch", node.alias("node"), F.array_compact(F.array(*exact_keys)).alias("keys"))
+    rows = rows.select("record", "order", "batch", node.alias("node"), F.array_compact(F.array(*exact_keys[1:])).alias("keys"))
     return rows.join(contents(texts), "record", "left")
 
 
 class Index:
     """What was accepted so far, as tables in a folder that all executors reach, one part per batch.
 
-    ``postings`` (key, doc, ts, n, token), ``docs`` (doc, same, tokens), ``keys`` (key, label: the class that a key leads
+    ``postings`` (key, doc, ts, n, token), ``docs`` (doc, sig, ts, same, node, tokens), ``keys`` (key, label: the class that a key leads
     to), ``merges`` (label, into), ``accepted`` (record, order, label) and ``rarity``. Accepting a batch again under its
     number replaces its parts, so a batch that broke off is simply repeated.
     """
 
     SCHEMAS = {
         "postings": "key long, doc long, ts long, n int, token int, batch int, part int",
-        "docs": "doc long, same long, tokens array<int>, batch int",
+        "docs": "doc long, sig long, ts long, same long, node long, tokens array<int>, batch int",
         "keys": "key long, label long, batch int",
         "merges": "label long, into long, batch int",
         "accepted": "record long, order long, label long, batch int",
@@ -228,31 +230,25 @@ class Index:
     def accept(self, rows: DataFrame, batch: int) -> None:
         """Checks a batch of :func:`staged` rows (written ones, they are read twice) against all accepted ones and itself, and adds it."""
         first = self._counts is None
-        docs = documents(rows.where("doc IS NOT NULL").select("doc", "sig", "ts", "same", "h"))
+        docs = documents(rows.where("doc IS NOT NULL").select("doc", "sig", "ts", "same", "h", "node"))
         if not first:
             docs = docs.join(self.table("docs").where(F.col("batch") != batch).select("doc"), "doc", "left_anti")
-        docs = keep(docs)
+        docs = self._write("docs", docs, batch)
         if first:
             b = F.pmod("t", F.lit(DF_BUCKETS)).alias("b")
             docs.select(F.explode("tokens").alias("t")).groupBy(b).agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/rarity")
             self._remember(self.spark.read.parquet(f"{self.folder}/rarity").toPandas())
-        own = keep(postings(docs, self._counts, self.similarity, self.apart).withColumn("part", F.pmod("token", F.lit(PARTS))))
-        new_sets = docs.select("doc", "same", "tokens")
-        links = probe(own, own, new_sets, self.similarity, self.apart, ["same"]).select("same_a", "same_b")
+        own = self._write("postings", postings(docs, self._counts, self.similarity, self.apart).withColumn("part", F.pmod("token", F.lit(PARTS))), batch, "part")
+        # A link is an edge from a record of the one document, which is always a new one, to the key of the other.
+        links = probe(own, own, docs, self.similarity, self.apart, ["node", "same"]).select(F.col("node_a").alias("record"), F.col("same_b").alias("key"))
         if not first:
-            links = links.union(self._probe_history(own, new_sets, batch).select("same_a", "same_b"))
-        links = keep(links.where("same_a <> same_b").distinct())
+            links = links.union(self._probe_history(own, docs, batch).select("node_a", "same_b"))
 
         narrow = rows.select("record", "order", "node", "keys", "same")
         keys = F.array_compact(F.array_append(F.array_append("keys", F.col("same")), F.col("node")))
         edges = narrow.select(F.col("node").alias("record"), F.explode(keys).alias("key"))
-        link = F.xxhash64(F.lit("near"), F.col("same_a"), F.col("same_b"))
-        tied = links.select(link.alias("record"), F.explode(F.array("same_a", "same_b")).alias("key"))
         nodes = narrow.groupBy(F.col("node").alias("record")).agg(F.min("order").alias("order"))
-        # A link is a node as well; it comes last in order, so that it never names a class.
-        last = F.bitwise_not(F.shiftright(F.xxhash64(F.lit("last"), F.col("same_a"), F.col("same_b")), 2).bitwiseAND(F.lit((1 << 61) - 1))) + F.lit((1 << 63) - 1)
-        nodes = nodes.unionByName(links.select(link.alias("record"), last.alias("order")))
-        edges = keep(edges.unionByName(tied).distinct())
+        edges = keep(edges.unionByName(links).distinct())
         known = None
         if not first:
             # The classes that the batch's keys lead to take part as one node each.
@@ -272,17 +268,15 @@ class Index:
             merges = self._write("merges", into.where("into <> label").select("label", "into"), batch)
             self._merged = self._merged or bool(merges.limit(1).count())
         self._write("keys", led, batch)
-        self._write("docs", new_sets, batch)
-        self._write("postings", own.repartition("part"), batch, "part")
 
     def _probe_history(self, own: DataFrame, sets: DataFrame, batch: int) -> DataFrame:
-        """Verified links between new documents and those of earlier batches: same_a (new), same_b."""
+        """Verified links between new documents and those of earlier batches: node_a (of the new one), same_b."""
         columns = ["key", "doc", "ts", "n"]
         parts = [r.part for r in own.select("part").distinct().collect()]
         history = self.table("postings").where((F.col("batch") != batch) & F.col("part").isin(parts))
         pairs = _candidates(own.select(*columns), history.select(*columns), self.similarity, self.apart)
         pairs = keep(pairs.select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct())
-        both = pairs.join(sets.withColumnsRenamed({"doc": "a", "same": "same_a", "tokens": "ta"}), "a")
+        both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("node").alias("node_a"), F.col("tokens").alias("ta")), "a")
         old = self.table("docs").where(F.col("batch") != batch).select(F.col("doc").alias("b"), F.col("same").alias("same_b"), F.col("tokens").alias("tb"))
         return _verified(both.join(old, "b"), self.similarity)
 
