@@ -1,21 +1,25 @@
 """Evaluation texts leaking into training text.
 
 Wu-Manber multi-pattern search over words: the patterns are all windows of ``WINDOW`` words of the items, the alphabet
-is the vocabulary, the block is a pair of words. A shift table tells how far the scan may jump when a pair occurs at no
-or only at an early place of any pattern; a pair that may end a pattern leads to the bucket of patterns that end with
-it, which are compared directly. Every pattern found is a place (item word, document word) from which item and
+is the vocabulary, the block is a pair of words. A shift table over hashes of blocks tells how far the scan may jump when
+a pair occurs at no or only at an early place of any pattern (it is read for all blocks of a document at once); a pair
+that may end a pattern leads to the bucket of patterns that end with it, which are compared word by word. Every pattern found is a place (item word, document word) from which item and
 document are compared word by word in both directions, bridging altered words and insertions at a cost.
 
-Items are broadcast in blocks of at most ``block_bytes`` of text, so their number is not bounded by memory; documents
+Items are broadcast in blocks of at most ``block_bytes`` of text, with some 20 bytes of arrays for each of their words
+(about 150 MB in a worker for the 32 MB of a block), so their number is not bounded by memory; documents
 are read once per block, whole, without a shuffle. One row per document and item, so nothing is ever paired.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,40 +90,82 @@ def readings(text: str) -> Iterator[list[str]]:
         yield normal_words(" ".join([*kept, text[at:]]))
 
 
+#: Entries of the shift table, one byte each.
+SHIFTS = 1 << 20
+
+
+@functools.lru_cache(1 << 16)
+def _code(word: str) -> int:
+    """A 32-bit code of a word, the same in every process. Codes only select; words are compared themselves."""
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_code, words), dtype=np.uint64, count=len(words))
+
+
+def _blocks(codes: np.ndarray) -> np.ndarray:
+    """Hash of every pair of neighbouring words."""
+    mixed = codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
 class WuManber:
-    """Shift table, suffix buckets and items of one block."""
+    """Shift table, suffix buckets and items of one block of items, as arrays: some 20 bytes for a word of an item.
+
+    The shift table has an entry of one byte for each hash of a pair of words: how far the end of a window may move when
+    the pair stands there. The buckets are one array of windows, sorted by the hash of their last pair.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = {i: normal_words(t) for i, t in items if t}
-        self.shift: dict[tuple[str, str], int] = {}
-        self.bucket: dict[tuple[str, str], list[tuple[tuple[str, ...], int, int]]] = {}
-        seen = set()
-        for item, words in self.items.items():
-            for at in range(len(words) - WINDOW + 1):
-                pattern = tuple(words[at : at + WINDOW])
-                for q in range(WINDOW - 1):
-                    block, jump = (pattern[q], pattern[q + 1]), WINDOW - 2 - q
-                    if jump < self.shift.get(block, WINDOW - 1):
-                        self.shift[block] = jump
-                if (pattern, item, at) not in seen:
-                    seen.add((pattern, item, at))
-                    self.bucket.setdefault((pattern[-2], pattern[-1]), []).append((pattern[:-2], item, at))
+        self.ids, self.texts = [i for i, t in items if t], [t for _, t in items if t]
+        self.shift = np.full(SHIFTS, WINDOW - 1, dtype=np.uint8)
+        suffixes, owners, places = [], [], []
+        for k, text in enumerate(self.texts):
+            blocks = _blocks(_codes(normal_words(text)))
+            windows = len(blocks) - WINDOW + 2
+            if windows < 1:
+                continue
+            for q in range(WINDOW - 1):
+                np.minimum.at(self.shift, (blocks[q : q + windows] % np.uint64(SHIFTS)).astype(np.int64), WINDOW - 2 - q)
+            suffixes.append(blocks[WINDOW - 2 :])
+            owners.append(np.full(windows, k, dtype=np.int32))
+            places.append(np.arange(windows, dtype=np.int32))
+        suffix = np.concatenate(suffixes) if suffixes else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(suffix, kind="stable")
+        self.suffix = suffix[order]
+        self.owner = np.concatenate(owners)[order] if owners else np.zeros(0, dtype=np.int32)
+        self.place = np.concatenate(places)[order] if places else np.zeros(0, dtype=np.int32)
+        self._at = {item: k for k, item in enumerate(self.ids)}
+        self._words: dict[int, list[str]] = {}
+
+    def words_of(self, item: int) -> list[str]:
+        """Words of an item, made when it is first asked for."""
+        if item not in self._words:
+            if len(self._words) >= 4096:
+                self._words.clear()
+            self._words[item] = normal_words(self.texts[self._at[item]])
+        return self._words[item]
+
+    @property
+    def items(self) -> dict[int, list[str]]:
+        return {item: self.words_of(item) for item in self.ids}
 
     def occurrences(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
         """All (item, item word, document word) at which a window of an item occurs."""
-        shift, bucket, end, most = self.shift, self.bucket, WINDOW - 1, WINDOW - 1
-        n = len(words)
-        while end < n:
-            pair = (words[end - 1], words[end])
-            jump = shift.get(pair, most)
-            if jump:
-                end += jump
-                continue
-            head = tuple(words[end - WINDOW + 1 : end - 1])
-            for prefix, item, at in bucket.get(pair, ()):
-                if prefix == head:
-                    yield item, at, end - WINDOW + 1
-            end += 1
+        if len(words) < WINDOW or not len(self.suffix):
+            return
+        blocks = _blocks(_codes(words))
+        # Ends of windows that no shift passes over; the pair of blocks[e] ends with word e + 1.
+        ends = np.flatnonzero(self.shift[(blocks % np.uint64(SHIFTS)).astype(np.int64)] == 0)
+        ends = ends[ends >= WINDOW - 2]
+        first, last = np.searchsorted(self.suffix, blocks[ends], "left"), np.searchsorted(self.suffix, blocks[ends], "right")
+        hit = last > first
+        for e, lo, hi in zip(ends[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
+            window = words[e - WINDOW + 2 : e + 2]
+            for owner, at in zip(self.owner[lo:hi].tolist(), self.place[lo:hi].tolist()):
+                if self.words_of(self.ids[owner])[at : at + WINDOW] == window:
+                    yield self.ids[owner], at, e - WINDOW + 2
 
     def cases(self, text: str) -> list[tuple[int, int]]:
         """The items that the text holds, with the number of their words found."""
@@ -142,7 +188,7 @@ class WuManber:
                 # A seed that an earlier comparison passed through tells nothing new.
                 if (at, place) in done:
                     continue
-                count, score, passed = compare(self.items[item], words, at, place)
+                count, score, passed = compare(self.words_of(item), words, at, place)
                 done |= passed
                 if score >= LEAST_SCORE and count > best:
                     best = count
