@@ -155,31 +155,43 @@ def _trimmed(kind: str, text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def _name_spans(text: str, names: Gazetteer) -> Iterator[Span]:
-    """Pairs that may be a name: a known given name or an initial with what follows, and any two capitalised words."""
-    words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
+def _name_spans(text: str, names: Gazetteer, lower_known: bool) -> Iterator[Span]:
+    """Pairs that may be a name: a known given name or an initial with what follows, and any two capitalised words.
+
+    ``lower_known``: whether the text may hold a known given name, in whatever case.
+    """
+    words = list(_WORD.finditer(text))
+    spans = [m.span() for m in words]
 
     def is_initial(w: str) -> bool:
         return len(w) == 2 and w[1] == "." and w[0].isupper()
 
-    i = 0
-    while i < len(words) - 1:
-        first, start, end = words[i]
-        capital = first[0].isupper()
-        if not capital and first.rstrip(".").lower() not in names.given:
+    i, n = 0, len(words)
+    while i < n - 1:
+        start, end = spans[i]
+        capital = text[start].isupper()
+        if not capital and not lower_known:
             i += 1
             continue
+        first = text[start:end]
         known = first.rstrip(".").lower() in names.given
+        if not (known or capital):
+            i += 1
+            continue
         given_initial = is_initial(first)
         j = i + 1
-        if is_initial(words[j][0]) and j + 1 < len(words) and _NAME_GAP.match(text, words[j][2], words[j + 1][1]) and _NAME_GAP.match(text, end, words[j][1]):
+        if spans[j][1] - spans[j][0] == 2 and is_initial(text[slice(*spans[j])]) and j + 1 < n and _NAME_GAP.match(text, spans[j][1], spans[j + 1][0]) and _NAME_GAP.match(text, end, spans[j][0]):
             j += 1
-        if j > i + 1 and known and words[j][0].rstrip(".").lower() not in names.family:
+        if j > i + 1 and known and text[slice(*spans[j])].rstrip(".").lower() not in names.family:
             j = i + 1  # the initial may be the family name
-        last, last_start, last_end = words[j]
+        last_start, last_end = spans[j]
+        if not (known or text[last_start].isupper()) or not _NAME_GAP.match(text, spans[j - 1][1], last_start):
+            i += 1
+            continue
+        last = text[last_start:last_end]
         if last.endswith(".") and not is_initial(last):
             last, last_end = last[:-1], last_end - 1
-        if first.endswith(".") and not given_initial or not _NAME_GAP.match(text, words[j - 1][2], last_start):
+        if first.endswith(".") and not given_initial:
             i += 1
             continue
         family_initial, in_family = is_initial(last), last.lower() in names.family
@@ -190,7 +202,7 @@ def _name_spans(text: str, names: Gazetteer) -> Iterator[Span]:
         if not known and not given_initial and (not in_family and (first.lower() in _FUNCTION or first.isupper()) or last.lower() in _FUNCTION):
             i += 1
             continue
-        before, after = _around(text, start, last_end)
+        before, after = text[max(0, start - 16) : start], text[last_end : last_end + 24]
         if before.endswith(("@", "#", "/")) or before[-1:].isalnum() or after[:1] in ("@", "+"):
             i += 1
             continue
@@ -298,8 +310,9 @@ def candidates(text: str, names: Gazetteer) -> list[Span]:
                     shape = (_sign(k == 0), _sign(value.islower()), _sign(digits > 3))
                 taken.append((start, end))
                 found.append(Span(start, end, kind, votes + shape))
-    if _PAIR.search(text) or _INITIAL.search(text) or not names.given.isdisjoint(_LETTERS.findall(text.lower())):
-        found += _name_spans(text, names)
+    lower_known = not names.given.isdisjoint(_LETTERS.findall(text.lower()))
+    if lower_known or _PAIR.search(text) or _INITIAL.search(text):
+        found += _name_spans(text, names, lower_known)
     return found
 
 
@@ -449,13 +462,17 @@ def propose(fields: DataFrame, names: Gazetteer | NameTable) -> DataFrame:
     held = names if isinstance(names, Gazetteer) else None
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        written: dict[tuple[int, ...], str] = {}  # there are far fewer patterns than spans
         for batch in batches:
             rows = []
             own = [held] * len(batch) if held is not None else [Gazetteer(frozenset(() if g is None else g), frozenset(() if f is None else f)) for g, f in zip(batch["given"], batch["family"])]
             for record, name, place, text, known in zip(batch["record"], batch["field"], batch["position"], batch["text"], own):
                 spans = candidates(text, known)
                 if spans:
-                    rows.append((record, name, place, text, [{"start": s.start, "end": s.end, "kind": s.kind, "features": " ".join(map(str, s.features))} for s in spans]))
+                    for s in spans:
+                        if s.features not in written:
+                            written[s.features] = " ".join(map(str, s.features))
+                    rows.append((record, name, place, text, [{"start": s.start, "end": s.end, "kind": s.kind, "features": written[s.features]} for s in spans]))
             if rows:
                 yield pd.DataFrame(rows, columns=["record", "field", "position", "text", "spans"])
 
@@ -482,10 +499,14 @@ def find(proposed: DataFrame, model: SpanModel) -> DataFrame:
 
     def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
+        read: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             out = []
             for record, name, place, text, proposals in zip(batch["record"], batch["field"], batch["position"], batch["text"], batch["spans"]):
-                spans = model.choose([Span(p["start"], p["end"], p["kind"], tuple(map(int, p["features"].split()))) for p in proposals], cache)
+                for p in proposals:
+                    if p["features"] not in read:
+                        read[p["features"]] = tuple(map(int, p["features"].split()))
+                spans = model.choose([Span(p["start"], p["end"], p["kind"], read[p["features"]]) for p in proposals], cache)
                 if not spans:
                     continue
                 parts, at = [], 0

@@ -328,6 +328,37 @@ def test_vocabulary_is_of_the_whole_text(spark):
         assert got[doc].log_rank_90 > got[0].log_rank_90 and got[doc].log_sentence == got[0].log_sentence
 
 
+PARAGRAPHS = {
+    True: [
+        "Members will recall that the harbour dues were raised twice last winter, and that nobody was asked.", "My grandmother sold apples outside this chamber for forty years without once being invited inside.",
+        "Fishing boats lie idle because diesel costs more than mackerel fetches.", "Let the members vote quickly before the weather turns, and then let everyone go home.",
+    ],
+    False: [
+        "Die Hafengebühren wurden im letzten Winter zweimal erhöht, ohne dass jemand gefragt worden wäre.", "Meine Großmutter verkaufte vierzig Jahre lang Äpfel vor diesem Saal.",
+        "Les bateaux de pêche restent à quai parce que le gazole coûte plus cher que le maquereau.", "Ma grand-mère vendait des pommes devant cette chambre pendant quarante ans.",
+    ],
+}
+
+
+def test_language_by_trigrams():
+    """Fitted to texts with first labels of which a tenth are wrong, and told on other texts that hold hardly a function word."""
+    rnd = random.Random(6)
+    english = "parliament debate harbour winter council budget fishing boats railway schools teachers pensions farmers weather speaker chamber government committee amendment question answer minister honourable member thank believe should before after because people children country".split()
+    german = "Parlament Debatte Hafen Winter Haushalt Fischerei Boote Eisenbahn Schulen Lehrer Renten Bauern Wetter Sprecher Kammer Regierung Ausschuss Änderung Frage Antwort Minister geehrte Mitglieder danken glauben sollten bevor nachdem weil Menschen Kinder Land gefragt verkaufte erhöht Großmutter".split()
+    french = "parlement débat port hiver conseil budget pêche bateaux chemin écoles professeurs retraites agriculteurs météo président chambre gouvernement commission amendement question réponse ministre honorable membre remercier croire devrait avant après parce gens enfants pays pommes vendait quarante".split()
+    texts, labels = [], []
+    for k in range(120):
+        own = k % 3 == 0
+        words = (english, german, french)[k % 3]
+        texts.append(" ".join(rnd.choice(words if rnd.random() < 0.7 else (reading_level.ENGLISH if own else reading_level.OTHER)) for _ in range(80)))
+        labels.append(own if rnd.random() > 0.1 else not own)
+    model = reading_level.Language.fit(texts, labels)
+    assert sum(model.english(t) == (k % 3 == 0) for k, t in enumerate(texts)) == 120
+    assert {t: model.english(t) for own in PARAGRAPHS for t in PARAGRAPHS[own]} == {t: own for own in PARAGRAPHS for t in PARAGRAPHS[own]}
+    bare = reading_level.Language.fit([], [])
+    assert bare.english("this is what they have and it is not ours") and not bare.english("das ist nicht für die") and not bare.english("") and bare.english("the " * 100_000)
+
+
 def test_ranks_and_coverage(spark):
     words = spark.createDataFrame([("a", 5), ("b", 3), ("a", 1), ("c", 3), ("d", 1)], "word string, n long")
     assert {r.word: r.rank for r in reading_level.word_ranks(words).collect()} == {"a": 1, "b": 2, "c": 2, "d": 4}
