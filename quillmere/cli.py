@@ -10,7 +10,7 @@ import os
 import sys
 
 from quillmere.plans.inventory import import_collection, validate_collection
-from quillmere.session import build_session
+from quillmere.session import build_session, cleared
 from quillmere.sources.discovery import DiscoveryError
 from quillmere.sources.store import StoreLocked, replace_json
 
@@ -46,8 +46,12 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return 1
     spark = build_session("quillmere-cli")
+    if args.store_path and not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        # The store lies where all executors reach it, and so do the tables of the run.
+        spark.sparkContext.setCheckpointDir(os.path.join(os.path.abspath(args.store_path), "_work"))
     try:
-        report = validate_collection(spark, args.export_path) if args.validate_only else import_collection(spark, args.export_path, args.store_path)
+        with cleared(spark):
+            report = validate_collection(spark, args.export_path) if args.validate_only else import_collection(spark, args.export_path, args.store_path)
     except (DiscoveryError, StoreLocked, ValueError) as e:
         print(f"{getattr(e, 'code', type(e).__name__)}: {e}", file=sys.stderr)
         return 1

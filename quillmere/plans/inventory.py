@@ -12,12 +12,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmere.functions.canonical import iso_utc
 from quillmere.operators.ordering import KIND_ORDER, kind_rank
-from quillmere.operators.resolution import ENTITY, MAX_BLOCK, resolve_blocks
-from quillmere.operators.upsert import duplicate_keys, orphans
+from quillmere.operators.resolution import DECISION, ENTITY, MAX_BLOCK, resolve_blocks
+from quillmere.operators.upsert import duplicate_keys, insert_or_ignore, orphans
 from quillmere.session import cut
-from quillmere.sources.discovery import Collection, DiscoveryError, discover
+from quillmere.sources.discovery import Collection, DiscoveryError, discover, spark_hashes
 from quillmere.sources.records import MEDIA_KINDS, RECORDS, read_records
 from quillmere.sources.store import Store, writer
 
@@ -30,6 +29,8 @@ ERROR = "run_id string, relative_path string, root_number int, record_index long
 MEDIA = "reference_key string, reference string, media_type string, created long, metadata string"
 PLACE = "place_key string, place_name string, metadata string"
 FILE = "run_id string, root_number int, relative_path string, kind string, sequence long, size_bytes long, sha256 string, parse_status string, records long, errors long"
+PROFILE = "profile_id string, created_at string"
+COLLECTION = "profile_id string, collection_id string, root_count int, first_seen_at string"
 RUN = "run_id string, collection_id string, started_at string, completed_at string, status string, examined long, matched long, created long, updated long, ambiguous long, skipped long, errors long"
 
 
@@ -52,6 +53,14 @@ def file_validation(records: DataFrame) -> DataFrame:
     )
 
 
+def validation_totals(files: DataFrame) -> DataFrame:
+    """One row over the files of :func:`file_validation`: sums, first and last time, and the worst status of any file."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("examined", "parsed", "fingerprinted", "partial", "unsupported", "failed", "errors")]
+    worst = F.max(F.when(F.col("failed") > 0, 2).when(F.col("errors") > 0, 1).otherwise(0))
+    status = F.when(worst == 2, "failed").when(worst == 1, "completed_with_errors").otherwise("completed")
+    return files.agg(F.count("*").alias("files"), *sums, F.min("first").alias("first"), F.max("last").alias("last"), status.alias("status"))
+
+
 def capped_errors(records: DataFrame, cap: int = ERROR_CAP) -> DataFrame:
     """The first ``cap`` errors of each file, by place in the file."""
     order = Window.partitionBy("root_number", "relative_path").orderBy(F.col("record_index").asc_nulls_first(), "error_code")
@@ -62,11 +71,12 @@ def validate_collection(spark: SparkSession, roots: list[str]) -> dict:
     """Reads the timeline files of the roots and reports on them; discovery errors become part of the report."""
     report = {"report_schema_version": 1, "mode": "validate", "status": "failed", "files": [], "errors": [], "summary": {}}
     try:
-        collection = discover(roots)
+        collection = discover(roots, hashes=spark_hashes(spark))
     except DiscoveryError as e:
         return report | {"errors": [{"code": e.code, "root_number": e.root_number}]}
     records = cut(read_records(spark, collection))
-    files = {(r.root_number, r.relative_path): r.asDict() for r in file_validation(records).collect()}
+    per_file = cut(file_validation(records))
+    files, totals = {(r.root_number, r.relative_path): r.asDict() for r in per_file.collect()}, validation_totals(per_file).first()
     errors = [r.asDict() for r in capped_errors(records).orderBy("root_number", "relative_path", F.col("record_index").asc_nulls_first()).collect()]
     empty = {"examined": 0, "parsed": 0, "partial": 0, "unsupported": 0, "failed": 0, "fingerprinted": 0, "first": None, "last": None, "errors": 0}
     for f in collection.files:
@@ -74,10 +84,8 @@ def validate_collection(spark: SparkSession, roots: list[str]) -> dict:
         own = [e for e in errors if (e["root_number"], e["relative_path"]) == (f.root_number, f.relative_path)]
         status = "failed" if row["failed"] else "completed_with_errors" if row["errors"] else "completed"
         report["files"].append({**{k: row[k] for k in empty if k not in ("first", "last", "failed")}, "root_number": f.root_number, "relative_path": f.relative_path, "size_bytes": f.size_bytes, "sha256": f.sha256, "status": status, "earliest_utc": _iso(row["first"]), "latest_utc": _iso(row["last"]), "retained_errors": own, "errors_truncated": row["errors"] > len(own)})
-    statuses = {f["status"] for f in report["files"]}
-    report["status"] = next(s for s in ("failed", "completed_with_errors", "completed") if s in statuses)
-    firsts, lasts = [f["earliest_utc"] for f in report["files"] if f["earliest_utc"]], [f["latest_utc"] for f in report["files"] if f["latest_utc"]]
-    report["summary"] = {k: sum(f[k] for f in report["files"]) for k in ("examined", "parsed", "fingerprinted", "partial", "unsupported", "errors")} | {"files": len(collection.files), "roots": collection.root_count, "collection_fingerprint": collection.fingerprint, "earliest_utc": min(firsts, default=None), "latest_utc": max(lasts, default=None)}
+    report["status"] = totals.status
+    report["summary"] = {k: totals[k] for k in ("examined", "parsed", "fingerprinted", "partial", "unsupported", "errors")} | {"files": len(collection.files), "roots": collection.root_count, "collection_fingerprint": collection.fingerprint, "earliest_utc": _iso(totals["first"]), "latest_utc": _iso(totals["last"])}
     report["errors"] = errors
     return report
 
@@ -128,9 +136,10 @@ def _attached(records: DataFrame, decided: DataFrame) -> DataFrame:
 def import_collection(spark: SparkSession, roots: list[str], store_folder: str, profile: str = "default", max_block: int = MAX_BLOCK) -> dict:
     """Imports all source kinds of the roots into the store and reports on the run.
 
-    A run is one commit: it shows wholly or, if it fails, only its header, files and errors. Repeating it changes nothing.
+    A run is one commit: it shows wholly or, if it fails, only its header, records, files and errors. A run fails where a
+    file can't be read, or where resolving or writing breaks off (``DATABASE_WRITE_FAILED``). Repeating it changes nothing.
     """
-    collection = discover(roots, all_kinds=True)
+    collection = discover(roots, all_kinds=True, hashes=spark_hashes(spark))
     with writer(store_folder):
         return _import(spark, collection, Store(spark, store_folder), profile, max_block)
 
@@ -141,27 +150,15 @@ def _import(spark: SparkSession, collection: Collection, store: Store, profile:
     errors = records.where("error_code IS NOT NULL").select("run_id", "relative_path", "root_number", "record_index", F.col("error_code").alias("code"))
     failed = records.where("parse_status = 'failed'").limit(1).count() > 0
     entities = store.read("entities", ENTITY).where(F.col("profile_id") == profile)
-    others = store.read("entities", ENTITY).where(F.col("profile_id") != profile)
-    decided = spark.createDataFrame([], "record_id string, kind string, entity_id string, rule string, rank int, match_status string, changed boolean, sequence long")
-    media, places = store.read("media", MEDIA), store.read("places", PLACE)
+    decided = spark.createDataFrame([], DECISION)
     if not failed:
-        parsed = records.where("parse_status = 'parsed'")
-        decided, entities = resolve_blocks(parsed, entities, profile, started, max_block)
-        media, media_changed = media_dimension(media, _attached(parsed, decided))
-        media, media_changed = cut(media), cut(media_changed)
-        taken = decided.where("match_status IN ('matched', 'created') AND kind = 'checkin_metadata'").select("record_id")
-        named = parsed.join(taken, "record_id").where("place_reference IS NOT NULL").groupBy(F.sha2("place_reference", 256).alias("place_key")).agg(F.min_by("place_name", F.struct("fingerprint", "raw_sha256", "record_id")).alias("place_name"), F.min("place_reference").alias("metadata"))
-        places = cut(places.unionByName(named.join(places.select("place_key"), "place_key", "left_anti")))
-        decided = cut(decided.join(media_changed.withColumn("_m", F.lit(True)), "record_id", "left").withColumn("changed", (F.col("changed") | F.coalesce("_m", F.lit(False))) & F.col("match_status").isin("matched", "created")).drop("_m"))
-        conflicts = decided.where("match_status = 'ambiguous'").select(F.lit(run_id).alias("run_id"), F.lit(None).cast("string").alias("relative_path"), F.lit(None).cast("int").alias("root_number"), F.lit(None).cast("long").alias("record_index"), F.lit("IDENTITY_CONFLICT").alias("code"))
-        errors = errors.unionByName(conflicts)
-        now = F.lit(_now())
-        kept = decided.where("match_status IN ('matched', 'created')")
-        store.write("observations", kept.select(F.lit(run_id).alias("run_id"), "record_id", "entity_id", "rule", "rank", "changed", now.alias("matched_at")))
-        store.write("evidence", kept.where("kind IN ('archive', 'trash')").select(F.lit(run_id).alias("run_id"), "record_id", "entity_id", F.when(F.col("kind") == "trash", "trash").otherwise("archived").alias("state"), F.lit(True).alias("confirmed"), now.alias("observed_at")))
-        store.write("entities", entities.unionByName(others), replace=True)
-        store.write("media", media, replace=True)
-        store.write("places", places, replace=True)
+        try:
+            decided, conflicts = _resolved(spark, store, records, entities, profile, run_id, started, max_block)
+            errors = errors.unionByName(conflicts)
+        except Exception:  # noqa: BLE001 - whatever broke the run is told by its code, and nothing of it shows
+            failed = True
+            store.discard()
+            errors = errors.unionByName(spark.createDataFrame([(run_id, None, None, None, "DATABASE_WRITE_FAILED")], errors.schema))
     errors = cut(errors)
     metrics = _metrics(records, decided, errors)
     status = "failed" if failed else "completed_with_errors" if metrics["errors"] else "completed"
@@ -177,10 +174,50 @@ def _import(spark: SparkSession, collection: Collection, store: Store, profile:
     store.write("errors", errors)
     store.write("files", spark.createDataFrame(file_rows, FILE))
     store.write("runs", spark.createDataFrame([run], RUN))
+    # Profile and collection are there once, whoever names them first.
+    for table, schema, keys, row in (("profiles", PROFILE, ["profile_id"], (profile, started)), ("collections", COLLECTION, ["profile_id", "collection_id"], (profile, collection.fingerprint, collection.root_count, started))):
+        known = store.read(table, schema)
+        added = insert_or_ignore(known, spark.createDataFrame([row], schema), keys, keys)
+        store.write(table, cut(added), replace=True)
     store.commit()
     return _report(store, collection, run, metrics, files, errors, profile)
 
 
+def place_dimension(known: DataFrame, named: DataFrame) -> DataFrame:
+    """Known places and the new ones of ``named`` (record_id, place_reference, place_name, seq); the first record to name a place names it."""
+    new = named.where("place_reference IS NOT NULL").groupBy(F.sha2("place_reference", 256).alias("place_key"))
+    rows = new.agg(F.min_by("place_name", F.struct("seq", "record_id")).alias("place_name"), F.min("place_reference").alias("metadata"))
+    return known.unionByName(rows.join(known.select("place_key"), "place_key", "left_anti"))
+
+
+def state_evidence(kept: DataFrame) -> DataFrame:
+    """What archive and trash records say about their entity: record_id, entity_id, state, confirmed. ``kept``: record_id, entity_id, kind."""
+    state = F.when(F.col("kind") == "trash", "trash").otherwise("archived")
+    return kept.where("kind IN ('archive', 'trash')").select("record_id", "entity_id", state.alias("state"), F.lit(True).alias("confirmed"))
+
+
+def _resolved(spark: SparkSession, store: Store, records: DataFrame, entities: DataFrame, profile: str, run_id: str, started: str, max_block: int) -> tuple[DataFrame, DataFrame]:
+    """Decisions and conflicts of a run; the tables they change are written, to be shown by the commit."""
+    others = store.read("entities", ENTITY).where(F.col("profile_id") != profile)
+    media, places = store.read("media", MEDIA), store.read("places", PLACE)
+    parsed = records.where("parse_status = 'parsed'")
+    decided, entities = resolve_blocks(parsed, entities, profile, started, max_block)
+    media, media_changed = media_dimension(media, _attached(parsed, decided))
+    media, media_changed = cut(media), cut(media_changed)
+    taken = decided.where("match_status IN ('matched', 'created') AND kind = 'checkin_metadata'").select("record_id")
+    places = cut(place_dimension(places, parsed.join(taken, "record_id").select("record_id", "place_reference", "place_name", F.struct("fingerprint", "raw_sha256").alias("seq"))))
+    decided = cut(decided.join(media_changed.withColumn("_m", F.lit(True)), "record_id", "left").withColumn("changed", (F.col("changed") | F.coalesce("_m", F.lit(False))) & F.col("match_status").isin("matched", "created")).drop("_m"))
+    conflicts = decided.where("match_status = 'ambiguous'").select(F.lit(run_id).alias("run_id"), F.lit(None).cast("string").alias("relative_path"), F.lit(None).cast("int").alias("root_number"), F.lit(None).cast("long").alias("record_index"), F.lit("IDENTITY_CONFLICT").alias("code"))
+    now = F.lit(_now())
+    kept = decided.where("match_status IN ('matched', 'created')")
+    store.write("observations", kept.select(F.lit(run_id).alias("run_id"), "record_id", "entity_id", "rule", "rank", "changed", now.alias("matched_at")))
+    store.write("evidence", state_evidence(kept).select(F.lit(run_id).alias("run_id"), "*", now.alias("observed_at")))
+    store.write("entities", entities.unionByName(others), replace=True)
+    store.write("media", media, replace=True)
+    store.write("places", places, replace=True)
+    return decided, conflicts
+
+
 def _metrics(records: DataFrame, decided: DataFrame, errors: DataFrame) -> dict:
     grouped = decided.groupBy("match_status", "rule").agg(F.count("*").alias("n")).collect()
     status = lambda s: sum(r.n for r in grouped if r.match_status == s)
@@ -220,8 +257,12 @@ def integrity(store: Store) -> str:
 
 
 def bridges(store: Store) -> dict[str, DataFrame]:
-    """Relations of the entities: media, links and places, with ordinals."""
-    entities = store.read("entities", ENTITY)
+    """Relations of the entities of a store: media, links and places, with ordinals."""
+    return relations(store.read("entities", ENTITY))
+
+
+def relations(entities: DataFrame) -> dict[str, DataFrame]:
+    """Relations of entities (entity_id, media, links, places): one table each, with ordinals."""
     return {
         "entity_media": entities.select("entity_id", F.posexplode("media").alias("ordinal", "reference")).select("entity_id", "ordinal", F.sha2(F.lower("reference"), 256).alias("reference_key")),
         "entity_links": entities.select("entity_id", F.posexplode("links").alias("ordinal", "link")).select("entity_id", "ordinal", "link.*"),
@@ -253,8 +294,3 @@ def _report(store: Store, collection: Collection, run: tuple, metrics: dict, fil
         "files": [{k: v for k, v in asdict(f).items() if k != "path"} | {"records": files[key].examined if (key := (f.root_number, f.relative_path)) in files else 0, "errors": files[key].errors if key in files else 0} for f in collection.files],
         "issues": issues, "issues_truncated": metrics["errors"] > len(issues),
     }
-
-
-def observed_times(store: Store) -> DataFrame:
-    """Entities with their time in ISO form."""
-    return store.read("entities", ENTITY).select("entity_id", "type", "state", iso_utc(F.col("ts")).alias("created_at_utc"))

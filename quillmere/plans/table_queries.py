@@ -120,16 +120,6 @@ def sorted_distinct(spark, base):
     return parts.select("l_orderkey", F.array_join(F.transform(F.array_sort("p"), lambda x: x.cast("string")), ",").alias("parts"))
 
 
-@_query(
-    """SELECT source_file_id, count(*) AS records FROM (SELECT DISTINCT source_file_id, regexp_extract(relative_path, '([0-9]+)\\.json$', 1) AS n FROM source_files) WHERE n <> '' GROUP BY 1""".replace(
-        "\\\\", "\\"
-    )
-)
-def numbered_files(spark, base):
-    number = F.regexp_extract("relative_path", r"([0-9]+)\.json$", 1)
-    return load(spark, base, "source_files").select("source_file_id", number.alias("n")).distinct().where("n <> ''").groupBy("source_file_id").agg(F.count("*").alias("records"))
-
-
 # --- occurrence slots and windows ------------------------------------------------------------------------------------
 
 _RECORDS_SQL = "(SELECT DISTINCT * FROM source_records)"
@@ -289,32 +279,6 @@ def retained_errors(spark, base):
     return capped(errors).select(F.col("relative_path").alias("source_file_id"), "record_index", F.col("code").alias("parse_status"))
 
 
-@_query(
-    """WITH per_file AS (SELECT source_file_id, count(*) AS examined, count_if(parse_status = 'parsed') AS parsed, count_if(parse_status = 'partial') AS partial,
-      count_if(parse_status = 'unsupported') AS unsupported, min(created_timestamp) AS lo, max(created_timestamp) AS hi FROM (SELECT DISTINCT * FROM source_records) GROUP BY 1)
-    SELECT count(*) AS files, CAST(sum(examined) AS BIGINT) AS examined, CAST(sum(parsed) AS BIGINT) AS parsed, CAST(sum(partial) AS BIGINT) AS partial, CAST(sum(unsupported) AS BIGINT) AS unsupported,
-      min(lo) AS first_ts, max(hi) AS last_ts, CASE WHEN sum(partial + unsupported) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM per_file"""
-)
-def validation_summary(spark, base):
-    status = [F.count_if(F.col("parse_status") == s).alias(s) for s in ("parsed", "partial", "unsupported")]
-    per_file = _records(spark, base).groupBy("source_file_id").agg(F.count("*").alias("examined"), *status, F.min("created_timestamp").alias("lo"), F.max("created_timestamp").alias("hi"))
-    total = per_file.agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in ("examined", "parsed", "partial", "unsupported")], F.min("lo").alias("first_ts"), F.max("hi").alias("last_ts"))
-    return total.withColumn("status", F.when(F.col("partial") + F.col("unsupported") > 0, "completed_with_errors").otherwise("completed"))
-
-
-@_query(
-    """WITH r AS (SELECT import_run_id, export_root_number, sha256(string_agg(relative_path || ':' || source_kind || ':' || size_bytes || ':' || sha256, '|' ORDER BY relative_path, sha256)) AS h
-      FROM (SELECT DISTINCT import_run_id, export_root_number, relative_path, source_kind, size_bytes, sha256 FROM source_files) GROUP BY 1, 2)
-    SELECT import_run_id, sha256(string_agg(h, '|' ORDER BY h)) AS fingerprint FROM r GROUP BY 1"""
-)
-def collection_fingerprint(spark, base):
-    files = load(spark, base, "source_files").select("import_run_id", "export_root_number", "relative_path", "sha256", "source_kind", "size_bytes").distinct()
-    described = F.concat_ws(":", "relative_path", "source_kind", F.col("size_bytes").cast("string"), "sha256")
-    ordered = F.array_sort(F.collect_list(F.struct("relative_path", "sha256", described.alias("d"))))
-    roots = files.groupBy("import_run_id", "export_root_number").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x.d), "|"), 256).alias("h"))
-    return roots.groupBy("import_run_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "|"), 256).alias("fingerprint"))
-
-
 @_query(
     """SELECT c_custkey, max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) AS state_rank, bool_or(o_orderstatus IN ('F', 'O')) AS confirmed FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1"""
 )
@@ -516,27 +480,6 @@ def kind_union(spark, base):
     return documents.unionByName(events).unionByName(posts)
 
 
-@_query(
-    """SELECT DISTINCT source_record_id, i - 1 AS ordinal, coalesce(l[i].normalized_url, '') AS url, CASE WHEN l[i].source_name IS NULL THEN 'external' ELSE 'source' END AS link_type
-    FROM (SELECT source_record_id, external_links AS l FROM normalized_records), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)"""
-)
-def link_bridge(spark, base):
-    links = load(spark, base, "normalized_records").select("source_record_id", F.posexplode("external_links").alias("ordinal", "link"))
-    kind = F.when(F.col("link.source_name").isNull(), "external").otherwise("source")
-    return links.select("source_record_id", _long(F.col("ordinal")).alias("ordinal"), F.coalesce("link.normalized_url", F.lit("")).alias("url"), kind.alias("link_type")).distinct()
-
-
-@_query(
-    """SELECT lower(d.normalized_reference) AS reference, arg_max(coalesce(d.media_type, ''), source_record_id) AS media_type, count(DISTINCT source_record_id) AS records
-    FROM (SELECT source_record_id, unnest(media_details) AS d FROM normalized_records) WHERE d.normalized_reference IS NOT NULL GROUP BY 1"""
-)
-def media_dimension(spark, base):
-    details = load(spark, base, "normalized_records").select("source_record_id", F.explode("media_details").alias("d")).where("d.normalized_reference IS NOT NULL")
-    return details.groupBy(F.lower("d.normalized_reference").alias("reference")).agg(
-        F.max_by(F.coalesce("d.media_type", F.lit("")), "source_record_id").alias("media_type"), F.count_distinct("source_record_id").alias("records")
-    )
-
-
 @_query(
     """SELECT unnest(['kind', 'parse_status', 'time_range', 'hash_length', 'fingerprint_of_parsed']) AS name,
     unnest([count_if(source_kind NOT IN ('timeline', 'archive', 'trash', 'reel', 'video_metadata', 'photo_metadata', 'album_metadata', 'checkin_metadata', 'sharing_link_metadata')),
@@ -556,23 +499,6 @@ def check_constraints(spark, base):
     return U.violations(load(spark, base, "source_records"), checks)
 
 
-@_query(
-    """SELECT DISTINCT o.post_id, o.source_record_id, CASE r.source_kind WHEN 'trash' THEN 'trash' ELSE 'archived' END AS state, true AS confirmed
-    FROM post_observations o JOIN source_records r USING (source_record_id) WHERE r.source_kind IN ('archive', 'trash')"""
-)
-def state_evidence(spark, base):
-    stated = load(spark, base, "source_records").where("source_kind IN ('archive', 'trash')").select("source_record_id", "source_kind").distinct()
-    observed = load(spark, base, "post_observations").select("post_id", "source_record_id").distinct()
-    state = F.when(F.col("source_kind") == "trash", "trash").otherwise("archived")
-    return observed.join(stated, "source_record_id").select("post_id", "source_record_id", state.alias("state"), F.lit(True).alias("confirmed"))
-
-
-@_query("SELECT sha256(place_name) AS place_key, min(source_record_id) AS first_record, count(DISTINCT source_record_id) AS records FROM normalized_records WHERE place_name IS NOT NULL GROUP BY place_name")
-def place_dimension(spark, base):
-    named = load(spark, base, "normalized_records").where("place_name IS NOT NULL").select("source_record_id", "place_name")
-    return named.groupBy(F.sha2("place_name", 256).alias("place_key")).agg(F.min("source_record_id").alias("first_record"), F.count_distinct("source_record_id").alias("records"))
-
-
 @_query(
     """SELECT import_run_id, max(CASE parse_status WHEN 'failed' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END) AS severity, count(*) AS files
     FROM (SELECT DISTINCT * FROM source_files) GROUP BY 1"""

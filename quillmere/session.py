@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def build_session(app: str = "quillmere", cores: int | str = "*", **conf: str) -> SparkSession:
-    """A local session for tests, the command line and the bench; clusters bring their own."""
+    """A session for tests, the command line and the bench: local, unless ``spark-submit`` names a master."""
+    builder = SparkSession.builder if SparkConf().contains("spark.master") else SparkSession.builder.master(f"local[{cores}]")
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
@@ -31,12 +34,19 @@ def load(spark: SparkSession, base: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared checkpoint folder; a temporary one only on a local master that names none.
+
+    Elsewhere a folder of one machine would be lost to the others, so a missing setting is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmere-cp-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillmere-cp-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir() or folder
 
@@ -57,9 +67,28 @@ def keep(df: DataFrame) -> DataFrame:
     """
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(folder)
+    _KEPT.append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Folders of written tables that nobody has cleared yet.
+_KEPT: list[str] = []
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that :func:`keep` wrote inside; results must be written or collected by then."""
+    before = len(_KEPT)
+    try:
+        yield
+    finally:
+        jvm = spark._jvm
+        for folder in _KEPT[before:]:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _KEPT[before:]
+
+
 def skew_safe_lookup(
     facts: DataFrame,
     groups: DataFrame,

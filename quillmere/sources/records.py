@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import codecs
+import io
 import json
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillmere.functions.canonical import PHOTO_EXTENSIONS, VIDEO_EXTENSIONS, canonical_json, digest, fingerprint, parse_url
-from quillmere.sources.discovery import Collection, as_rows
+from quillmere.sources.discovery import Collection, as_rows, by_file
 
 SAFE = 2**53 - 1
 #: Keys under which an object wraps its records (fixed values).
@@ -248,41 +250,90 @@ NORMALIZERS = {
 }
 
 
-def elements(text: str) -> Iterator:
-    """Elements of a root-level array, one at a time; a ValueError where the text is no valid array."""
-    decoder, at = json.JSONDecoder(), 0
-    space = " \t\n\r"
+#: Bytes that are read at a time.
+CHUNK = 1 << 20
+_SPACE = " \t\n\r"
+
+
+class Characters:
+    """The text of a byte stream, of which only what was not yet consumed is held."""
+
+    def __init__(self, stream: BinaryIO, chunk: int = CHUNK):
+        self._stream, self._chunk, self._decoder = stream, chunk, codecs.getincrementaldecoder("utf-8-sig")()
+        self.text, self.at, self.ended = "", 0, False
+
+    def more(self) -> bool:
+        """Reads on, as much as is held at least; false at the end."""
+        if self.ended:
+            return False
+        self.text, self.at = self.text[self.at :], 0
+        read = self._stream.read(max(self._chunk, len(self.text)))
+        self.ended = not read
+        self.text += self._decoder.decode(read, self.ended)
+        return True
+
+    def peek(self) -> str:
+        """The next character that isn't white space; empty at the end."""
+        while True:
+            while self.at < len(self.text):
+                if self.text[self.at] not in _SPACE:
+                    return self.text[self.at]
+                self.at += 1
+            if not self.more():
+                return ""
+
+    def rest(self) -> str:
+        while self.more():
+            pass
+        return self.text[self.at :]
+
+    def value(self, decoder: json.JSONDecoder):
+        """The next JSON value. It is complete only if something follows it, as numbers have no end of their own."""
+        self.peek()
+        while True:
+            try:
+                value, end = decoder.raw_decode(self.text, self.at)
+                if end < len(self.text) or self.ended:
+                    self.at = end
+                    return value
+            except ValueError:
+                if self.ended:
+                    raise
+            self.more()
 
-    def skip(i: int) -> int:
-        while i < len(text) and text[i] in space:
-            i += 1
-        return i
 
-    at = skip(skip(0) + 1)
-    if text[at : at + 1] == "]":
-        at += 1
+def elements(characters: Characters | str) -> Iterator:
+    """Elements of a root-level array, one at a time; a ValueError where the text is no valid array."""
+    if isinstance(characters, str):
+        characters = Characters(io.BytesIO(characters.encode("utf-8", "surrogatepass")))
+    decoder = json.JSONDecoder()
+    characters.peek()
+    characters.at += 1
+    if characters.peek() == "]":
+        characters.at += 1
     else:
         while True:
-            value, at = decoder.raw_decode(text, skip(at))
-            yield value
-            at = skip(at)
-            if text[at : at + 1] == "]":
-                at += 1
+            yield characters.value(decoder)
+            after = characters.peek()
+            characters.at += 1
+            if after == "]":
                 break
-            if text[at : at + 1] != ",":
+            if after != ",":
                 raise ValueError("no comma between elements")
-            at += 1
-    if skip(at) != len(text):
+    if characters.peek():
         raise ValueError("text after the array")
 
 
-def file_records(content: bytes, kind: str, relative_path: str) -> Iterator:
-    """The records of a file; a FileError for a file of another shape (RECORD_UNSUPPORTED) or that is no JSON (JSON_INVALID)."""
+def file_records(content: bytes | BinaryIO, kind: str, relative_path: str, chunk: int = CHUNK) -> Iterator:
+    """The records of a file; a FileError for a file of another shape (RECORD_UNSUPPORTED) or that is no JSON (JSON_INVALID).
+
+    A root-level array is read as a stream, of which one record and a chunk are held; objects that wrap records are read whole.
+    """
     try:
-        text = content.decode("utf-8-sig" if content[:3] == b"\xef\xbb\xbf" else "utf-8")
-        first = text.lstrip(" \t\n\r")[:1]
+        characters = Characters(io.BytesIO(content) if isinstance(content, bytes) else content, chunk)
+        first = characters.peek()
         if first == "{" and kind in WRAPPERS | {"album_metadata": "", "trash": ""}:
-            root = json.loads(text)
+            root = json.loads(characters.rest())
             if kind == "trash":
                 yield root
                 return
@@ -304,14 +355,14 @@ def file_records(content: bytes, kind: str, relative_path: str) -> Iterator:
             return
         if first != "[":
             raise FileError("RECORD_UNSUPPORTED" if first else "JSON_INVALID")
-        yield from elements(text)
+        yield from elements(characters)
     except FileError:
         raise
     except (ValueError, RecursionError) as e:
         raise FileError("JSON_INVALID") from e
 
 
-def _rows(content: bytes, kind: str, relative_path: str, root_number: int) -> Iterator[dict]:
+def _rows(content: bytes | BinaryIO, kind: str, relative_path: str, root_number: int) -> Iterator[dict]:
     base = {"relative_path": relative_path, "root_number": root_number, "kind": kind}
     index = -1
     try:
@@ -329,26 +380,26 @@ def _rows(content: bytes, kind: str, relative_path: str, root_number: int) -> It
 def read_records(spark: SparkSession, collection: Collection) -> DataFrame:
     """All records of a collection, one row each (schema ``RECORDS``), failures included.
 
-    Files are read as binary in parallel, one file to a row; a failed file leaves one row without index. Dead letters
-    keep their location, the report never shows their content.
+    Files are read in parallel where their paths lie, on a file system that all executors share as discovery's does: one
+    file to a task, as a stream, so that a file's size is bounded by neither memory nor the 2 GB of a cell. A failed file
+    leaves one row without index. Dead letters keep their location, the report never shows their content.
     """
-    meta = spark.createDataFrame(pd.DataFrame(as_rows(collection))[["path", "relative_path", "root_number", "kind"]])
-    files = spark.read.format("binaryFile").load(sorted({f.path for f in collection.files})).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
     columns = [c.split(" ")[0] for c in RECORDS.replace("struct<reference:string,media_type:string,created:long,metadata:string>", "s").replace("struct<original:string,normalized:string,source:string>", "s").split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content, kind, relative, root in zip(batch["content"], batch["kind"], batch["relative_path"], batch["root_number"]):
+            for path, kind, relative, root in zip(batch["path"], batch["kind"], batch["relative_path"], batch["root_number"]):
                 rows: list[dict] = []
-                for row in _rows(bytes(content), kind, relative, int(root)):
-                    rows.append(row)
-                    if len(rows) == 5000:
-                        yield _frame(rows, columns)
-                        rows = []
+                with open(path, "rb") as stream:
+                    for row in _rows(stream, kind, relative, int(root)):
+                        rows.append(row)
+                        if len(rows) == 5000:
+                            yield _frame(rows, columns)
+                            rows = []
                 if rows:
                     yield _frame(rows, columns)
 
-    return files.join(meta, "path").select("content", "kind", "relative_path", "root_number").mapInPandas(parse, RECORDS)
+    return by_file(spark, pd.DataFrame(as_rows(collection))[["path", "kind", "relative_path", "root_number"]]).mapInPandas(parse, RECORDS)
 
 
 def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:

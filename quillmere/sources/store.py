@@ -3,15 +3,40 @@
 from __future__ import annotations
 
 import contextlib
+import datetime as dt
 import json
 import os
 import socket
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA_VERSION = 1
+#: Steps from one version of the store to the next, by number: name, and what it does to the manifest.
+MIGRATIONS: dict[int, tuple[str, Callable[[dict], None]]] = {
+    1: ("tables", lambda manifest: manifest.setdefault("tables", {})),
+    2: ("profiles and collections", lambda manifest: [manifest["tables"].setdefault(t, []) for t in ("profiles", "collections")]),
+}
+SCHEMA_VERSION = max(MIGRATIONS)
+
+
+def migrate(manifest: dict) -> dict:
+    """The manifest at the newest version: every step that it lacks, in order of number, each noted with its time.
+
+    A manifest of a later version than this code knows, or one whose noted steps have gaps, is refused.
+    """
+    version = manifest.get("schema_version", 0)
+    if not isinstance(version, int) or version > SCHEMA_VERSION:
+        raise ValueError(f"the store has schema version {version}, this code knows {SCHEMA_VERSION}")
+    noted = manifest.setdefault("migrations", [{"version": v, "name": MIGRATIONS[v][0], "applied_at": None} for v in range(1, version + 1)])
+    if [m["version"] for m in noted] != list(range(1, version + 1)):
+        raise ValueError("the store's migrations have gaps")
+    for number in sorted(v for v in MIGRATIONS if v > version):
+        name, step = MIGRATIONS[number]
+        step(manifest)
+        noted.append({"version": number, "name": name, "applied_at": dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")})
+        manifest["schema_version"] = number
+    return manifest
 
 
 class StoreLocked(RuntimeError):
@@ -62,17 +87,19 @@ def writer(folder: str) -> Iterator[None]:
 
 
 class Store:
-    """Tables of a folder. ``append`` tables gather parts, ``replace`` tables have one; a commit shows all or nothing."""
+    """Tables of a folder. ``append`` tables gather parts, ``replace`` tables have one; a commit shows all or nothing.
+
+    A store of an earlier version is migrated when it is opened, and keeps the new version with the next commit.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.manifest = {"schema_version": SCHEMA_VERSION, "tables": {}}
+        manifest: dict = {}
         path = os.path.join(folder, "MANIFEST.json")
         if os.path.exists(path):
             with open(path) as f:
-                self.manifest = json.load(f)
-        if self.manifest.get("schema_version") != SCHEMA_VERSION:
-            raise ValueError(f"the store has schema version {self.manifest.get('schema_version')}, not {SCHEMA_VERSION}")
+                manifest = json.load(f)
+        self.manifest = migrate(manifest)
         self.pending: dict[str, list[str]] = {}
 
     def read(self, table: str, schema: str) -> DataFrame:
@@ -88,6 +115,10 @@ class Store:
         df.write.parquet(os.path.join(self.folder, part))
         self.pending[table] = [part] if replace else self.manifest["tables"].get(table, []) + [part]
 
+    def discard(self) -> None:
+        """Forgets all pending parts."""
+        self.pending = {}
+
     def commit(self) -> None:
         """Shows all pending parts at once."""
         self.manifest["tables"] |= self.pending

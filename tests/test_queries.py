@@ -5,10 +5,10 @@ from collections import Counter
 
 import pytest
 
-from quillmere.plans import drift_queries, nested_queries, table_queries
+from quillmere.plans import drift_queries, nested_queries, source_queries, table_queries
 
 BASE = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
-PARTS = (table_queries, nested_queries, drift_queries)
+PARTS = (table_queries, source_queries, nested_queries, drift_queries)
 QUERIES = {n: q for part in PARTS for n, q in part.QUERIES.items()}
 ORACLE = {n: q for part in PARTS for n, q in part.ORACLE.items()}
 
