@@ -160,6 +160,104 @@ def test_broken_file_fails_the_run_and_keeps_the_rest(spark, tmp_path):
     assert (report["status"], report["error_code_counts"], report["canonical_posts"]) == ("failed", {"JSON_INVALID": 1}, 3)
 
 
+def test_a_run_that_breaks_off_is_recorded(spark, tmp_path, monkeypatch):
+    """Neither posts nor observations of a broken run show, its header, files, records and code do, and the next run is as if it had not been."""
+    from quillmere.plans import inventory
+
+    root, store = export(tmp_path / "e", {TIMELINE.format(1): base_records()}), str(tmp_path / "s")
+    with monkeypatch.context() as m:
+        m.setattr(inventory, "resolve_blocks", lambda *args: (_ for _ in ()).throw(RuntimeError("disk full")))
+        report = import_collection(spark, [root], store)
+    assert (report["status"], report["error_code_counts"], report["records_examined"], report["canonical_posts"], report["posts_added"]) == ("failed", {"DATABASE_WRITE_FAILED": 1}, 3, 0, 0)
+    held = Store(spark, store)
+    assert (held.read("runs", "status string").first().status, held.read("records", "run_id string").count(), held.read("observations", "run_id string").count()) == ("failed", 3, 0)
+    assert "disk full" not in json.dumps(report)
+    assert import_collection(spark, [root], store)["posts_added"] == 3 and import_collection(spark, [root], store)["match_rule_counts"] == {"M03": 3}
+    assert (Store(spark, store).read("profiles", "profile_id string").count(), Store(spark, store).read("collections", "collection_id string").count()) == (1, 1)
+
+
+def test_files_are_read_as_streams():
+    import io
+
+    from quillmere.sources.records import FileError, file_records
+
+    values = [{"a": "é" * 40, "n": -1.5e3}, 7, None, "x]y,", [1, [2]], True, {}, 120]
+    for text_ in (json.dumps(values, ensure_ascii=False), " \n[ ]", "[ 1 , 23 ]", "\ufeff" + json.dumps(values, indent=1)):
+        want = json.loads(text_.lstrip("\ufeff"))
+        for chunk in (1, 2, 3, 7, 64, 1 << 20):
+            assert list(file_records(io.BytesIO(text_.encode()), "timeline", "", chunk)) == want
+    for bad, some in (("[1, 2", 1), ("[1 2]", 1), ("[1] x", 1), ("[", 0), ("[1,]", 1), ("", 0), ("[1, {\"a\": }]", 1)):
+        for chunk in (1, 4, 1 << 20):
+            got = []
+            with pytest.raises(FileError) as e:
+                for value in file_records(io.BytesIO(bad.encode()), "timeline", "", chunk):
+                    got.append(value)
+            assert e.value.code == "JSON_INVALID" and len(got) >= some
+    held = []
+
+    class Endless(io.RawIOBase):
+        """A long array of which the reader must not hold more than a record and two chunks."""
+
+        def __init__(self):
+            self.sent = 0
+
+        def read(self, n=-1):
+            held.append(n)
+            if self.sent == 20_000:
+                return b""
+            self.sent += 1
+            return (b"[" if self.sent == 1 else b"") + b'{"k": "' + b"v" * 50 + (b'"}]' if self.sent == 20_000 else b'"},')
+
+    assert sum(1 for _ in file_records(Endless(), "timeline", "", 64)) == 20_000 and max(held) < 1000
+
+
+def test_hashes_and_fingerprints_of_executors(spark, tmp_path):
+    from quillmere.sources.discovery import as_rows, collection_fingerprints, spark_hashes
+
+    roots = [export(tmp_path / n, {TIMELINE.format(k): [k, n] for k in range(1, 1 + size)}) for n, size in (("a", 3), ("b", 1), ("c", 12))]
+    known = {}
+    for name, chosen in (("abc", roots), ("ca", [roots[2], roots[0]]), ("b", roots[1:2])):
+        there, here = discover(chosen, hashes=spark_hashes(spark)), discover(chosen)
+        assert there == here
+        known[name] = here
+    rows = [(name, f["root_number"], f["relative_path"], f["kind"], f["sequence"], f["size_bytes"], f["sha256"]) for name, c in known.items() for f in as_rows(c)]
+    files = spark.createDataFrame(rows, "collection string, root_number int, relative_path string, kind string, sequence long, size_bytes long, sha256 string").repartition(5)
+    assert {r.collection: r.fingerprint for r in collection_fingerprints(files).collect()} == {n: c.fingerprint for n, c in known.items()}
+    assert collection_fingerprints(files.limit(0)).count() == 0
+
+
+def test_store_migrations(spark, tmp_path):
+    from quillmere.sources import store as S
+
+    fresh = S.migrate({})
+    assert fresh["schema_version"] == S.SCHEMA_VERSION and [m["version"] for m in fresh["migrations"]] == sorted(S.MIGRATIONS) and S.migrate(dict(fresh)) == fresh
+    old = {"schema_version": 1, "tables": {"runs": ["runs/x"]}}
+    moved = S.migrate(old)
+    assert moved["tables"] == {"runs": ["runs/x"], "profiles": [], "collections": []} and [m["version"] for m in moved["migrations"]] == [1, 2]
+    for bad in ({"schema_version": 99}, {"schema_version": "1"}, {"schema_version": 2, "migrations": [{"version": 2}]}):
+        with pytest.raises(ValueError):
+            S.migrate(bad)
+
+
+def test_written_tables_are_cleared(spark, tmp_path):
+    from quillmere import session
+
+    with session.cleared(spark):
+        outer = session.keep(spark.range(3))
+        with session.cleared(spark):
+            folder = session.keep(spark.range(5)).inputFiles()[0]
+        assert not os.path.exists(folder.removeprefix("file://")) and outer.count() == 3
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+
+        class Elsewhere:
+            master = "spark://host:7077"
+
+            def getCheckpointDir(self):
+                return None
+
+        session.ensure_checkpoint_dir(type("S", (), {"sparkContext": Elsewhere(), "conf": {}})())
+
+
 def test_validation(spark, tmp_path):
     secret = "SENTINEL-WORDS"
     root = export(tmp_path / "e", {TIMELINE.format(1): [None, {"data": [{"post": secret}]}, text(T0, secret)], TIMELINE.format(2): [None] * 150, TIMELINE.format(10): "{}"})
