@@ -12,6 +12,7 @@ Training runs on the driver over at most ``sample_words`` words; the model (clas
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -230,8 +231,9 @@ def restore_fields(fields: DataFrame, model: EncodingModel) -> DataFrame:
     """
 
     def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        again = functools.lru_cache(5_000)(model.restore)  # texts repeat; long ones aren't kept
         for batch in batches:
-            done = [(r, f, t, *model.restore(t)) for r, f, t in zip(batch["record"], batch["field"], batch["text"])]
+            done = [(r, f, t, *(again if len(t) <= 2_000 else model.restore)(t)) for r, f, t in zip(batch["record"], batch["field"], batch["text"])]
             rows = [(r, f, t, restored, chain) for r, f, t, affected, restored, chain in done if affected]
             if rows:
                 yield pd.DataFrame(rows, columns=["record", "field", "text", "restored", "chain"])

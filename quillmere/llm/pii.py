@@ -17,8 +17,9 @@ of them go to the tasks whole, more stay a table, of which each text gets the na
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -452,6 +453,16 @@ def _own_names(texts: DataFrame, table: NameTable) -> DataFrame:
     return keyed.join(own, "key", "left").drop("key")
 
 
+#: Texts of which a task remembers what it found, and how long they may be.
+REMEMBERED, REMEMBERED_LENGTH = 5_000, 2_000
+
+
+def remembering(function: Callable) -> Callable:
+    """The function of a text (and other hashable arguments), which isn't asked again for texts it saw of late."""
+    cached = functools.lru_cache(REMEMBERED)(function)
+    return lambda text, *more: (cached if len(text) <= REMEMBERED_LENGTH else function)(text, *more)
+
+
 def propose(fields: DataFrame, names: Gazetteer | NameTable) -> DataFrame:
     """Texts with candidate spans: record, field, position, text, spans (start, end, kind, features as text).
 
@@ -463,16 +474,22 @@ def propose(fields: DataFrame, names: Gazetteer | NameTable) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         written: dict[tuple[int, ...], str] = {}  # there are far fewer patterns than spans
+
+        def spans_of(text: str, known: Gazetteer) -> list[dict]:
+            spans = candidates(text, known)
+            for s in spans:
+                if s.features not in written:
+                    written[s.features] = " ".join(map(str, s.features))
+            return [{"start": s.start, "end": s.end, "kind": s.kind, "features": written[s.features]} for s in spans]
+
+        again = remembering(spans_of)
         for batch in batches:
             rows = []
             own = [held] * len(batch) if held is not None else [Gazetteer(frozenset(() if g is None else g), frozenset(() if f is None else f)) for g, f in zip(batch["given"], batch["family"])]
             for record, name, place, text, known in zip(batch["record"], batch["field"], batch["position"], batch["text"], own):
-                spans = candidates(text, known)
+                spans = again(text, known)
                 if spans:
-                    for s in spans:
-                        if s.features not in written:
-                            written[s.features] = " ".join(map(str, s.features))
-                    rows.append((record, name, place, text, [{"start": s.start, "end": s.end, "kind": s.kind, "features": written[s.features]} for s in spans]))
+                    rows.append((record, name, place, text, spans))
             if rows:
                 yield pd.DataFrame(rows, columns=["record", "field", "position", "text", "spans"])
 
@@ -500,20 +517,27 @@ def find(proposed: DataFrame, model: SpanModel) -> DataFrame:
     def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
         read: dict[str, tuple[int, ...]] = {}
+
+        def masked(text: str, proposals: tuple[tuple[int, int, str, str], ...]) -> tuple[list[str], str] | None:
+            for _, _, _, features in proposals:
+                if features not in read:
+                    read[features] = tuple(map(int, features.split()))
+            spans = model.choose([Span(start, end, kind, read[features]) for start, end, kind, features in proposals], cache)
+            if not spans:
+                return None
+            parts, at = [], 0
+            for s in spans:
+                parts += [text[at : s.start], f"[{s.kind}]"]
+                at = s.end
+            return sorted({s.kind for s in spans}), "".join(parts) + text[at:]
+
+        again = remembering(masked)
         for batch in batches:
             out = []
             for record, name, place, text, proposals in zip(batch["record"], batch["field"], batch["position"], batch["text"], batch["spans"]):
-                for p in proposals:
-                    if p["features"] not in read:
-                        read[p["features"]] = tuple(map(int, p["features"].split()))
-                spans = model.choose([Span(p["start"], p["end"], p["kind"], read[p["features"]]) for p in proposals], cache)
-                if not spans:
-                    continue
-                parts, at = [], 0
-                for s in spans:
-                    parts += [text[at : s.start], f"[{s.kind}]"]
-                    at = s.end
-                out.append((record, name, place, sorted({s.kind for s in spans}), "".join(parts) + text[at:]))
+                found = again(text, tuple((p["start"], p["end"], p["kind"], p["features"]) for p in proposals))
+                if found:
+                    out.append((record, name, place, *found))
             if out:
                 yield pd.DataFrame(out, columns=["record", "field", "position", "kinds", "masked"])
 
