@@ -33,18 +33,22 @@ def by_overlap(records: DataFrame, entities: DataFrame, keys: str) -> DataFrame:
     return only_match(pairs, "record", "entity")
 
 
-def by_text(records: DataFrame, entities: DataFrame, counts: DataFrame) -> DataFrame:
+def sole(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The keys that one row alone has, and that row's ``name``. Combines on the map side, so a key that many share costs nothing."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(name).alias(name)).where("n = 1").drop("n")
+
+
+def by_text(records: DataFrame, entities: DataFrame) -> DataFrame:
     """Records and their only entity of the same time and text, where no other record of the run has both: record, entity."""
-    ends = entities.where("text <> ''").groupBy("ts", "text").agg(F.min("entity").alias("low"), F.max("entity").alias("high"))
-    alone = counts.where("n = 1").select("ts", "text")
-    return records.where("text <> ''").join(alone, ["ts", "text"]).join(ends.where("low = high"), ["ts", "text"]).select("record", F.col("low").alias("entity"))
+    ends = entities.where("text <> ''").groupBy("ts", "text").agg(F.min("entity").alias("low"), F.max("entity").alias("high")).where("low = high")
+    return sole(records.where("text <> ''"), ["ts", "text"], "record").join(ends, ["ts", "text"]).select("record", F.col("low").alias("entity"))
 
 
-def by_time(records: DataFrame, entities: DataFrame, counts: DataFrame) -> DataFrame:
+def by_time(records: DataFrame, entities: DataFrame) -> DataFrame:
     """Records and the only entity of their time, where no other record of the run has it and no evidence contradicts."""
-    sole = entities.groupBy("ts").agg(F.min("entity").alias("entity"), F.max("entity").alias("_high")).where("entity = _high").select("ts", "entity")
-    alone = counts.where("n = 1").select("ts")
-    pairs = records.join(alone, "ts").join(sole, "ts").join(entities.select("entity", F.col("media").alias("_media"), F.col("urls").alias("_urls")), "entity")
+    ends = entities.groupBy("ts").agg(F.min("entity").alias("entity"), F.max("entity").alias("_high")).where("entity = _high").select("ts", "entity")
+    pairs = sole(records, ["ts"], "record").join(ends, "ts").join(records.select("record", "media", "urls"), "record")
+    pairs = pairs.join(entities.select("entity", F.col("media").alias("_media"), F.col("urls").alias("_urls")), "entity")
 
     def contradicts(a: str, b: str):
         return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
@@ -76,8 +80,8 @@ def cascade(records: DataFrame, entities: DataFrame) -> DataFrame:
         by_key(records, entities, ["fp", "slot"]),
         by_overlap(records, entities, "media"),
         by_overlap(records, entities, "urls"),
-        by_text(records, entities, time_text_counts(records)),
-        by_time(records, entities, time_counts(records)),
+        by_text(records, entities),
+        by_time(records, entities),
     ]
     union = None
     for rank, hit in enumerate(hits, 1):

@@ -12,7 +12,7 @@ from quillmere.operators import matching as M
 from quillmere.operators import upsert as U
 from quillmere.operators import windows as W
 from quillmere.plans.inventory import capped_errors as capped
-from quillmere.session import load
+from quillmere.session import keep, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -312,18 +312,23 @@ def _content(spark, base) -> DataFrame:
     ).dropDuplicates(["record"])
 
 
-def _incoming(spark, base) -> DataFrame:
-    """Pending records with their content and occurrence number."""
+def _pending(spark, base, content: DataFrame | None = None) -> DataFrame:
+    """Pending records with their content."""
     pending = load(spark, base, "source_records").where("match_status = 'pending'").select(F.col("source_record_id").alias("record"), "source_kind").distinct()
-    numbered = W.occurrence_slots(_content(spark, base).join(pending, "record"), ["source_kind", "fp"], ["record"], "slot")
-    return numbered.withColumn("authoritative", F.col("source_kind").isin("timeline", "archive", "trash", "reel"))
+    content = _content(spark, base) if content is None else content
+    return content.join(pending, "record").withColumn("authoritative", F.col("source_kind").isin("timeline", "archive", "trash", "reel"))
+
+
+def _incoming(spark, base, content: DataFrame | None = None) -> DataFrame:
+    """Pending records with their content and occurrence number."""
+    return W.occurrence_slots(_pending(spark, base, content), ["source_kind", "fp"], ["record"], "slot")
 
 
-def _entities(spark, base) -> DataFrame:
+def _entities(spark, base, content: DataFrame | None = None) -> DataFrame:
     """Known posts with the content of the record that created them."""
     creating = load(spark, base, "post_observations").where("match_rule = 'M08'").groupBy("post_id").agg(F.min("source_record_id").alias("record"))
     posts = load(spark, base, "posts").select("post_id", F.col("occurrence_slot").alias("slot")).distinct()
-    return posts.join(creating, "post_id").join(_content(spark, base), "record").withColumnRenamed("post_id", "entity").drop("record")
+    return posts.join(creating, "post_id").join(_content(spark, base) if content is None else content, "record").withColumnRenamed("post_id", "entity").drop("record")
 
 
 _CASCADE_SQL = r"""
@@ -350,24 +355,29 @@ cascade AS (SELECT inc.record, CASE WHEN m1.entity IS NOT NULL THEN 1 WHEN m2.en
 """
 
 
+def _cascade(spark, base) -> DataFrame:
+    content = keep(_content(spark, base))  # both sides hold the same contents, which are worked out once
+    return M.cascade(_incoming(spark, base, content), _entities(spark, base, content))
+
+
 @_query(_CASCADE_SQL + "SELECT record, 'M0' || rank AS rule, rank, entity FROM cascade")
 def match_cascade(spark, base):
-    return M.cascade(_incoming(spark, base), _entities(spark, base))
+    return _cascade(spark, base)
 
 
 @_query(_CASCADE_SQL + "SELECT 'M0' || rank AS rule, count(*) AS n FROM cascade GROUP BY 1")
 def match_rule_counts(spark, base):
-    return M.cascade(_incoming(spark, base), _entities(spark, base)).groupBy("rule").agg(F.count("*").alias("n"))
+    return _cascade(spark, base).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @_query(_CASCADE_SQL + "SELECT record, entity FROM m1")
 def m01_id_match(spark, base):
-    return M.by_key(_incoming(spark, base), _entities(spark, base), ["id"])
+    return M.by_key(_pending(spark, base), _entities(spark, base), ["id"])
 
 
 @_query(_CASCADE_SQL + "SELECT record, entity FROM m2")
 def m02_url_match(spark, base):
-    return M.by_key(_incoming(spark, base), _entities(spark, base), ["url"])
+    return M.by_key(_pending(spark, base), _entities(spark, base), ["url"])
 
 
 @_query(_CASCADE_SQL + "SELECT record, entity FROM m3")
@@ -377,24 +387,22 @@ def m03_slot_match(spark, base):
 
 @_query(_CASCADE_SQL + "SELECT record, entity FROM m4")
 def m04_media_overlap(spark, base):
-    return M.by_overlap(_incoming(spark, base), _entities(spark, base), "media")
+    return M.by_overlap(_pending(spark, base), _entities(spark, base), "media")
 
 
 @_query(_CASCADE_SQL + "SELECT record, entity FROM m5")
 def m05_url_overlap(spark, base):
-    return M.by_overlap(_incoming(spark, base), _entities(spark, base), "urls")
+    return M.by_overlap(_pending(spark, base), _entities(spark, base), "urls")
 
 
 @_query(_CASCADE_SQL + "SELECT record, entity FROM m6")
 def m06_text_match(spark, base):
-    records = _incoming(spark, base)
-    return M.by_text(records, _entities(spark, base), M.time_text_counts(records))
+    return M.by_text(_pending(spark, base), _entities(spark, base))
 
 
 @_query(_CASCADE_SQL + "SELECT record, entity FROM m7")
 def m07_sole_timestamp(spark, base):
-    records = _incoming(spark, base)
-    return M.by_time(records, _entities(spark, base), M.time_counts(records))
+    return M.by_time(_pending(spark, base), _entities(spark, base))
 
 
 _ORDERS_SQL = """WITH b AS (SELECT o_orderkey, o_orderdate, list_distinct(list(l_partkey)) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
