@@ -36,7 +36,9 @@ def canonical_list(values: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """Canonical address with its parameters in sorted order."""
     url = F.coalesce(url, F.lit(""))
-    base, query, fragment = (F.regexp_extract(url, r"(?s)^([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", k) for k in (1, 2, 3))
+    front = F.substring_index(url, "#", 1)
+    base = F.substring_index(front, "?", 1)
+    query, fragment = F.substring(front, F.length(base) + 2, F.length(front)), F.substring(url, F.length(front) + 2, F.length(url))
     params = F.array_join(F.array_sort(F.filter(F.transform(F.split(query, "[&;]"), canonical_text), lambda p: p != "")), "&")
     # A question mark with nothing behind it is mere punctuation.
     return F.when((F.instr(url, "?") == 0) | (params == ""), canonical_text(url)).otherwise(F.concat_ws("?", canonical_text(base), params, canonical_text(fragment)))

@@ -6,7 +6,8 @@ most ``capacity`` entries whatever the number of items, so this runs on the driv
 
 Items meet their places by rank: every item has a rank among the items of its length, and every pattern owns an interval
 of the ranks of each of its lengths. Ranks are made without gathering a length in one task: items are numbered within
-(input partition, length), and offsets come from the counts of those groups.
+(part, length), and offsets come from the counts of those groups. Parts are hashes of the documents, their number follows
+from the number of items, so the same items always get the same places, however the input was split.
 
 An item longer than the capacity is cut into full containers and a rest, which is packed as an item. Items of length 0
 take no room and go to container 0. Null items have length 0.
@@ -26,6 +27,8 @@ from quillmere.session import cut
 
 #: Splitting pattern of the byte-level tokenizer (a fixed value of the public vocabulary).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Items to a part of the numbering.
+PART_ROWS = 1_000_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -103,9 +106,10 @@ def _intervals(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, np.ndar
     return {length: np.array(r, dtype=np.int64) for length, r in rows.items()}
 
 
-def ranked(items: DataFrame) -> DataFrame:
-    """Adds to durable ``items`` (with a ``length``) their rank among the items of one length, from 0."""
-    placed = cut(items.withColumn("part", F.spark_partition_id()))
+def ranked(items: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Adds to durable ``items`` (doc, piece, length) their rank among the items of one length, from 0."""
+    parts = max(1, -(-items.count() // part_rows))
+    placed = items.withColumn("part", F.pmod(F.xxhash64("doc", "piece"), F.lit(parts)))
     counts = placed.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -124,8 +128,7 @@ def pack(lengths: DataFrame, capacity: int) -> DataFrame:
     size = F.coalesce(F.col("length"), F.lit(0)).cast("long")
     pieces = lengths.select("doc", size.alias("total"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(size / F.lit(capacity)), F.lit(1)).cast("long") - 1)).alias("piece"))
     pieces = pieces.select("doc", "piece", F.least(F.col("total") - F.col("piece") * capacity, F.lit(capacity).cast("long")).alias("length"))
-    items = ranked(pieces)
-    items = cut(items)
+    items = cut(ranked(cut(pieces)))
     histogram = {r.length: r["count"] for r in items.where("length > 0").groupBy("length").count().collect()}
     table = items.sparkSession.sparkContext.broadcast(_intervals(pack_histogram(histogram, capacity)))
 

@@ -418,7 +418,7 @@ def learn_names(fields: DataFrame, held: int = HELD_NAMES) -> Gazetteer | NameTa
 
     All of them count; where they are more than ``held``, they come as a table.
     """
-    mail = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\w.+])([a-z]{2,}\.[a-z]{3,})@"), 1)
+    mail = F.when(F.instr("text", "@") > 0, F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\w.+])([a-z]{2,}\.[a-z]{3,})@"), 1)).otherwise(F.array().cast("array<string>"))
     cue = F.regexp_extract_all("text", F.lit(r"(?:\b[Bb]y|\b[Ww]ith|\b[Dd]ear|\b[Tt]hanks to|\b(?:Dr|Mr|Mrs|Ms|Prof)\.) (\p{Lu}\p{L}+ (?:\p{Lu}\. )?\p{Lu}\p{L}{2,})\b"), 1)
     pairs = fields.where("text IS NOT NULL").select(F.explode(F.concat(F.transform(mail, lambda m: F.translate(m, ".", " ")), F.transform(cue, F.lower))).alias("name"))
     pairs = keep(pairs.select(F.regexp_extract("name", r"^(\S+)", 1).alias("given"), F.regexp_extract("name", r"(\S+)$", 1).alias("family")))

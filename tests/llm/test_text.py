@@ -205,6 +205,17 @@ def test_spellings_of_addresses_that_are_proposed():
 # --- packing ---------------------------------------------------------------------------------------------------------
 
 
+def test_packing_does_not_depend_on_how_the_input_is_split(spark):
+    df = spark.createDataFrame([(i, (i * 7919) % 70) for i in range(500)] + [(3, 5)] * 2, "doc long, length long")
+    got = [sorted(map(tuple, packing.pack(df.repartition(k) if k else df.coalesce(1), 64).collect())) for k in (0, 3, 7)]
+    assert got[0] == got[1] == got[2]
+    ranked = packing.ranked(df.withColumn("piece", F.lit(0).cast("long")), part_rows=40)
+    by_length = {}
+    for r in ranked.collect():
+        by_length.setdefault(r.length, []).append(r["rank"])
+    assert all(sorted(v) == list(range(len(v))) for v in by_length.values())
+
+
 def test_packing(spark):
     random.seed(5)
     lengths = [(i, random.choice([0, 1, 7, 50, 63, 64, 65, 200, None])) for i in range(400)] + [(1, 10)]
