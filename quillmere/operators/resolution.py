@@ -30,6 +30,11 @@ ENTITY = (
     "state string, state_status string, fingerprint string, slot int, identity_version int, media array<string>, links array<struct<original:string,normalized:string,source:string,type:string>>, "
     "places array<string>, first_collected string, last_collected string"
 )
+#: Columns of a record that the decisions read.
+READ = (
+    "record_id", "kind", "relative_path", "record_index", "raw_sha256", "external_id", "direct_post_url", "normalized_direct_post_url", "created_timestamp", "post_type", "post_text", "normalized_post_text",
+    "media_references", "media_keys", "links", "external_urls", "place_reference", "source_name", "source_url", "fingerprint",
+)
 DECISION = "record_id string, kind string, entity_id string, rule string, rank int, match_status string, changed boolean, sequence long"
 
 
@@ -301,10 +306,6 @@ def resolve_blocks(records: DataFrame, entities: DataFrame, profile: str, now: s
     result = T.StructType([T.StructField("decisions", T.ArrayType(decision_type)), T.StructField("entities", T.ArrayType(entity_type))])
     names = [f.name for f in entity_type.fields]
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        decisions, after = resolve([as_record(r) for r in left.to_dict("records")], [as_entity(e) for e in right.to_dict("records")], profile, now)
-        return pd.DataFrame({"decisions": [decisions], "entities": [[{n: getattr(e, n) for n in names} for e in after]]})
-
     def as_record(row: dict) -> dict:
         r = {k: _plain(v) for k, v in row.items()}
         return r | {c: r[c] or [] for c in ("media_keys", "external_urls", "media_references", "links")}
@@ -334,22 +335,53 @@ def resolve_blocks(records: DataFrame, entities: DataFrame, profile: str, now: s
             yield pd.DataFrame({"decisions": [decisions], "entities": [[]]})
         yield from ended()
 
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Resolves blocks that fit in memory, one after the other; rows of a block follow each other."""
+        at, left, right = None, [], []
+        decisions: list[dict] = []
+        after: list[dict] = []
+
+        def ended() -> None:
+            done, entities_ = resolve(left, right, profile, now)
+            decisions.extend(done)
+            after.extend({n: getattr(e, n) for n in names} for e in entities_)
+
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                if row["block"] != at:
+                    if left or right:
+                        ended()
+                    at, left, right = row["block"], [], []
+                if row["_rank"] < 0:
+                    right.append(as_entity(row, "_e_"))
+                else:
+                    left.append(as_record(row))
+            if len(decisions) + len(after) > 5000:
+                yield pd.DataFrame({"decisions": [decisions], "entities": [after]})
+                decisions, after = [], []
+        if left or right:
+            ended()
+        yield pd.DataFrame({"decisions": [decisions], "entities": [after]})
+
+    order = ["block", "_rank", "_e_entity_id", "fingerprint", "raw_sha256", "relative_path", "record_index", "record_id"]
+    rows = placed_records.withColumn("_rank", kind_rank(F.col("kind"))).select("block", "_rank", *[c for c in READ if c in placed_records.columns])
+    first = placed_entities.select(F.col("at").alias("block"), F.lit(-1).alias("_rank"), *[F.col(n).alias(f"_e_{n}") for n in names])
+
+    def laid_out(some: DataFrame, known: DataFrame) -> DataFrame:
+        return some.unionByName(known, allowMissingColumns=True).repartition("block").sortWithinPartitions(*order)
+
     if not large:
-        done = cut(placed_records.groupBy("block").cogroup(placed_entities.groupBy("at")).applyInPandas(run, result))
+        done = cut(laid_out(rows, first).mapInPandas(gather, result))
     else:
         hot = F.broadcast(records.sparkSession.createDataFrame([(b,) for b in large], "block long"))
-        hot_at = hot.withColumnRenamed("block", "at")
-        gathered = placed_records.join(hot, "block", "left_anti").groupBy("block").cogroup(placed_entities.join(hot_at, "at", "left_anti").groupBy("at")).applyInPandas(run, result)
+        gathered = laid_out(rows.join(hot, "block", "left_anti"), first.join(hot, "block", "left_anti")).mapInPandas(gather, result)
         # A time's records share their block, so the run's counts are the block's.
         times = records.groupBy(F.col("created_timestamp").alias("_ts")).agg(F.count("*").alias("_times"))
         texts = records.groupBy(F.col("created_timestamp").alias("_ts"), F.col("normalized_post_text").alias("_text")).agg(F.count("*").alias("_texts"))
-        rows = placed_records.join(hot, "block", "left_semi").withColumn("_rank", kind_rank(F.col("kind")))
-        rows = rows.join(times, F.col("created_timestamp").eqNullSafe(F.col("_ts")), "left").drop("_ts")
-        rows = rows.join(texts, F.col("created_timestamp").eqNullSafe(F.col("_ts")) & F.col("normalized_post_text").eqNullSafe(F.col("_text")), "left").drop("_ts", "_text")
-        first = placed_entities.join(hot_at, "at", "left_semi").select(F.col("at").alias("block"), F.lit(-1).alias("_rank"), *[F.col(n).alias(f"_e_{n}") for n in names])
-        order = ["block", "_rank", "_e_entity_id", "fingerprint", "raw_sha256", "relative_path", "record_index", "record_id"]
-        rows = rows.unionByName(first, allowMissingColumns=True).repartition("block").sortWithinPartitions(*order)
-        done = cut(gathered.unionByName(rows.mapInPandas(stream, result)))
+        counted = rows.join(hot, "block", "left_semi")
+        counted = counted.join(times, F.col("created_timestamp").eqNullSafe(F.col("_ts")), "left").drop("_ts")
+        counted = counted.join(texts, F.col("created_timestamp").eqNullSafe(F.col("_ts")) & F.col("normalized_post_text").eqNullSafe(F.col("_text")), "left").drop("_ts", "_text")
+        done = cut(gathered.unionByName(laid_out(counted, first.join(hot, "block", "left_semi")).mapInPandas(stream, result)))
     return done.select(F.inline("decisions")), done.select(F.inline("entities"))
 
 
