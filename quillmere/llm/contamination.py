@@ -3,7 +3,8 @@
 Wu-Manber multi-pattern search over words: the patterns are all windows of ``WINDOW`` words of the items, the alphabet
 is the vocabulary, the block is a pair of words. A shift table over hashes of blocks tells how far the scan may jump when
 a pair occurs at no or only at an early place of any pattern (it is read for all blocks of a document at once); a pair
-that may end a pattern leads to the bucket of patterns that end with it, which are compared word by word. Every pattern found is a place (item word, document word) from which item and
+that may end a pattern leads, with the pair that would begin it, to the bucket of patterns of these hashes, which are
+compared word by word. Every pattern found is a place (item word, document word) from which item and
 document are compared word by word in both directions, bridging altered words and insertions at a cost.
 
 Items are broadcast in blocks of at most ``block_bytes`` of text, with some 20 bytes of arrays for each of their words
@@ -14,6 +15,7 @@ are read once per block, whole, without a shuffle. One row per document and item
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 import zlib
@@ -90,8 +92,8 @@ def readings(text: str) -> Iterator[list[str]]:
         yield normal_words(" ".join([*kept, text[at:]]))
 
 
-#: Entries of the shift table, one byte each.
-SHIFTS = 1 << 20
+#: Entries of the shift table, one byte each (a power of two); documents that are scanned together.
+SHIFTS, TOGETHER = 1 << 20, 128
 
 
 @functools.lru_cache(1 << 16)
@@ -110,11 +112,16 @@ def _blocks(codes: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
+def _keys(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hash of windows from the hashes of their last and their first pair of words."""
+    return last * np.uint64(0x9E3779B97F4A7C15) + first
+
+
 class WuManber:
     """Shift table, suffix buckets and items of one block of items, as arrays: some 20 bytes for a word of an item.
 
     The shift table has an entry of one byte for each hash of a pair of words: how far the end of a window may move when
-    the pair stands there. The buckets are one array of windows, sorted by the hash of their last pair.
+    the pair stands there. The buckets are one array of windows, sorted by the hashes of their last and first pairs.
     """
 
     def __init__(self, items: list[tuple[int, str]]):
@@ -128,7 +135,7 @@ class WuManber:
                 continue
             for q in range(WINDOW - 1):
                 np.minimum.at(self.shift, (blocks[q : q + windows] % np.uint64(SHIFTS)).astype(np.int64), WINDOW - 2 - q)
-            suffixes.append(blocks[WINDOW - 2 :])
+            suffixes.append(_keys(blocks[WINDOW - 2 :], blocks[:windows]))
             owners.append(np.full(windows, k, dtype=np.int32))
             places.append(np.arange(windows, dtype=np.int32))
         suffix = np.concatenate(suffixes) if suffixes else np.zeros(0, dtype=np.uint64)
@@ -151,50 +158,61 @@ class WuManber:
     def items(self) -> dict[int, list[str]]:
         return {item: self.words_of(item) for item in self.ids}
 
-    def occurrences(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
-        """All (item, item word, document word) at which a window of an item occurs."""
+    def seeds(self, texts: list[list[str]]) -> Iterator[tuple[int, int, int, int]]:
+        """All (text, item, item word, document word) at which a window of an item occurs, over several texts at once."""
+        words = list(itertools.chain.from_iterable(texts))
         if len(words) < WINDOW or not len(self.suffix):
             return
+        starts = np.cumsum([0, *map(len, texts)])[:-1]
         blocks = _blocks(_codes(words))
         # Ends of windows that no shift passes over; the pair of blocks[e] ends with word e + 1.
-        ends = np.flatnonzero(self.shift[(blocks % np.uint64(SHIFTS)).astype(np.int64)] == 0)
+        ends = np.flatnonzero(self.shift[(blocks & np.uint64(SHIFTS - 1)).view(np.int64)] == 0)
         ends = ends[ends >= WINDOW - 2]
-        first, last = np.searchsorted(self.suffix, blocks[ends], "left"), np.searchsorted(self.suffix, blocks[ends], "right")
+        wanted = _keys(blocks[ends], blocks[ends - WINDOW + 2])
+        first, last = np.searchsorted(self.suffix, wanted, "left"), np.searchsorted(self.suffix, wanted, "right")
         hit = last > first
-        for e, lo, hi in zip(ends[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
-            window = words[e - WINDOW + 2 : e + 2]
+        ends, first, last = ends[hit], first[hit], last[hit]
+        text = np.searchsorted(starts, ends - WINDOW + 2, "right") - 1
+        whole = text == np.searchsorted(starts, ends + 1, "right") - 1
+        for t, e, lo, hi in zip(text[whole].tolist(), ends[whole].tolist(), first[whole].tolist(), last[whole].tolist()):
+            window, place = words[e - WINDOW + 2 : e + 2], e - WINDOW + 2 - int(starts[t])
             for owner, at in zip(self.owner[lo:hi].tolist(), self.place[lo:hi].tolist()):
                 if self.words_of(self.ids[owner])[at : at + WINDOW] == window:
-                    yield self.ids[owner], at, e - WINDOW + 2
+                    yield t, self.ids[owner], at, place
+
+    def occurrences(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """All (item, item word, document word) at which a window of an item occurs."""
+        return (found[1:] for found in self.seeds([words]))
 
     def cases(self, text: str) -> list[tuple[int, int]]:
         """The items that the text holds, with the number of their words found."""
-        most: dict[int, int] = {}
-        for words in readings(text):
-            for item, count in self._cases(words):
-                most[item] = max(count, most.get(item, 0))
-        return list(most.items())
-
-    def _cases(self, words: list[str]) -> list[tuple[int, int]]:
-        if len(words) < LEAST_WORDS - 4:
-            return []
-        places: dict[int, list[tuple[int, int]]] = {}
-        for item, at, place in self.occurrences(words):
-            places.setdefault(item, []).append((at, place))
-        found = []
-        for item, seeds in places.items():
-            best, done = 0, set()
-            for at, place in seeds:
-                # A seed that an earlier comparison passed through tells nothing new.
-                if (at, place) in done:
-                    continue
-                count, score, passed = compare(self.words_of(item), words, at, place)
-                done |= passed
-                if score >= LEAST_SCORE and count > best:
-                    best = count
-            if best >= LEAST_WORDS:
-                found.append((item, best))
-        return found
+        return self.cases_of([text])[0]
+
+    def cases_of(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """The items that each text holds, with the number of their words found in its best reading."""
+        read = [(k, words) for k, text in enumerate(texts) for words in readings(text)]
+        places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r, item, at, place in self.seeds([words for _, words in read]):
+            places.setdefault((r, item), []).append((at, place))
+        most: list[dict[int, int]] = [{} for _ in texts]
+        for (r, item), seeds in places.items():
+            k, words = read[r]
+            if len(words) >= LEAST_WORDS - 4 and (best := self._best(item, words, seeds)) >= LEAST_WORDS:
+                most[k][item] = max(best, most[k].get(item, 0))
+        return [list(m.items()) for m in most]
+
+    def _best(self, item: int, words: list[str], seeds: list[tuple[int, int]]) -> int:
+        """The most item words in one passage around any of the seeds; 0 where no passage scores enough."""
+        best, done = 0, set()
+        for at, place in seeds:
+            # A seed that an earlier comparison passed through tells nothing new.
+            if (at, place) in done:
+                continue
+            count, score, passed = compare(self.words_of(item), words, at, place)
+            done |= passed
+            if score >= LEAST_SCORE and count > best:
+                best = count
+        return best
 
 
 def compare(item: list[str], words: list[str], at: int, place: int) -> tuple[int, float, set[tuple[int, int]]]:
@@ -259,7 +277,10 @@ def leaks(documents: DataFrame, items: DataFrame, block_bytes: int = 32 << 20) -
 
         def search(batches: Iterator[pd.DataFrame], matcher=matcher) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = [(doc, item, n) for doc, text in zip(batch["doc"], batch["text"]) for item, n in matcher.value.cases(text)]
+                rows = []
+                for k in range(0, len(batch), TOGETHER):
+                    docs, texts = batch["doc"].iloc[k : k + TOGETHER], batch["text"].iloc[k : k + TOGETHER]
+                    rows += [(doc, item, n) for doc, found in zip(docs, matcher.value.cases_of(list(texts))) for item, n in found]
                 yield pd.DataFrame(rows, columns=["doc", "item", "words"])
 
         part = documents.where("text IS NOT NULL").select("doc", "text").mapInPandas(search, "doc long, item long, words int")
