@@ -51,3 +51,16 @@ def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     counted = df.agg(*[F.count_if(~F.coalesce(c, F.lit(True))).alias(name) for name, c in checks.items()])
     pairs = F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("n")) for name in checks])
     return counted.select(F.inline(pairs))
+
+
+def touch(target: DataFrame, seen: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
+    """Target with the times at which its keys were first and last seen, after one more look.
+
+    ``target``: keys, ``first``, ``last``; ``seen``: keys, ``at`` (a key may come often). A key that target lacks is
+    added; of a known one ``last`` moves on, never back. Rows with a null in the keys are left out of ``seen``.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    looked = seen.where(known).groupBy(*keys).agg(F.min("at").alias("_first"), F.max("at").alias("_last"))
+    rest = [c for c in target.columns if c not in (*keys, first, last)]
+    joined = target.join(looked, keys, "full")
+    return joined.select(*keys, *rest, F.coalesce(first, "_first").alias(first), F.greatest(last, "_last").alias(last)).select(*target.columns)

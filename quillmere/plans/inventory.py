@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmere.operators.ordering import KIND_ORDER, kind_rank
 from quillmere.operators.resolution import DECISION, ENTITY, MAX_BLOCK, resolve_blocks
-from quillmere.operators.upsert import duplicate_keys, insert_or_ignore, orphans
+from quillmere.operators.upsert import duplicate_keys, insert_or_ignore, orphans, touch, violations
 from quillmere.session import cut
 from quillmere.sources.discovery import Collection, DiscoveryError, discover, spark_hashes
 from quillmere.sources.records import MEDIA_KINDS, RECORDS, read_records
@@ -27,6 +27,7 @@ OBSERVATION = "run_id string, record_id string, entity_id string, rule string, r
 EVIDENCE = "run_id string, record_id string, entity_id string, state string, confirmed boolean, observed_at string"
 ERROR = "run_id string, relative_path string, root_number int, record_index long, code string"
 MEDIA = "reference_key string, reference string, media_type string, created long, metadata string"
+PLACE_LINK = "entity_id string, place_key string, first_collected string, last_collected string"
 PLACE = "place_key string, place_name string, metadata string"
 FILE = "run_id string, root_number int, relative_path string, kind string, sequence long, size_bytes long, sha256 string, parse_status string, records long, errors long"
 PROFILE = "profile_id string, created_at string"
@@ -215,6 +216,9 @@ def _resolved(spark: SparkSession, store: Store, records: DataFrame, entities: D
     store.write("entities", entities.unionByName(others), replace=True)
     store.write("media", media, replace=True)
     store.write("places", places, replace=True)
+    visits = parsed.where("kind = 'checkin_metadata' AND place_reference IS NOT NULL").join(kept.select("record_id", "entity_id"), "record_id")
+    visits = visits.select("entity_id", F.sha2("place_reference", 256).alias("place_key"), now.alias("at"))
+    store.write("place_links", touch(store.read("place_links", PLACE_LINK), visits, ["entity_id", "place_key"], "first_collected", "last_collected"), replace=True)
     return decided, conflicts
 
 
@@ -242,7 +246,7 @@ def _metrics(records: DataFrame, decided: DataFrame, errors: DataFrame) -> dict:
 
 
 def integrity(store: Store) -> str:
-    """``ok``, or the names of the assertions that fail: unique keys and references."""
+    """``ok``, or the names of the assertions that fail: unique keys, references, and the checks of ranges, enumerations and pairs."""
     entities = store.read("entities", ENTITY)
     checks = {
         "entity_id": duplicate_keys(entities, ["entity_id"]),
@@ -252,7 +256,22 @@ def integrity(store: Store) -> str:
         "observed_entity": orphans(store.read("observations", OBSERVATION), entities, "entity_id", "entity_id"),
         "evidence_entity": orphans(store.read("evidence", EVIDENCE), entities, "entity_id", "entity_id"),
     }
-    found = reduce(DataFrame.unionByName, [df.limit(1).select(F.lit(name).alias("name")) for name, df in checks.items()])
+    records, safe = store.read("records", RECORD_TABLE), 2**53 - 1
+    rules = (
+        (entities, {
+            "entity_time": F.col("ts").between(0, safe), "entity_slot": F.col("slot") >= 1, "entity_state": F.col("state").isin("active", "archived", "trash"), "entity_state_status": F.col("state_status").isin("derived", "confirmed"),
+            "entity_type": F.col("type").isin("text", "photo", "video", "mixed", "link", "check_in", "reel", "unknown"), "entity_fingerprint": F.length("fingerprint") == 64, "entity_addresses": F.col("direct_url").isNull() == F.col("normalized_url").isNull(),
+        }),
+        (records, {
+            "record_kind": F.col("kind").isin(*KIND_ORDER), "record_status": F.col("parse_status").isin("parsed", "partial", "unsupported", "failed"), "record_time": F.col("created_timestamp").between(0, safe),
+            "record_error": (F.col("parse_status") == "parsed") == F.col("error_code").isNull(), "record_hashes": (F.col("parse_status") != "parsed") | ((F.length("raw_sha256") == 64) & (F.length("fingerprint") == 64)),
+            "record_json": F.col("raw_json").isNull() | F.try_parse_json("raw_json").isNotNull(),
+        }),
+        (store.read("runs", RUN), {"run_status": F.col("status").isin("completed", "completed_with_errors", "failed"), "run_times": F.col("completed_at") >= F.col("started_at")}),
+    )
+    broken = [df.limit(1).select(F.lit(name).alias("name")) for name, df in checks.items()]
+    broken += [violations(df, rule).where("n > 0").select("name") for df, rule in rules]
+    found = reduce(DataFrame.unionByName, broken)
     return ",".join(sorted(r.name for r in found.collect())) or "ok"
 
 

@@ -458,6 +458,16 @@ def conditional_update(spark, base):
     return U.conditional_update(load(spark, base, "part").select("p_partkey", "p_size"), newest, ["p_partkey"], ["p_size"])
 
 
+@_query(
+    """SELECT post_id, coalesce(first_collected_at_utc, a) AS first_at, greatest(last_collected_at_utc, b) AS last_at FROM posts FULL JOIN
+    (SELECT post_id, min(matched_at_utc) AS a, max(matched_at_utc) AS b FROM post_observations WHERE post_id IS NOT NULL GROUP BY 1) USING (post_id)"""
+)
+def touch_update(spark, base):
+    posts = load(spark, base, "posts").select("post_id", F.col("first_collected_at_utc").alias("first_at"), F.col("last_collected_at_utc").alias("last_at"))
+    seen = load(spark, base, "post_observations").select("post_id", F.col("matched_at_utc").alias("at"))
+    return U.touch(posts, seen, ["post_id"], "first_at", "last_at")
+
+
 @_query(
     """SELECT (SELECT count(*) FROM orders o WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)) AS orphan_orders,
     (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS duplicate_orders,

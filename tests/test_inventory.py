@@ -176,6 +176,24 @@ def test_a_run_that_breaks_off_is_recorded(spark, tmp_path, monkeypatch):
     assert (Store(spark, store).read("profiles", "profile_id string").count(), Store(spark, store).read("collections", "collection_id string").count()) == (1, 1)
 
 
+def test_place_links_and_checks(spark, tmp_path):
+    """A repeated visit moves the end of a place link; a store whose values break a rule is told by its name."""
+    from quillmere.plans.inventory import PLACE_LINK, integrity
+
+    checkin = {"timestamp": T0, "fbid": "9", "label_values": [{"label": "Location", "value": "Quay"}]}
+    root, store = export(tmp_path / "e", {TIMELINE.format(1): [text(T0, "x", fbid="9")], POSTS + "/check-ins.json": [checkin]}), str(tmp_path / "s")
+    seen = []
+    for _ in range(2):
+        assert import_collection(spark, [root], store)["integrity"] == "ok"
+        seen.append(Store(spark, store).read("place_links", PLACE_LINK).collect())
+    assert len(seen[0]) == len(seen[1]) == 1 and seen[0][0].first_collected == seen[1][0].first_collected and seen[0][0].last_collected < seen[1][0].last_collected
+    held = Store(spark, store)
+    entities = held.read("entities", ENTITY)
+    held.write("entities", entities.withColumn("state", F.lit("gone")).withColumn("slot", F.lit(0)).unionByName(entities), replace=True)
+    held.commit()
+    assert integrity(Store(spark, store)) == "entity_id,entity_slot,entity_state,external_id"
+
+
 def test_files_are_read_as_streams():
     import io
 
