@@ -30,18 +30,24 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, distin
     # Every row knows how large its key is, so the rounds need no list of hot keys.
     linked = keep(linked.select("key", "record", "size", F.pmod(F.xxhash64("record"), salts).cast("int").alias("salt")))
     labels = keep(nodes.join(linked.select("record").distinct(), "record").select("record", "order", F.col("order").alias("label")))
+    changed = labels
     for done in range(max_rounds):
-        lowest = linked.select("key", "record", "size").join(labels.select("record", "label"), "record").groupBy("key").agg(F.min("label").alias("low"), F.max("size").alias("size"))
+        # Only what changed in the round before can lower a key, and only lowered keys can change a record.
+        lowest = linked.select("key", "record", "size").join(changed.select("record", "label"), "record").groupBy("key").agg(F.min("label").alias("low"), F.max("size").alias("size"))
         spread = lowest.select("key", "low", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
         best = linked.select("key", "record", "salt").join(spread, ["key", "salt"]).groupBy("record").agg(F.min("low").alias("low"))
-        after = labels.join(best, "record").select("record", "order", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        if done >= JUMP_AFTER:
-            jump = after.select(F.col("order").alias("label"), F.col("label").alias("further"))
-            after = after.join(jump, "label").select("record", "order", "old", F.least("label", "further").alias("label"))
-        after = keep(after)
-        changed = after.where("label <> old").limit(1).count()
+        if done < JUMP_AFTER:
+            changed = keep(labels.join(best, "record").where("low < label").select("record", F.col("low").alias("label")))
+            if not changed.limit(1).count():
+                break
+            labels = keep(labels.join(changed.withColumnRenamed("label", "new"), "record", "left").select("record", "order", F.coalesce("new", "label").alias("label")))
+            continue
+        after = labels.join(best, "record", "left").select("record", "order", F.col("label").alias("old"), F.least("label", "low").alias("label"))
+        jump = after.select(F.col("order").alias("label"), F.col("label").alias("further"))
+        after = keep(after.join(jump, "label").select("record", "order", "old", F.least("label", "further").alias("label")))
+        changed = after.where("label <> old").select("record", "label")
         labels = after.select("record", "order", "label")
-        if not changed:
+        if not changed.limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
