@@ -245,23 +245,28 @@ class Index:
             links = links.union(self._probe_history(own, docs, batch).select("node_a", "same_b"))
 
         narrow = rows.select("record", "order", "node", "keys", "same")
-        keys = F.array_compact(F.array_append(F.array_append("keys", F.col("same")), F.col("node")))
-        edges = narrow.select(F.col("node").alias("record"), F.explode(keys).alias("key"))
+        edges = narrow.select(F.col("node").alias("record"), F.explode(F.array_compact(F.array_append("keys", F.col("same")))).alias("key"))
         nodes = narrow.groupBy(F.col("node").alias("record")).agg(F.min("order").alias("order"))
         edges = keep(edges.unionByName(links).distinct())
         known = None
+        graph = edges
         if not first:
-            # The classes that the batch's keys lead to take part as one node each.
+            # The classes that the batch's keys and nodes lead to take part as one node each. A node is a key as well.
+            nodes = keep(nodes)
             held = self.table("keys").where(F.col("batch") != batch).select("key", "label")
-            known = keep(self._resolved(edges.select("key").distinct().join(held, "key")).distinct())
+            own_keys = nodes.select("record", F.col("record").alias("key"))
+            wanted = edges.select("key").union(own_keys.select("key")).distinct()
+            known = keep(self._resolved(wanted.join(held, "key")).distinct())
             standing = F.xxhash64(F.lit("class"), F.col("label"))
+            graph = edges.unionByName(own_keys.join(known.select("key"), "key", "left_semi").select("record", "key")).unionByName(known.select(standing.alias("record"), "key"))
             nodes = nodes.unionByName(known.select(standing.alias("record"), F.col("label").alias("order")).distinct())
-            edges = edges.unionByName(known.select(standing.alias("record"), "key"))
-        classed = keep(components(nodes, edges, distinct=True))
+        classed = keep(components(nodes, graph, distinct=True))
 
         labels = classed.select(F.col("record").alias("node"), "label")
         self._write("accepted", narrow.select("record", "order", "node").distinct().join(labels, "node").select("record", "order", "label"), batch)
-        led = edges.join(classed.select("record", "label"), "record").groupBy("key").agg(F.min("label").alias("label"))
+        # All records of a key are of one class, so any of them tells the key's.
+        led = edges.groupBy("key").agg(F.min("record").alias("record")).join(classed.select("record", "label"), "record").select("key", "label")
+        led = led.union(labels)
         if known is not None:
             led = led.join(known.select("key"), "key", "left_anti")
             into = known.select("label", F.xxhash64(F.lit("class"), F.col("label")).alias("record")).distinct().join(classed.select("record", F.col("label").alias("into")), "record")
