@@ -130,18 +130,28 @@ def probe(batch: DataFrame, index: DataFrame, docs: DataFrame, similarity: float
     both sides. Each unordered pair comes out once. If batch and index are the same postings, they are shuffled once.
     """
     columns = ["key", "doc", "ts", "n"]
-    pairs = _candidates(batch.select(*columns), index.select(*columns), similarity, apart)
-    pairs = pairs.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct()
+    pairs = _candidates(batch.select(*columns), index.select(*columns), similarity, apart, batch is index)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     sets = docs.select("doc", "tokens", *extra)
     sides = [sets.withColumnsRenamed({"doc": x, "tokens": f"t{x}"} | {c: f"{c}_{x}" for c in extra}) for x in "ab"]
+    pairs = pairs if batch is index else pairs.distinct()
     return _verified(pairs.join(sides[0], "a").join(sides[1], "b"), similarity).select("a", "b", *[f"{c}_{x}" for c in extra for x in "ab"])
 
 
-def _candidates(left: DataFrame, right: DataFrame, similarity: float, apart: int) -> DataFrame:
-    """Postings of one key that pass the filters of length and time, as ``l`` and ``r``."""
-    return left.alias("l").join(right.alias("r"), "key").where(
-        (F.col("l.doc") != F.col("r.doc")) & (F.abs(F.col("l.ts") - F.col("r.ts")) <= apart) & (F.least("l.n", "r.n") >= F.ceil(F.greatest("l.n", "r.n") * similarity))
+def _candidates(left: DataFrame, right: DataFrame, similarity: float, apart: int, same: bool = False) -> DataFrame:
+    """Pairs of documents that share postings and pass the filters of length, time and count: a, b. ``same``: of one table, each once.
+
+    What two similar documents share lies in both prefixes or beyond the end of the one that ends first in the order of
+    rarity; so they share at least their least overlap less the longer rest in their prefixes.
+    """
+    n, m = F.col("l.n"), F.col("r.n")
+    joined = left.alias("l").join(right.alias("r"), "key").where(
+        ((F.col("l.doc") < F.col("r.doc")) if same else (F.col("l.doc") != F.col("r.doc"))) & (F.abs(F.col("l.ts") - F.col("r.ts")) <= apart) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * similarity))
     )
+    shared = joined.groupBy(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).agg(F.count("*").alias("c"), F.max(n).alias("n"), F.max(m).alias("m"))
+    least = F.ceil((F.col("n") + F.col("m")) * similarity / (1 + similarity) - 1e-9)
+    rest = F.ceil(F.greatest("n", "m") * similarity) - 1
+    return shared.where(F.col("c") >= least - rest).select("a", "b")
 
 
 def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -279,8 +289,7 @@ class Index:
         columns = ["key", "doc", "ts", "n"]
         parts = [r.part for r in own.select("part").distinct().collect()]
         history = self.table("postings").where((F.col("batch") != batch) & F.col("part").isin(parts))
-        pairs = _candidates(own.select(*columns), history.select(*columns), self.similarity, self.apart)
-        pairs = keep(pairs.select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct())
+        pairs = keep(_candidates(own.select(*columns), history.select(*columns), self.similarity, self.apart))
         both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("node").alias("node_a"), F.col("tokens").alias("ta")), "a")
         old = self.table("docs").where(F.col("batch") != batch).select(F.col("doc").alias("b"), F.col("same").alias("same_b"), F.col("tokens").alias("tb"))
         return _verified(both.join(old, "b"), self.similarity)
