@@ -89,6 +89,10 @@ def cleared(spark: SparkSession) -> Iterator[None]:
         del _KEPT[before:]
 
 
+#: Keys that a lookup spreads at most; their list is broadcast.
+MOST_HOT = 100_000
+
+
 def skew_safe_lookup(
     facts: DataFrame,
     groups: DataFrame,
@@ -101,16 +105,17 @@ def skew_safe_lookup(
     """Join ``facts`` to ``groups`` (unique per key, ``size_col`` = rows of the key among the facts).
 
     A key of more than ``hot_rows`` rows is spread over ``ceil(size / hot_rows)`` salts on both sides. The list of hot
-    keys is broadcast; it holds at most ``rows / hot_rows`` entries, so a thousand million rows give 5,000 of them.
-    Keys must not be null.
+    keys is broadcast; it holds the ``MOST_HOT`` hottest ones at most, whatever the number of rows. Keys beyond are joined
+    as they are, so the list's bound costs speed at worst, never rows. Keys must not be null.
     """
-    salts = F.greatest(F.ceil(F.col(size_col) / F.lit(hot_rows)), F.lit(1)).cast("int")
-    dim = groups.withColumn("_salts", salts)
-    hot = dim.where(F.col("_salts") > 1).select(*keys, "_salts")
+    salts = F.ceil(F.col(size_col) / F.lit(hot_rows)).cast("int")
+    # A total order, so that both sides see the same list.
+    hot = groups.select(*keys, salts.alias("_salts")).where("_salts > 1").orderBy(F.desc("_salts"), *keys).limit(MOST_HOT)
     left = (
         facts.join(F.broadcast(hot), keys, "left")
         .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(salt_on)), F.col("_salts")).cast("int")))
         .drop("_salts")
     )
-    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    spread = groups.join(F.broadcast(hot), keys, "left")
+    right = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
