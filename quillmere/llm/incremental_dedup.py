@@ -160,9 +160,9 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(common >= similarity * (F.size("ta") + F.size("tb") - common))
 
 
-def append(index_folder: str, new: DataFrame) -> None:
+def append(index_folder: str, new: DataFrame, mode: str = "append") -> None:
     """Adds postings to an index kept in a folder, partitioned by a part of the token."""
-    new.withColumn("part", F.pmod("token", F.lit(PARTS))).write.mode("append").partitionBy("part").parquet(index_folder)
+    new.withColumn("part", F.pmod("token", F.lit(PARTS))).write.mode(mode).partitionBy("part").parquet(index_folder)
 
 
 def staged(records: DataFrame, texts: DataFrame, exact_keys: list[str]) -> DataFrame:
@@ -221,10 +221,9 @@ class Index:
         """A table over all batches accepted so far."""
         return self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.folder}/{name}")
 
-    def _write(self, name: str, rows: DataFrame, batch: int, by: str | None = None) -> DataFrame:
+    def _write(self, name: str, rows: DataFrame, batch: int) -> DataFrame:
         folder = f"{self.folder}/{name}/batch={batch}"
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(by) if by else writer).parquet(folder)
+        rows.write.mode("overwrite").parquet(folder)
         return self.spark.read.schema(rows.schema).parquet(folder)
 
     def _resolved(self, rows: DataFrame) -> DataFrame:
@@ -248,7 +247,9 @@ class Index:
             b = F.pmod("t", F.lit(DF_BUCKETS)).alias("b")
             docs.select(F.explode("tokens").alias("t")).groupBy(b).agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/rarity")
             self._remember(self.spark.read.parquet(f"{self.folder}/rarity").toPandas())
-        own = self._write("postings", postings(docs, self._counts, self.similarity, self.apart).withColumn("part", F.pmod("token", F.lit(PARTS))), batch, "part")
+        # The batch's own part, so that a batch accepted again replaces it.
+        append(f"{self.folder}/postings/batch={batch}", postings(docs, self._counts, self.similarity, self.apart), "overwrite")
+        own = self.table("postings").where(F.col("batch") == batch)
         # A link is an edge from a record of the one document, which is always a new one, to the key of the other.
         links = probe(own, own, docs, self.similarity, self.apart, ["node", "same"]).select(F.col("node_a").alias("record"), F.col("same_b").alias("key"))
         if not first:
