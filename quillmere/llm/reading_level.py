@@ -6,9 +6,9 @@ complexity of its sentences (the median sentence's words and letters per word) t
 least-squares fit to the raters' bands, from one row of SQL sums, and whose band limits minimise disagreement with the
 raters over a histogram of scores. Everything but the fit of five weights and three limits is SQL.
 
-Whether a document is English is told by character trigrams: a naive Bayes classifier over hashed trigrams, fitted to a
-bounded sample of documents (``SAMPLE_DOCUMENTS``) whose first labels come from function words and whose labels are then
-its own, until they stand still. It reads whole texts; the sample only bounds what it is fitted to.
+Whether a document is English is told by character trigrams: a naive Bayes classifier over hashed trigrams, fitted to all
+documents, whose first labels come from function words and whose labels are then its own, until they stand still. Every
+round reads all texts and leaves two counts for each bucket of trigrams, which are all that the driver sees.
 
 Words travel as 64-bit hashes: two words of one hash would share a rank, which a vocabulary of a thousand million words
 meets a few times. Ranks: a word's rank is one more than the number of words that are more frequent, found from the
@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 import re
 import statistics
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,9 +37,9 @@ SHARES = (0.7, 0.9)
 MAX_BROADCAST = 1_000_000
 LEAST_WORDS = 60
 FEATURES = ("log_rank_70", "log_rank_90", "log_sentence", "letters")
-#: Documents that the language classifier is fitted to, those of smallest hash; buckets of its trigrams.
-SAMPLE_DOCUMENTS, TRIGRAMS = 2000, 1 << 16
-#: Function words by which the documents of the sample get their first labels.
+#: Buckets of the language classifier's trigrams; bytes of text, about, of which they are worked out at a time.
+TRIGRAMS, PIECE = 1 << 16, 1 << 20
+#: Function words by which the documents get their first labels.
 ENGLISH = "the of and to in that is it for we this on with as be are not by have from which our will has they was at would what who an or".split()
 OTHER = (
     "der die das und ist nicht wir zu den ein eine auf mit von für dem des im sich auch als wer sie ich "
@@ -47,8 +48,8 @@ OTHER = (
 
 
 #: Bracketed remarks and longer quotations: not the speaker's own.
-_NOT_OWN = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|[\"“„][^\"”“]{20,}[\"”“]")
-_RUN, _HYPHEN, _WORD = re.compile(r"\S+", re.A), re.compile(r"[\-‐­][ \t]*\r?\n\s*"), re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_NOT_OWN, _MARK = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|[\"“„][^\"”“]{20,}[\"”“]"), re.compile(r"[(\[\"“„]")
+_HYPHEN, _WORD, _ASCII_WORD = re.compile(r"[\-‐­][ \t]*\r?\n\s*"), re.compile(r"[^\W\d_]++(?:['’\-][^\W\d_]++)*+"), re.compile(r"[a-z]++(?:['\-][a-z]++)*+")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”’)\]]*\s+")
 
 
@@ -58,20 +59,28 @@ def word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _lower(text: str) -> str:
+    """A text in lower case, hyphenation at line breaks undone."""
+    return _HYPHEN.sub("", text.lower()) if "\n" in text else text.lower()
+
+
 def words_of(text: str) -> list[str]:
     """Words in lower case, hyphenation at line breaks undone."""
-    return _WORD.findall(_HYPHEN.sub("", text.lower()))
+    text = _lower(text)
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+
+
+def sentence_words(text: str) -> list[list[str]]:
+    """The :func:`words_of` a text by sentence; no word spans the end of one."""
+    text = _lower(text)
+    find = (_ASCII_WORD if text.isascii() else _WORD).findall
+    return [find(sentence) for sentence in _SENTENCE.split(text)]
 
 
-def sentence_measures(text: str) -> tuple[float, float] | None:
+def sentence_measures(sentences: list[list[str]]) -> tuple[float, float] | None:
     """Logarithm of the median number of words, and median letters a word, over sentences of three words or more; null without any."""
-    sizes, letters = [], []
-    for sentence in _SENTENCE.split(_HYPHEN.sub("", text.lower())):
-        words = _WORD.findall(sentence)
-        if len(words) >= 3:
-            sizes.append(len(words))
-            letters.append(sum(map(len, words)) / len(words))
-    return (math.log(statistics.median(sizes)), statistics.median(letters)) if sizes else None
+    long = [words for words in sentences if len(words) >= 3]
+    return (math.log(statistics.median(map(len, long))), statistics.median(sum(map(len, words)) / len(words) for words in long)) if long else None
 
 
 def is_english(words: Column) -> Column:
@@ -84,45 +93,109 @@ def is_english(words: Column) -> Column:
     return F.aggregate(words, start, count, lambda s: (s.english > s.other) & (s.english * 20 >= s.n))
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Buckets of the byte trigrams of a text in lower case; none for less than three bytes."""
-    raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.int32)
-    return (raw[:-2] * 65536 + raw[1:-1] * 256 + raw[2:]) % 65521 % TRIGRAMS
+def first_labels(texts: list[str]) -> list[bool]:
+    """:func:`is_english` of the words of texts."""
+    english, other, out = frozenset(ENGLISH), frozenset(OTHER), []
+    for words in map(words_of, texts):
+        n = sum(map(english.__contains__, words))
+        out.append(n * 20 >= len(words) and n > sum(map(other.__contains__, words)))
+    return out
+
+
+def trigrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the byte trigrams of texts in lower case, some texts at a time: one for each byte, and the bytes of each text.
+
+    The last two of a text begin no trigram and have the bucket ``TRIGRAMS``.
+    """
+    parts, size = [], 0
+    for i, text in enumerate(texts):
+        parts.append(f" {text.lower()} ".encode("utf-8", "surrogatepass"))
+        size += len(parts[-1])
+        if size >= PIECE or i == len(texts) - 1:
+            lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+            raw = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.int32)
+            found = np.full(size, TRIGRAMS, dtype=np.int32)
+            # The three bytes as a number modulo 65521, which 65536 exceeds by 15.
+            found[:-2] = raw[:-2] * 15 + raw[1:-1] * 256 + raw[2:]
+            found[:-2] -= 65521 * (found[:-2] >= 65521)
+            ends = np.cumsum(lengths)
+            found[ends - 1] = found[ends - 2] = TRIGRAMS
+            yield found, lengths
+            parts, size = [], 0
+
+
+def trigram_counts(texts: list[str], english: Sequence[bool]) -> np.ndarray:
+    """Occurrences of each bucket in English texts (first row) and in others."""
+    total, done = np.zeros((2, TRIGRAMS + 1), dtype=np.int64), 0
+    for found, lengths in trigrams(texts):
+        row = np.where(english[done : done + len(lengths)], 0, TRIGRAMS + 1).astype(np.int32)
+        total += np.bincount(found + np.repeat(row, lengths), minlength=total.size).reshape(total.shape)
+        done += len(lengths)
+    return total[:, :TRIGRAMS]
+
+
+#: Tells of each of some texts whether it is English.
+Labels = Callable[[list[str]], Sequence[bool]]
 
 
 class Language:
     """Log-odds of English for each trigram bucket."""
 
-    def __init__(self, odds: np.ndarray):
-        self.odds = odds.astype(np.float32)
+    def __init__(self, counts: np.ndarray):
+        """From :func:`trigram_counts`. The lists of function words are two texts more, so that both classes are known."""
+        counts = counts + trigram_counts([" ".join(ENGLISH), " ".join(OTHER)], [True, False])
+        chance = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * TRIGRAMS))
+        self.odds = np.append(chance[0] - chance[1], 0.0).astype(np.float32)
 
     @classmethod
-    def fit(cls, texts: list[str], english: list[bool], rounds: int = 5) -> Language:
-        """From texts with first labels. The lists of function words are two texts more, so that both classes are known."""
-        parts = [trigrams(t) for t in texts]
-        given = [trigrams(" ".join(w)) for w in (ENGLISH, OTHER)]
-        labels, model = list(english), None
-        for _ in range(rounds):
-            counts = [np.bincount(np.concatenate([own, *[p for p, e in zip(parts, labels) if e == (k == 0)]]), minlength=TRIGRAMS) for k, own in enumerate(given)]
-            chance = [(c + 0.5) / (c.sum() + 0.5 * TRIGRAMS) for c in counts]
-            model = cls(np.log(chance[0]) - np.log(chance[1]))
-            after = [bool(model.odds[p].sum() > 0) for p in parts]
-            if after == labels:
-                break
-            labels = after
-        return model
+    def settle(cls, count: Callable[[Labels], np.ndarray], labels: Labels) -> Language:
+        """Fitted to its own labels, from first ones, until they stand still; ``count``: the :func:`trigram_counts` of all texts under labels.
+
+        Apart from rounding, every round makes the labelled texts likelier, so the rounds end; counts that come again end them in any case.
+        """
+        model, seen = None, set()
+        while True:
+            counts = count(labels)
+            mark = hashlib.blake2b(counts.tobytes()).digest()
+            if mark in seen:
+                return model
+            seen.add(mark)
+            model = cls(counts)
+            labels = model.tell
+
+    @classmethod
+    def fit(cls, texts: list[str], english: list[bool]) -> Language:
+        """From texts at hand with first labels."""
+        return cls.settle(lambda labels: trigram_counts(texts, labels(texts)), lambda _: english)
+
+    def tell(self, texts: list[str]) -> np.ndarray:
+        """Whether each text is rather English; no text isn't."""
+        sums = [np.add.reduceat(self.odds[found], np.cumsum(lengths) - lengths, dtype=np.float64) for found, lengths in trigrams(texts)]
+        return np.concatenate([np.zeros(0), *sums]) > 0
 
     def english(self, text: str) -> bool:
         """Whether the text is rather English; no text isn't."""
-        found = trigrams(text)
-        return len(text) > 0 and float(self.odds[found].sum()) > 0
+        return bool(self.tell([text])[0])
+
 
+def learn_language(documents: DataFrame) -> Language:
+    """Classifier fitted to all documents (text). An empty table leaves the function words."""
 
-def learn_language(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Language:
-    """Classifier fitted to the ``sample_documents`` documents (text) of smallest hash. An empty table leaves the function words."""
-    sample = documents.select("text").orderBy(F.xxhash64("text"), "text").limit(sample_documents)
-    rows = sample.select("text", is_english(F.flatten(sentences(F.col("text")))).alias("english")).collect()
-    return Language.fit([r.text for r in rows], [bool(r.english) for r in rows])
+    def count(labels: Labels) -> np.ndarray:
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((2, TRIGRAMS), dtype=np.int64)
+            for batch in batches:
+                texts = batch["text"].tolist()
+                total += trigram_counts(texts, labels(texts))
+            found = np.flatnonzero(total.any(axis=0))
+            yield pd.DataFrame({"bucket": found, "english": total[0][found], "other": total[1][found]})
+
+        rows = documents.select("text").mapInPandas(part, "bucket int, english long, other long").groupBy("bucket").agg(F.sum("english").alias("english"), F.sum("other").alias("other")).toPandas()
+        counts = np.zeros((2, TRIGRAMS), dtype=np.int64)
+        counts[:, rows["bucket"].to_numpy(dtype=np.int64)] = rows[["english", "other"]].to_numpy(dtype=np.int64).T
+        return counts
+
+    return Language.settle(count, first_labels)
 
 
 def sentences(text: Column) -> Column:
@@ -187,8 +260,8 @@ def features(documents: DataFrame, shares: tuple[float, float] = SHARES) -> Data
 
     ``documents``: doc, text; documents without text have none. A document that comes twice counts twice in the word
     frequencies and comes out once. Language and sentences are the speaker's own, or the whole text's where no sentence
-    of their own is left; vocabulary and coverage are of the whole text. Texts are read once for the sample and once for
-    all else, which keeps word hashes and sentence measures.
+    of their own is left; vocabulary and coverage are of the whole text. Texts are read once for each round of the language
+    classifier and once for all else, which keeps word hashes and sentence measures.
     """
     spoken = documents.where(F.col("text").isNotNull() & F.col("doc").isNotNull()).select("doc", "text")
     language = learn_language(spoken)
@@ -196,14 +269,16 @@ def features(documents: DataFrame, shares: tuple[float, float] = SHARES) -> Data
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc"], batch["text"]):
-                if len(text) < 2 * LEAST_WORDS - 1 or len(_RUN.findall(text)) < LEAST_WORDS:
-                    continue
-                own = _NOT_OWN.sub(" ", text)
-                if not language.english(own if own.strip() else text):
+            # Bytes are split at the white space of ASCII alone.
+            long = [(doc, text) for doc, text in zip(batch["doc"], batch["text"]) if len(text) >= 2 * LEAST_WORDS - 1 and len(text.encode("utf-8", "surrogatepass").split(None, LEAST_WORDS - 1)) == LEAST_WORDS]
+            owned = [_NOT_OWN.sub(" ", text) if _MARK.search(text) else text for _, text in long]
+            told = language.tell([own if own.strip() else text for (_, text), own in zip(long, owned)])
+            for (doc, text), own, english in zip(long, owned, told):
+                if not english:
                     continue
-                words = words_of(text)
-                measures = sentence_measures(own) or (math.log(len(words)), sum(map(len, words)) / len(words)) if words else None
+                parts = sentence_words(own)
+                words = list(itertools.chain.from_iterable(parts)) if own is text else words_of(text)
+                measures = sentence_measures(parts) or (math.log(len(words)), sum(map(len, words)) / len(words)) if words else None
                 if measures:
                     rows.append((doc, np.fromiter(map(word_hash, words), dtype=np.int64, count=len(words)), *measures))
             if rows:

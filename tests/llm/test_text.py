@@ -4,6 +4,7 @@ import random
 from collections import Counter
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,3 +382,35 @@ def test_ranks_and_coverage(spark):
     slow = {r.doc: tuple(r)[1:] for r in reading_level.coverage(documents, ranks, (0.5, 0.9)).collect()}
     fast = {r.doc: tuple(r)[1:] for r in reading_level.coverage_by_table(documents, ranks, (0.5, 0.9)).collect()}
     assert all(slow[d] == pytest.approx(fast[d]) for d in (1, 2)) and fast[1] == pytest.approx((0.0, 1.3862943611198906))
+
+
+def test_language_is_fitted_to_all_documents(spark):
+    """Whatever their number and partitions; a language of the last thousand documents alone is learned from them."""
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(reading_level.ENGLISH + EASY) for _ in range(12)) if k % 2 else " ".join(rnd.choice(reading_level.OTHER) for _ in range(12)) for k in range(3000)]
+    texts += [" ".join(rnd.choice("und der kysymys äänestys eduskunta hallitus valiokunta".split()) for _ in range(12)) for _ in range(1000)]
+    labels = reading_level.first_labels(texts)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r.e for r in df.select(reading_level.is_english(F.flatten(reading_level.sentences(F.col("text")))).alias("e")).coalesce(1).collect()] == labels
+    whole = reading_level.Language.fit(texts, labels)
+    for parts in (1, 5):
+        assert np.array_equal(reading_level.learn_language(df.repartition(parts)).odds, whole.odds)
+    assert list(whole.tell(texts)) == [k % 2 == 1 and k < 3000 for k in range(4000)]
+    empty = reading_level.learn_language(df.limit(0))
+    assert np.array_equal(empty.odds, reading_level.Language.fit([], []).odds) and not empty.english("") and list(empty.tell([])) == []
+
+
+def test_sentences_hold_the_words(spark):
+    """Sentence by sentence or at once, in pieces of any size."""
+    texts = ["", " ", "One. Two! “Three.” (Four?) five's well-\n known, O’Neill’s. ’tis... No.End x.\" y", "Ürün ²x Ⅷ ist. Daß éa-b--c d'-e 3a_b.", "a" * 50 + ". " + "b-\r\n c"]
+    for t in texts:
+        assert [w for s in reading_level.sentence_words(t) for w in s] == reading_level.words_of(t)
+    assert reading_level.words_of(texts[2]) == "one two three four five's wellknown o’neill’s tis no end x y".split()
+    bare = reading_level.Language.fit([], [])
+    for piece in (1, 40, 1 << 20):
+        reading_level.PIECE, before = piece, reading_level.PIECE
+        try:
+            assert list(bare.tell(texts)) == [bare.english(t) for t in texts]
+            assert reading_level.trigram_counts(texts, [True] * 5).sum() == sum(len(t.lower().encode()) for t in texts)
+        finally:
+            reading_level.PIECE = before
