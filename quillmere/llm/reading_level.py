@@ -25,6 +25,7 @@ import math
 import re
 import statistics
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ MAX_BROADCAST = 1_000_000
 LEAST_WORDS = 60
 FEATURES = ("log_rank_70", "log_rank_90", "log_sentence", "letters")
 #: Buckets of the language classifier's trigrams; bytes of text, about, of which they are worked out at a time.
-TRIGRAMS, PIECE = 1 << 16, 1 << 20
+TRIGRAMS, PIECE = 1 << 16, 1 << 17
 #: Function words by which the documents get their first labels.
 ENGLISH = "the of and to in that is it for we this on with as be are not by have from which our will has they was at would what who an or".split()
 OTHER = (
@@ -49,8 +50,10 @@ OTHER = (
 
 #: Bracketed remarks and longer quotations: not the speaker's own.
 _NOT_OWN, _MARK = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|[\"“„][^\"”“]{20,}[\"”“]"), re.compile(r"[(\[\"“„]")
-_HYPHEN, _WORD, _ASCII_WORD = re.compile(r"[\-‐­][ \t]*\r?\n\s*"), re.compile(r"[^\W\d_]++(?:['’\-][^\W\d_]++)*+"), re.compile(r"[a-z]++(?:['\-][a-z]++)*+")
-_SENTENCE = re.compile(r"(?<=[.!?])[\"”’)\]]*\s+")
+_HYPHEN, _WORD = re.compile(r"[\-‐­][ \t]*\r?\n\s*"), re.compile(r"[^\W\d_]++(?:['’\-][^\W\d_]++)*+")
+_SENTENCE = re.compile(r"[.!?][\"”’)\]]*\s+")
+#: For ASCII in lower case: apostrophes and hyphens that aren't between letters, and a table that blanks all but these and letters.
+_LOOSE, _BLANK = re.compile(r"['\-](?:(?![a-z])|(?<![a-z]['\-]))"), "".join(c if c in "abcdefghijklmnopqrstuvwxyz'-" else " " for c in map(chr, range(128)))
 
 
 @functools.lru_cache(1 << 17)
@@ -64,17 +67,21 @@ def _lower(text: str) -> str:
     return _HYPHEN.sub("", text.lower()) if "\n" in text else text.lower()
 
 
+def _words(lower: str) -> list[str]:
+    """What ``_WORD`` finds in a text in lower case; ASCII is split without it, which is faster."""
+    if not lower.isascii():
+        return _WORD.findall(lower)
+    return (_LOOSE.sub(" ", lower) if "'" in lower or "-" in lower else lower).translate(_BLANK).split()
+
+
 def words_of(text: str) -> list[str]:
     """Words in lower case, hyphenation at line breaks undone."""
-    text = _lower(text)
-    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+    return _words(_lower(text))
 
 
 def sentence_words(text: str) -> list[list[str]]:
     """The :func:`words_of` a text by sentence; no word spans the end of one."""
-    text = _lower(text)
-    find = (_ASCII_WORD if text.isascii() else _WORD).findall
-    return [find(sentence) for sentence in _SENTENCE.split(text)]
+    return [_words(sentence) for sentence in _SENTENCE.split(_lower(text))]
 
 
 def sentence_measures(sentences: list[list[str]]) -> tuple[float, float] | None:
@@ -102,40 +109,53 @@ def first_labels(texts: list[str]) -> list[bool]:
     return out
 
 
-def trigrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Buckets of the byte trigrams of texts in lower case, some texts at a time: one for each byte, and the bytes of each text.
+class Piece(NamedTuple):
+    """Some texts, the buckets of their byte trigrams in lower case, one for each byte, and the bytes of each text.
 
-    The last two of a text begin no trigram and have the bucket ``TRIGRAMS``.
+    The last two bytes of a text begin no trigram and have the bucket ``TRIGRAMS``.
     """
-    parts, size = [], 0
-    for i, text in enumerate(texts):
+
+    texts: list[str]
+    buckets: np.ndarray
+    lengths: np.ndarray
+
+
+def pieces(texts: list[str]) -> Iterator[Piece]:
+    """All texts, about ``PIECE`` bytes at a time, or one that is longer."""
+    parts, size, done = [], 0, 0
+    for i, text in enumerate(texts, 1):
         parts.append(f" {text.lower()} ".encode("utf-8", "surrogatepass"))
         size += len(parts[-1])
-        if size >= PIECE or i == len(texts) - 1:
+        if size >= PIECE or i == len(texts):
             lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
             raw = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.int32)
-            found = np.full(size, TRIGRAMS, dtype=np.int32)
+            buckets = np.full(size, TRIGRAMS, dtype=np.int32)
             # The three bytes as a number modulo 65521, which 65536 exceeds by 15.
-            found[:-2] = raw[:-2] * 15 + raw[1:-1] * 256 + raw[2:]
-            found[:-2] -= 65521 * (found[:-2] >= 65521)
+            buckets[:-2] = raw[:-2] * 15 + raw[1:-1] * 256 + raw[2:]
+            buckets[:-2] -= 65521 * (buckets[:-2] >= 65521)
             ends = np.cumsum(lengths)
-            found[ends - 1] = found[ends - 2] = TRIGRAMS
-            yield found, lengths
-            parts, size = [], 0
+            buckets[ends - 1] = buckets[ends - 2] = TRIGRAMS
+            yield Piece(texts[done:i], buckets, lengths)
+            parts, size, done = [], 0, i
+
 
+#: Tells of each text of a piece whether it is English.
+Labels = Callable[[Piece], Sequence[bool]]
 
-def trigram_counts(texts: list[str], english: Sequence[bool]) -> np.ndarray:
+
+def trigram_counts(texts: list[str], labels: Labels) -> np.ndarray:
     """Occurrences of each bucket in English texts (first row) and in others."""
-    total, done = np.zeros((2, TRIGRAMS + 1), dtype=np.int64), 0
-    for found, lengths in trigrams(texts):
-        row = np.where(english[done : done + len(lengths)], 0, TRIGRAMS + 1).astype(np.int32)
-        total += np.bincount(found + np.repeat(row, lengths), minlength=total.size).reshape(total.shape)
-        done += len(lengths)
+    total = np.zeros((2, TRIGRAMS + 1), dtype=np.int64)
+    for piece in pieces(texts):
+        row = np.where(labels(piece), 0, TRIGRAMS + 1).astype(np.int32)
+        total += np.bincount(piece.buckets + np.repeat(row, piece.lengths), minlength=total.size).reshape(total.shape)
     return total[:, :TRIGRAMS]
 
 
-#: Tells of each of some texts whether it is English.
-Labels = Callable[[list[str]], Sequence[bool]]
+def _given(labels: Sequence[bool]) -> Labels:
+    """Labels at hand, of texts that are told once and in order."""
+    rest = iter(labels)
+    return lambda piece: list(itertools.islice(rest, len(piece.texts)))
 
 
 class Language:
@@ -143,7 +163,7 @@ class Language:
 
     def __init__(self, counts: np.ndarray):
         """From :func:`trigram_counts`. The lists of function words are two texts more, so that both classes are known."""
-        counts = counts + trigram_counts([" ".join(ENGLISH), " ".join(OTHER)], [True, False])
+        counts = counts + trigram_counts([" ".join(ENGLISH), " ".join(OTHER)], _given([True, False]))
         chance = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * TRIGRAMS))
         self.odds = np.append(chance[0] - chance[1], 0.0).astype(np.float32)
 
@@ -161,21 +181,24 @@ class Language:
                 return model
             seen.add(mark)
             model = cls(counts)
-            labels = model.tell
+            labels = model.labels
 
     @classmethod
     def fit(cls, texts: list[str], english: list[bool]) -> Language:
         """From texts at hand with first labels."""
-        return cls.settle(lambda labels: trigram_counts(texts, labels(texts)), lambda _: english)
+        return cls.settle(lambda labels: trigram_counts(texts, labels), _given(english))
+
+    def labels(self, piece: Piece) -> np.ndarray:
+        """Whether each text of a piece is rather English; no text isn't."""
+        return np.add.reduceat(self.odds[piece.buckets], np.cumsum(piece.lengths) - piece.lengths, dtype=np.float64) > 0
 
-    def tell(self, texts: list[str]) -> np.ndarray:
+    def tell(self, texts: list[str]) -> list[bool]:
         """Whether each text is rather English; no text isn't."""
-        sums = [np.add.reduceat(self.odds[found], np.cumsum(lengths) - lengths, dtype=np.float64) for found, lengths in trigrams(texts)]
-        return np.concatenate([np.zeros(0), *sums]) > 0
+        return [bool(e) for piece in pieces(texts) for e in self.labels(piece)]
 
     def english(self, text: str) -> bool:
         """Whether the text is rather English; no text isn't."""
-        return bool(self.tell([text])[0])
+        return self.tell([text])[0]
 
 
 def learn_language(documents: DataFrame) -> Language:
@@ -185,8 +208,7 @@ def learn_language(documents: DataFrame) -> Language:
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((2, TRIGRAMS), dtype=np.int64)
             for batch in batches:
-                texts = batch["text"].tolist()
-                total += trigram_counts(texts, labels(texts))
+                total += trigram_counts(batch["text"].tolist(), labels)
             found = np.flatnonzero(total.any(axis=0))
             yield pd.DataFrame({"bucket": found, "english": total[0][found], "other": total[1][found]})
 
@@ -195,7 +217,7 @@ def learn_language(documents: DataFrame) -> Language:
         counts[:, rows["bucket"].to_numpy(dtype=np.int64)] = rows[["english", "other"]].to_numpy(dtype=np.int64).T
         return counts
 
-    return Language.settle(count, first_labels)
+    return Language.settle(count, lambda piece: first_labels(piece.texts))
 
 
 def sentences(text: Column) -> Column:

@@ -406,11 +406,15 @@ def test_sentences_hold_the_words(spark):
     for t in texts:
         assert [w for s in reading_level.sentence_words(t) for w in s] == reading_level.words_of(t)
     assert reading_level.words_of(texts[2]) == "one two three four five's wellknown o’neill’s tis no end x y".split()
+    rnd = random.Random(9)
+    for t in ("".join(rnd.choice("ab'-. !?)\"\n3_Cé’") for _ in range(rnd.randint(0, 14))) for _ in range(20000)):
+        words = reading_level._WORD.findall(reading_level._lower(t))
+        assert reading_level.words_of(t) == words and sum(reading_level.sentence_words(t), []) == words
     bare = reading_level.Language.fit([], [])
     for piece in (1, 40, 1 << 20):
         reading_level.PIECE, before = piece, reading_level.PIECE
         try:
             assert list(bare.tell(texts)) == [bare.english(t) for t in texts]
-            assert reading_level.trigram_counts(texts, [True] * 5).sum() == sum(len(t.lower().encode()) for t in texts)
+            assert reading_level.trigram_counts(texts, lambda piece: [True] * len(piece.texts)).sum() == sum(len(t.lower().encode()) for t in texts)
         finally:
             reading_level.PIECE = before
