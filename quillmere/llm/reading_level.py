@@ -18,7 +18,6 @@ histogram of counts, so that the vocabulary is never sorted in one task. The voc
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 import math
@@ -52,26 +51,44 @@ OTHER = (
 _NOT_OWN, _MARK = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|[\"“„][^\"”“]{20,}[\"”“]"), re.compile(r"[(\[\"“„]")
 _HYPHEN, _WORD = re.compile(r"[\-‐­][ \t]*\r?\n\s*"), re.compile(r"[^\W\d_]++(?:['’\-][^\W\d_]++)*+")
 _SENTENCE = re.compile(r"[.!?][\"”’)\]]*\s+")
-#: For ASCII in lower case: apostrophes and hyphens that aren't between letters, and a table that blanks all but these and letters.
-_LOOSE, _BLANK = re.compile(r"['\-](?:(?![a-z])|(?<![a-z]['\-]))"), "".join(c if c in "abcdefghijklmnopqrstuvwxyz'-" else " " for c in map(chr, range(128)))
+#: Apostrophes and hyphens that aren't between letters; tables of ASCII and of Windows-1252, in lower case, that blank all but these and letters.
+_LOOSE = re.compile(r"['’\-](?:(?![^\W\d_])|(?<![^\W\d_]['’\-]))")
+_BYTES = "".join(c if c in "'’-" or _WORD.fullmatch(c) else " " for c in (bytes([b]).decode("cp1252", "replace") for b in range(256))).encode("cp1252")
+_ASCII = _BYTES[:128].decode("ascii")
 
 
-@functools.lru_cache(1 << 17)
 def word_hash(word: str) -> int:
     """A 64-bit hash of a word, the same in every process."""
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+class _Hashes(dict):
+    """The :func:`word_hash` of words, kept until there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        self[word] = found = word_hash(word)
+        return found
+
+
+_HASHES = _Hashes()
+
+
 def _lower(text: str) -> str:
     """A text in lower case, hyphenation at line breaks undone."""
     return _HYPHEN.sub("", text.lower()) if "\n" in text else text.lower()
 
 
 def _words(lower: str) -> list[str]:
-    """What ``_WORD`` finds in a text in lower case; ASCII is split without it, which is faster."""
-    if not lower.isascii():
+    """What ``_WORD`` finds in a text in lower case; texts of single bytes are split without it, which is faster."""
+    text = _LOOSE.sub(" ", lower) if "'" in lower or "-" in lower or "’" in lower else lower
+    if text.isascii():
+        return text.translate(_ASCII).split()
+    try:
+        return text.encode("cp1252").translate(_BYTES).decode("cp1252").split()
+    except UnicodeEncodeError:
         return _WORD.findall(lower)
-    return (_LOOSE.sub(" ", lower) if "'" in lower or "-" in lower else lower).translate(_BLANK).split()
 
 
 def words_of(text: str) -> list[str]:
@@ -302,7 +319,7 @@ def features(documents: DataFrame, shares: tuple[float, float] = SHARES) -> Data
                 words = list(itertools.chain.from_iterable(parts)) if own is text else words_of(text)
                 measures = sentence_measures(parts) or (math.log(len(words)), sum(map(len, words)) / len(words)) if words else None
                 if measures:
-                    rows.append((doc, np.fromiter(map(word_hash, words), dtype=np.int64, count=len(words)), *measures))
+                    rows.append((doc, np.fromiter(map(_HASHES.__getitem__, words), dtype=np.int64, count=len(words)), *measures))
             if rows:
                 yield pd.DataFrame(rows, columns=["doc", "words", *FEATURES[2:]])
 

@@ -407,7 +407,7 @@ def test_sentences_hold_the_words(spark):
         assert [w for s in reading_level.sentence_words(t) for w in s] == reading_level.words_of(t)
     assert reading_level.words_of(texts[2]) == "one two three four five's wellknown o’neill’s tis no end x y".split()
     rnd = random.Random(9)
-    for t in ("".join(rnd.choice("ab'-. !?)\"\n3_Cé’") for _ in range(rnd.randint(0, 14))) for _ in range(20000)):
+    for t in ("".join(rnd.choice("ab'-. !?)\"\n3_Cé’üœº²–\x81\xa0ж") for _ in range(rnd.randint(0, 14))) for _ in range(20000)):
         words = reading_level._WORD.findall(reading_level._lower(t))
         assert reading_level.words_of(t) == words and sum(reading_level.sentence_words(t), []) == words
     bare = reading_level.Language.fit([], [])
